@@ -6,8 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from trajspark.llm import line_dedup as lines
 from trajspark.llm.common import table
 from trajspark.llm.quality_rules import quality_rules
+from trajspark.llm.sharding import hash_tree_shards
+from trajspark.llm.simhash import simhash_groups
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -16,9 +19,26 @@ def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash_groups(table(spark, sf_dir, "documents"))
+
+
+def op4_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hash_tree_shards(table(spark, sf_dir, "documents"))
+
+
+def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lines.line_dedup(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Query] = {
     "op1_quality_rules": op1_quality_rules,
+    "op3_simhash": op3_simhash,
+    "op4_sharding": op4_sharding,
+    "op7_line_dedup": op7_line_dedup,
 }
 
 #: Only where SQL can express the query.
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op7_line_dedup": lines.ORACLE,
+}
