@@ -21,7 +21,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from trajspark.llm.common import id_and_text, let
+from trajspark.llm.common import checkpointed, id_and_text, let
 
 SHARDS = 24
 SHARDS_PER_RACK = 4
@@ -106,12 +106,18 @@ def hash_tree_shards(docs: DataFrame, *, tree: Tree | None = None, grown: Tree |
     tree = tree or even_tree(SHARDS)
     grown = grown or even_tree(SHARDS + 1)
     text = F.coalesce(F.col("text"), F.lit(""))
+    placed = let(shard_draws(F.col("doc_id"), tree.weights), lambda d: descend(d, tree))
+    again = let(shard_draws(F.col("doc_id"), grown.weights), lambda d: descend(d, grown))
+    if grown.weights[: len(tree.weights)] == tree.weights:  # the draws of the first shards are the same
+        both = let(shard_draws(F.col("doc_id"), grown.weights), lambda d: F.struct(descend(d, tree).alias("shard"), descend(d, grown).alias("grown_shard")))
+    else:
+        both = F.struct(placed.alias("shard"), again.alias("grown_shard"))
     rows = id_and_text(docs).select(
         "doc_id",
         (F.octet_length(text) + 8).cast("long").alias("size"),
         F.crc32(text).cast("long").alias("text_crc32"),
         F.lit(LAW).alias("law"),
-        descend(shard_draws(F.col("doc_id"), tree.weights), tree).cast("int").alias("shard"),
-        descend(shard_draws(F.col("doc_id"), grown.weights), grown).cast("int").alias("grown_shard"),
+        both.alias("both"),
     )
+    rows = checkpointed(rows.select("doc_id", "size", "text_crc32", "law", F.col("both.shard").cast("int").alias("shard"), F.col("both.grown_shard").cast("int").alias("grown_shard")))
     return slots(rows).select("doc_id", "size", "text_crc32", "law", "shard", "slot", "grown_shard")
