@@ -34,16 +34,21 @@ def words(text: Column) -> Column:
     return F.array_remove(F.split(F.coalesce(text, F.lit("")), WORD_GAP), "")
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """``df`` cut from its lineage, in the folder that the session names for checkpoints.
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that the session names for checkpoints, which the whole cluster shares.
 
     Only a session that names none (tests, a single machine) gets a temporary folder.
     """
-    sc = df.sparkSession.sparkContext
-    if sc.getConf().get("spark.checkpoint.dir") is None and sc._jsc.sc().getCheckpointDir().isEmpty():
-        sc.setCheckpointDir(tempfile.mkdtemp(prefix="checkpoints-"))
-    return df.checkpoint()
+    context = spark.sparkContext
+    named = context.getConf().get("spark.checkpoint.dir")
+    if named:
+        return named.rstrip("/")
+    if context._jsc.sc().getCheckpointDir().isEmpty():
+        context.setCheckpointDir(tempfile.mkdtemp(prefix="checkpoints-"))
+    return context._jsc.sc().getCheckpointDir().get()
 
 
-def shuffle_partitions(spark: SparkSession) -> int:
-    return int(spark.conf.get("spark.sql.shuffle.partitions"))
+def checkpointed(df: DataFrame) -> DataFrame:
+    """``df`` cut from its lineage, in the shared folder."""
+    shared_folder(df.sparkSession)
+    return df.checkpoint()

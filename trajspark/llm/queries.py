@@ -8,7 +8,12 @@ from pyspark.sql import DataFrame, SparkSession
 
 from trajspark.llm import line_dedup as lines
 from trajspark.llm.common import table
+from trajspark.llm.decontamination import contaminated
+from trajspark.llm.language_id import detect_language
+from trajspark.llm.packing import best_fit_packing
+from trajspark.llm.quality_classifier import quality_scores
 from trajspark.llm.quality_rules import quality_rules
+from trajspark.llm.repair import token_files
 from trajspark.llm.sharding import hash_tree_shards
 from trajspark.llm.simhash import simhash_groups
 
@@ -19,6 +24,10 @@ def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op2_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_groups(table(spark, sf_dir, "documents"))
 
@@ -27,15 +36,36 @@ def op4_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hash_tree_shards(table(spark, sf_dir, "documents"))
 
 
+def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return best_fit_packing(table(spark, sf_dir, "documents"))
+
+
+def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return detect_language(table(spark, sf_dir, "documents"))
+
+
 def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lines.line_dedup(table(spark, sf_dir, "documents"))
 
 
+def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op9_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_files(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Query] = {
     "op1_quality_rules": op1_quality_rules,
+    "op2_quality_classifier": op2_quality_classifier,
     "op3_simhash": op3_simhash,
     "op4_sharding": op4_sharding,
+    "op5_packing": op5_packing,
+    "op6_language_id": op6_language_id,
     "op7_line_dedup": op7_line_dedup,
+    "op8_decontamination": op8_decontamination,
+    "op9_token_files": op9_token_files,
 }
 
 #: Only where SQL can express the query.
