@@ -111,20 +111,30 @@ def ratio_weights(docs: DataFrame, labels: DataFrame, buckets: int = BUCKETS, ta
     return [math.log((t + 1) / n_t) - math.log((r + 1) / n_r) for t, r in zip(target, raw, strict=True)]
 
 
-def quality_rules(docs: DataFrame, labels: DataFrame, *, buckets: int = BUCKETS, target_rows: int = TARGET_ROWS, threshold: float = THRESHOLD) -> DataFrame:
-    """One row per document: base counts, base_failed, score and the verdict ``kept``."""
-    docs = id_and_text(docs)
-    weights = ratio_weights(docs, labels, buckets, target_rows)
+def judged(text: Column, weights: list[float], threshold: float) -> Column:
+    """Struct of the base counts, base_failed, kept and score of ``text``."""
     table = F.split(F.lit(",".join(map(repr, weights))), ",").cast("array<double>")  # folded to one literal
     score = let(
-        ngram_buckets(F.col("text"), buckets),
+        ngram_buckets(text, len(weights)),
         lambda b: F.when(F.size(b) > 0, F.aggregate(b, F.lit(0.0), lambda acc, x: acc + F.get(table, x)) / F.size(b)).otherwise(F.lit(0.0)),
     )
-    counted = docs.select("doc_id", base_counts(F.col("text")).alias("base"), score.alias("score"))
-    failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * F.col("n_words"))
-    return (
-        counted.select("doc_id", "base.*", "score")
-        .withColumn("base_failed", failed)
-        .withColumn("kept", ~F.col("base_failed") & (F.col("score") >= threshold))
-        .select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "score")
-    )
+    names = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
+
+    def verdict(base: Column, value: Column) -> Column:
+        failed = (base["n_words"] < MIN_WORDS) | (100 * base["n_repeat_words"] > MAX_REPEAT_PERCENT * base["n_words"])
+        return F.struct(*[base[n].alias(n) for n in names], failed.alias("base_failed"), (~failed & (value >= threshold)).alias("kept"), value.alias("score"))
+
+    return let(base_counts(text), lambda base: let(score, lambda value: verdict(base, value)))
+
+
+def quality_rules(docs: DataFrame, labels: DataFrame, *, buckets: int = BUCKETS, target_rows: int = TARGET_ROWS, threshold: float = THRESHOLD) -> DataFrame:
+    """One row per document: base counts, base_failed, the verdict ``kept``, and the score."""
+    docs = id_and_text(docs)
+    weights = ratio_weights(docs, labels, buckets, target_rows)
+    return docs.select("doc_id", judged(F.col("text"), weights, threshold).alias("x")).select("doc_id", "x.*")
+
+
+def keep_good(docs: DataFrame, labels: DataFrame, *, buckets: int = BUCKETS, target_rows: int = TARGET_ROWS, threshold: float = THRESHOLD) -> DataFrame:
+    """docs, all columns, without the documents that quality_rules rejects."""
+    weights = ratio_weights(id_and_text(docs), labels, buckets, target_rows)
+    return docs.filter(judged(F.col("text").cast("string"), weights, threshold)["kept"])

@@ -16,6 +16,7 @@ from trajspark.llm.quality_rules import quality_rules
 from trajspark.llm.repair import token_files
 from trajspark.llm.sharding import hash_tree_shards
 from trajspark.llm.simhash import simhash_groups
+from trajspark.llm.token_counts import token_counts
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -56,6 +57,10 @@ def op9_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files(table(spark, sf_dir, "documents"))
 
 
+def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Query] = {
     "op1_quality_rules": op1_quality_rules,
     "op2_quality_classifier": op2_quality_classifier,
@@ -66,6 +71,7 @@ QUERIES: dict[str, Query] = {
     "op7_line_dedup": op7_line_dedup,
     "op8_decontamination": op8_decontamination,
     "op9_token_files": op9_token_files,
+    "op10_token_counts": op10_token_counts,
 }
 
 #: Only where SQL can express the query.
