@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 CONSTELLATIONS = {"GP": "G", "GL": "R", "GA": "E", "GB": "C", "GQ": "Q", "GN": "G"}
 SOLUTION_LABELS = {1: "FIX", 2: "FLOAT", 3: "SBAS", 4: "DGPS", 5: "SINGLE", 6: "PPP"}
 REPORT_LABELS = {1: "Fix", 2: "Float", 4: "DGPS", 5: "Single"}
-CONDITION_LABELS = {0: "good", 1: "fair", 2: "average", 3: "poor"}
+CONDITION_LABELS = {0: "good", 1: "satisfactory", 2: "unsatisfactory", 3: "poor"}
 SURFACE_CODES = {"tar": 0, "mudcon": 1, "mud": 2, "con": 3}
 
 
