@@ -39,17 +39,21 @@ END_ID = 2
 #: Above all ids of the vocabulary.
 FIRST_RULE = 1 << 16
 SHARD_TOKENS = 2 << 20
-ROUNDS = 8
-PAIRS_A_ROUND = 1024
+ROUNDS = 5
+PAIRS_A_ROUND = 4096
 #: A pair that is rarer than this isn't replaced.
-MIN_COUNT = 16
-HASH_BITS = 20
+MIN_COUNT = 8
+HASH_BITS = 18
 
 SHARD_SCHEMA = "part int, block int, n_tokens long, doc_ids binary, doc_null binary, doc_sizes binary, rules binary, expansions binary, symbols binary"
 
 
 def _pair_bins(s: np.ndarray) -> np.ndarray:
-    return ((s[:-1].astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + s[1:].astype(np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F)) >> np.uint64(64 - HASH_BITS)).astype(np.int64)
+    h = s[:-1] * np.uint32(0x9E3779B1)
+    h ^= s[1:]
+    h *= np.uint32(0x85EBCA6B)
+    h >>= np.uint32(32 - HASH_BITS)
+    return h.astype(np.intp)
 
 
 def _apart(marked: np.ndarray) -> np.ndarray:

@@ -1,9 +1,11 @@
 """Token ids of whole texts by a public byte-level BPE, with each distinct word encoded once.
 
-The pre-tokenizer of a byte-level BPE never joins a space to what stands before it, so a text whose single
-spaces stand between other characters can be cut before each space and its words be encoded by themselves.
-Arrow splits and numbers the words of a batch; only words that the worker has not met go to the tokenizer.
-Texts with a space next to other white space are encoded whole.
+A byte-level BPE first cuts a text into pre-tokens, and no id reaches over a cut. If white space never stands
+next to white space, these places are cuts: before a space, before and after a newline, and between a letter or
+digit and the punctuation after it. So a text is a row of chunks: words with the space before them (none at
+the start of a text or line), punctuation with what follows it, and newlines. Arrow cuts a slice of texts and
+numbers its chunks; only those that the worker has not met go to the tokenizer, words joined to one text, in
+which each begins with an id that begins with a space. Texts with neighbouring white space are encoded whole.
 """
 
 from __future__ import annotations
@@ -17,54 +19,78 @@ import pyarrow.compute as pc
 
 # Fixed value: characters that some regex engine takes as white space.
 WHITE = r"[\s\v\x1c-\x1f\x{85}\x{a0}\x{1680}\x{180e}\x{2000}-\x{200b}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}\x{feff}]"
-UNSAFE = f"{WHITE} | {WHITE}"
-#: Words that a worker remembers at most; then it starts anew.
-CACHED_WORDS = 500_000
+#: Stands before a chunk that has no space before it; texts that have it are encoded whole.
+GLUE = "\x01"
+UNSAFE = f"{WHITE}{WHITE}|{GLUE}"
+CUT = r"([\pL\pN])([.,;:!?)\]\"*#$%&|]+)"
+#: Chunks that a worker remembers at most; then it starts anew.
+CACHED_CHUNKS = 700_000
 #: Bytes of texts that are encoded at a time.
-SLICE_BYTES = 2 << 20
+SLICE_BYTES = 4 << 20
+#: Words that are joined for the tokenizer at a time.
+JOINED = 2000
 
 
-class Words:
-    """Ids of the words met so far, in one growing array."""
+class Chunks:
+    """Ids of the chunks met so far, in one growing array; the empty chunk is the first."""
 
-    def __init__(self, prefix: str) -> None:
-        self.prefix = prefix
-        self.at: dict[str, int] = {}
+    def __init__(self, tokenizer) -> None:
+        self.tokenizer = tokenizer
+        n = tokenizer.get_vocab_size()
+        self.spaced = np.fromiter(((tokenizer.id_to_token(i) or "").startswith("Ġ") for i in range(n)), bool, n)
+        self.clear()
+
+    def clear(self) -> None:
+        self.known: dict[str, int] = {}  # with a space before, or GLUE
+        self.bare: dict[str, int] = {"": 0}
         self.start = np.zeros(1 << 12, np.int64)
         self.size = np.zeros(1 << 12, np.int64)
         self.ids = np.zeros(1 << 14, np.int32)
-        self.used = 0
+        self.count, self.used = 1, 0
 
-    def numbers(self, words: list[str], tokenizer) -> np.ndarray:
-        at = self.at
-        new = [w for w in words if w not in at]
-        if new:
-            if len(at) + len(new) > CACHED_WORDS and at:
-                self.__init__(self.prefix)
-                return self.numbers(words, tokenizer)
-            new = list(dict.fromkeys(new))
-            found = [e.ids for e in tokenizer.encode_batch_fast([self.prefix + w for w in new], add_special_tokens=False)]
-            n = len(at)
-            at.update(zip(new, range(n, n + len(new)), strict=True))
-            sizes = np.fromiter(map(len, found), np.int64, len(found))
-            flat = np.fromiter((i for x in found for i in x), np.int32, int(sizes.sum()))
-            self._room(n + len(new), self.used + len(flat))
-            self.size[n : n + len(new)] = sizes
-            self.start[n : n + len(new)] = self.used + np.cumsum(sizes) - sizes
-            self.ids[self.used : self.used + len(flat)] = flat
-            self.used += len(flat)
-        return np.fromiter(map(at.__getitem__, words), np.int64, len(words))
-
-    def _room(self, words: int, ids: int) -> None:
-        for name, least in (("start", words), ("size", words), ("ids", ids)):
+    def _add(self, sizes: np.ndarray, ids: np.ndarray) -> range:
+        first = self.count
+        for name, least in (("start", first + len(sizes)), ("size", first + len(sizes)), ("ids", self.used + len(ids))):
             a = getattr(self, name)
             if len(a) < least:
                 grown = np.zeros(max(least, len(a) * 3 // 2), a.dtype)
                 grown[: len(a)] = a
                 setattr(self, name, grown)
+        self.count += len(sizes)
+        self.size[first : self.count] = sizes
+        self.start[first : self.count] = self.used + np.cumsum(sizes) - sizes
+        self.ids[self.used : self.used + len(ids)] = ids
+        self.used += len(ids)
+        return range(first, self.count)
+
+    def _encode(self, texts: list[str]) -> range:
+        found = [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        return self._add(np.array([len(x) for x in found], np.int64), np.array([i for x in found for i in x], np.int32))
+
+    def _encode_words(self, words: list[str]) -> range:
+        ids = np.array(self.tokenizer.encode(" " + " ".join(words), add_special_tokens=False).ids, np.int32)
+        starts = np.flatnonzero(self.spaced[ids])
+        if len(starts) != len(words):
+            raise AssertionError("a word has a space within")
+        return self._add(np.diff(starts, append=len(ids)), ids)
+
+    def numbers(self, chunks: list[str]) -> np.ndarray:
+        new = [c for c, n in zip(chunks, map(self.known.get, chunks), strict=True) if n is None]
+        if new:
+            odd = [c for c in new if c in ("", "\n") or c[0] == GLUE]
+            self.known.update(zip(odd, self._encode([c[1:] if c[:1] == GLUE else c or " " for c in odd]), strict=True))
+            words = [c for c in new if c and c != "\n" and c[0] != GLUE]
+            for i in range(0, len(words), JOINED):
+                self.known.update(zip(words[i : i + JOINED], self._encode_words(words[i : i + JOINED]), strict=True))
+        return np.fromiter(map(self.known.__getitem__, chunks), np.int64, len(chunks))
+
+    def bare_numbers(self, chunks: list[str]) -> np.ndarray:
+        new = [c for c in dict.fromkeys(chunks) if c not in self.bare]
+        self.bare.update(zip(new, self._encode(new), strict=True))
+        return np.fromiter(map(self.bare.__getitem__, chunks), np.int64, len(chunks))
 
     def gather(self, numbers: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(ids of the words one after the other, number of ids of each word)"""
+        """(ids of the chunks one after the other, number of ids of each chunk)"""
         sizes = self.size[numbers]
         ends = np.cumsum(sizes)
         total = int(ends[-1]) if len(ends) else 0
@@ -78,44 +104,44 @@ class Encoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
-        self.spaced = Words(" ")
-
-    def _whole(self, texts: list[str]) -> list[np.ndarray]:
-        return [np.array(e.ids, np.int32) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        self.chunks = Chunks(self.tokenizer)
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts one after the other, number of ids of each text); a null text is an empty one."""
         texts = pc.fill_null(texts, "")
         unsafe = pc.match_substring_regex(texts, UNSAFE).to_numpy(zero_copy_only=False)
-        if unsafe.any():
-            whole = iter(self._whole(texts.filter(pa.array(unsafe)).to_pylist()))
-            safe_ids, safe_n = self.encode(texts.filter(pa.array(~unsafe))) if not unsafe.all() else (np.zeros(0, np.int32), np.zeros(0, np.int64))
-            parts = iter(np.split(safe_ids, np.cumsum(safe_n)[:-1]) if len(safe_n) else [])
-            rows = [next(whole) if u else next(parts) for u in unsafe]
-            return np.concatenate(rows), np.fromiter(map(len, rows), np.int64, len(rows))
-        cut = pc.split_pattern(texts, " ")
+        if not unsafe.any():
+            return self._encode_safe(texts)
+        whole = iter(self.tokenizer.encode_batch_fast(texts.filter(pa.array(unsafe)).to_pylist(), add_special_tokens=False))
+        ids, n = self._encode_safe(texts.filter(pa.array(~unsafe)))
+        safe = iter(np.split(ids, np.cumsum(n)[:-1]) if len(n) else [])
+        rows = [np.array(next(whole).ids, np.int32) if u else next(safe) for u in unsafe]
+        return np.concatenate(rows), np.fromiter(map(len, rows), np.int64, len(rows))
+
+    def _encode_safe(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        if not len(texts):
+            return np.zeros(0, np.int32), np.zeros(0, np.int64)
+        glued = pc.replace_substring_regex(texts, CUT, rf"\1 {GLUE}\2")
+        cut = pc.split_pattern(pc.replace_substring(glued, "\n", " \n "), " ")
         bounds = cut.offsets.to_numpy().astype(np.int64)
         bounds -= bounds[0]
         flat = cut.flatten().dictionary_encode()
-        codes = flat.indices.to_numpy().astype(np.int64)
-        # a text's first word has no space before it: it is encoded by itself, in place of its number
-        first = self._whole(cut.flatten().take(pa.array(bounds[:-1])).to_pylist())
-        numbers = self.spaced.numbers(flat.dictionary.to_pylist(), self.tokenizer)[codes]
-        rest = np.ones(len(codes), bool)
-        rest[bounds[:-1]] = False
-        ids, sizes = self.spaced.gather(numbers[rest])
-        n_first = np.fromiter(map(len, first), np.int64, len(first))
-        size_of = np.zeros(len(codes), np.int64)
-        size_of[rest] = sizes
-        size_of[bounds[:-1]] = n_first
-        ends = np.cumsum(size_of)
-        out = np.empty(int(ends[-1]) if len(ends) else 0, np.int32)
-        is_first = np.zeros(len(out), bool)
-        at_first = np.repeat(ends[bounds[:-1]] - n_first - (np.cumsum(n_first) - n_first), n_first) + np.arange(int(n_first.sum()))
-        is_first[at_first] = True
-        out[is_first] = np.concatenate(first) if len(first) else []
-        out[~is_first] = ids
-        return out, np.add.reduceat(size_of, bounds[:-1]) if len(bounds) > 1 else np.zeros(0, np.int64)
+        codes = flat.indices.to_numpy()
+        distinct = flat.dictionary.to_numpy(zero_copy_only=False).tolist()
+        if self.chunks.count > CACHED_CHUNKS:
+            self.chunks.clear()
+        numbers = self.chunks.numbers(distinct)[codes]
+        # what begins a text or a line has no space before it
+        bare = np.zeros(len(codes), bool)
+        bare[bounds[:-1]] = True
+        line = self.chunks.known.get("\n")
+        if line is not None:
+            bare[1:] |= numbers[:-1] == line
+            bare &= numbers != line
+        bare = np.flatnonzero(bare)
+        numbers[bare] = self.chunks.bare_numbers([distinct[i] for i in codes[bare].tolist()])
+        ids, sizes = self.chunks.gather(numbers)
+        return ids, np.add.reduceat(sizes, bounds[:-1])
 
 
 @cache
