@@ -26,14 +26,15 @@ def _half_chord(lat1: Column, lon1: Column, lat2: Column, lon2: Column) -> Colum
 
 
 def haversine(lat1: Column, lon1: Column, lat2: Column, lon2: Column) -> Column:
-    """Metres by arc sine, clamped so that rounding never leaves its domain [I1]."""
-    return 2 * EARTH_RADIUS * F.asin(F.least(F.lit(1.0), F.sqrt(_half_chord(lat1, lon1, lat2, lon2))))
+    """Metres by arc sine, clamped so that rounding never leaves its domain; null if a coordinate is [I1]."""
+    chord = F.sqrt(_half_chord(lat1, lon1, lat2, lon2))
+    return 2 * EARTH_RADIUS * F.asin(F.when(chord > 1, 1.0).otherwise(chord))
 
 
 def haversine_atan(lat1: Column, lon1: Column, lat2: Column, lon2: Column) -> Column:
     """Metres by arc tangent, 0 for equal points [I2]."""
     a = _half_chord(lat1, lon1, lat2, lon2)
-    there = 2 * EARTH_RADIUS * F.atan2(F.sqrt(a), F.sqrt(F.greatest(F.lit(0.0), 1 - a)))
+    there = 2 * EARTH_RADIUS * F.atan2(F.sqrt(a), F.sqrt(F.when(a > 1, 0.0).otherwise(1 - a)))
     return F.when((lat1 == lat2) & (lon1 == lon2), 0.0).otherwise(there)
 
 
@@ -122,7 +123,7 @@ def foot_of_perpendicular(px: Column, py: Column, x1: Column, y1: Column, x2: Co
 def segment_distance(px: Column, py: Column, x1: Column, y1: Column, x2: Column, y2: Column) -> Column:
     """Distance to a segment; a segment of no length is a point [I17]."""
     t, _, _ = foot_of_perpendicular(px, py, x1, y1, x2, y2)
-    t = F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.coalesce(t, F.lit(0.0))))
+    t = F.when(t < 0, 0.0).when(t > 1, 1.0).otherwise(F.coalesce(t, F.lit(0.0)))
     return F.hypot(px - (x1 + t * (x2 - x1)), py - (y1 + t * (y2 - y1)))
 
 

@@ -74,7 +74,7 @@ def grid_range_join(points: DataFrame, boxes: DataFrame, reach: float, point_key
     Boxes are exploded to the cells that they touch, points have one cell, so each pair meets once. Box columns
     keep their names and must differ from the points'.
     """
-    grown = cells_of_box(F.col("x1") - reach, F.col("y1") - reach, F.col("x2") + reach, F.col("y2") + reach, 2 * reach)
+    grown = cells_of_box(F.least("x1", "x2") - reach, F.least("y1", "y2") - reach, F.greatest("x1", "x2") + reach, F.greatest("y1", "y2") + reach, 2 * reach)
     dealt = boxes.withColumn("__c", F.explode(grown)).select("*", F.col("__c.cx").alias("__cx"), F.col("__c.cy").alias("__cy")).drop("__c")
     placed = points.withColumn("__cx", cell(F.col("x"), 2 * reach)).withColumn("__cy", cell(F.col("y"), 2 * reach))
     inside = F.col("x").between(F.least("x1", "x2") - reach, F.greatest("x1", "x2") + reach) & F.col("y").between(F.least("y1", "y2") - reach, F.greatest("y1", "y2") + reach)

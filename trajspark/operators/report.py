@@ -140,12 +140,12 @@ def audit(points: DataFrame, required: tuple[str, ...] = UI_FIELDS) -> DataFrame
     """A row for each check of UI points [K15, C30, C31]: name, ok, detail."""
     missing = sorted(set(required) - set(points.columns))
     fields = points.sparkSession.range(1).select(F.lit("fields").alias("name"), F.lit(not missing).alias("ok"), F.lit(",".join(missing)).alias("detail"))
-    ranges = points.agg(
-        F.array(
-            F.struct(F.lit("rows").alias("name"), (F.count("*") > 0).alias("ok"), F.count("*").cast("string").alias("detail")),
-            F.struct(F.lit("latitude"), F.coalesce((F.min("lat") >= -90) & (F.max("lat") <= 90), F.lit(False)), F.count("lat").cast("string")),
-            F.struct(F.lit("longitude"), F.coalesce((F.min("lon") >= -180) & (F.max("lon") <= 180), F.lit(False)), F.count("lon").cast("string")),
-            F.struct(F.lit("time"), F.coalesce(F.min("milli") <= F.max("milli"), F.lit(False)), F.countDistinct("milli").cast("string")),
-        ).alias("x")
-    )
+    checks = {
+        "rows": (F.count("*") > 0, F.count("*")),
+        "latitude": ((F.min("lat") >= -90) & (F.max("lat") <= 90), F.count("lat")),
+        "longitude": ((F.min("lon") >= -180) & (F.max("lon") <= 180), F.count("lon")),
+        "time": (F.min("milli") <= F.max("milli"), F.countDistinct("milli")),
+    }
+    rows = [F.struct(F.lit(n).alias("name"), F.coalesce(ok, F.lit(False)).alias("ok"), d.cast("string").alias("detail")) for n, (ok, d) in checks.items()]
+    ranges = points.agg(F.array(*rows).alias("x"))
     return fields.unionByName(ranges.select(F.inline("x")))

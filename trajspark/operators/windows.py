@@ -82,11 +82,12 @@ def trailing_time(df: DataFrame, by: list[str], micros: str, column: str, second
     return df.withColumn(out, F.stddev_pop(column).over(w))
 
 
-def trailing_distance(df: DataFrame, by: list[str], order: list[str], aggregate: Column, metres: float = 100.0, out: str = "trailing", step: str = "step") -> DataFrame:
-    """An aggregate over the trailing metres of the track [F13, F18]. Needs step."""
+def trailing_distance(df: DataFrame, by: list[str], order: list[str], aggregate: Column, metres: float = 100.0, out: str = "trailing", step: str = "step", decimals: int | None = None) -> DataFrame:
+    """An aggregate over the trailing metres of the track [F13, F18], run distances rounded if asked for. Needs step."""
     run = F.sum(step).over(ordered(by, order).rowsBetween(UNBOUNDED, 0))
-    w = Window.partitionBy(*by).orderBy("__run").rangeBetween(-metres, 0)
-    return df.withColumn("__run", run).withColumn(out, aggregate.over(w)).drop("__run")
+    run = run if decimals is None else F.round(run, decimals)
+    w = Window.partitionBy(*by).orderBy("__run").rangeBetween(-round(metres * 1000), 0)  # frames take whole numbers
+    return df.withColumn("__run", run * 1000).withColumn(out, aggregate.over(w)).drop("__run")
 
 
 def carry_forward(df: DataFrame, by: list[str], order: list[str], columns: list[str], initial: float | None = 0.0) -> DataFrame:

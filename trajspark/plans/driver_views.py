@@ -53,7 +53,7 @@ WALK_SQL = TRACK_SQL + """, walk AS (
 
 
 def hav_sql(a: str, b: str, c: str, d: str) -> str:
-    return f"(2 * 6371000.0e0 * asin(least(1.0e0, sqrt(pow(sin((radians({c}) - radians({a})) / 2), 2) + cos(radians({a})) * cos(radians({c})) * pow(sin(radians({d} - {b}) / 2), 2)))))"
+    return f"(CASE WHEN {a} IS NULL OR {c} IS NULL THEN NULL ELSE 2 * 6371000.0e0 * asin(least(1.0e0, sqrt(pow(sin((radians({c}) - radians({a})) / 2), 2) + cos(radians({a})) * cos(radians({c})) * pow(sin(radians({d} - {b}) / 2), 2)))) END)"
 
 
 def steps_sql(source: str = "track") -> str:
