@@ -34,7 +34,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from trajspark.llm.common import checkpointed
+from trajspark.llm.common import checkpointed, release_memory
 from trajspark.llm.tokens import slices
 from trajspark.shipping import ship
 
@@ -42,7 +42,7 @@ WINDOW = 5
 MIN_LITERALS = 2
 MIN_COVERAGE = 0.5
 TABLE_BITS = 22
-CACHED_WORDS = 500_000
+CACHED_WORDS = 300_000
 
 # Unit words.
 UNITS = frozenset(
@@ -159,6 +159,8 @@ def windows(rows: DataFrame, table: bytes | None = None) -> DataFrame:
                 if found:
                     at, place, h, slots = zip(*found, strict=True)
                     yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(at, pa.int64())), pa.array(place, pa.int64()), pa.array(h, pa.int64()), pa.array(slots, pa.list_(pa.string()))], ["id", "at", "hash", "slots"])
+        del vocabulary
+        release_memory()
 
     return rows.mapInArrow(run, WINDOWS)
 

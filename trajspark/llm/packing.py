@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from trajspark.llm import tokens
-from trajspark.llm.common import checkpointed, id_and_text
+from trajspark.llm.common import checkpointed, id_and_text, release_memory
 from trajspark.shipping import ship
 
 CAPACITY = 2048
@@ -69,6 +69,7 @@ def pieces(docs: DataFrame, *, tokenizer: str | None = None, capacity: int = CAP
                         arrays.append(pa.array([x.astype(np.int32) for x in columns[5]], pa.list_(pa.int32())))
                         names.append("ids")
                     yield pa.RecordBatch.from_arrays(arrays, names)
+        release_memory()
 
     return id_and_text(docs).mapInArrow(run, PIECES + ", ids array<int>" * with_ids)
 

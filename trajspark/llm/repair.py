@@ -32,18 +32,20 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from trajspark.llm import tokens
-from trajspark.llm.common import id_and_text, shared_folder
+from trajspark.llm.common import id_and_text, release_memory, shared_folder
 from trajspark.shipping import ship
 
 END_ID = 2
 #: Above all ids of the vocabulary.
 FIRST_RULE = 1 << 16
 SHARD_TOKENS = 2 << 20
-ROUNDS = 5
+ROUNDS = 4
 PAIRS_A_ROUND = 4096
 #: A pair that is rarer than this isn't replaced.
 MIN_COUNT = 8
-HASH_BITS = 18
+HASH_BITS = 19
+#: Chunks that a worker's encoder remembers.
+CACHED_CHUNKS = 1_300_000
 
 SHARD_SCHEMA = "part int, block int, n_tokens long, doc_ids binary, doc_null binary, doc_sizes binary, rules binary, expansions binary, symbols binary"
 
@@ -78,19 +80,25 @@ def compress(ids: np.ndarray, rounds: int = ROUNDS) -> tuple[np.ndarray, np.ndar
         at = np.flatnonzero((counts >= least)[bins])
         if not len(at):
             break
-        # bins only prefilter: pairs are counted exactly here
-        pairs, where, exact = np.unique((s[at].astype(np.uint64) << np.uint64(32)) | s[at + 1], return_inverse=True, return_counts=True)
-        good = exact >= MIN_COUNT
+        # a bin stands for one of its pairs, the last one seen, which is counted exactly; others wait for a later round
+        rank = np.cumsum(counts >= least) - 1
+        own = rank[bins[at]]
+        pair = (s[at].astype(np.uint64) << np.uint64(32)) | s[at + 1]
+        stands = np.zeros(int(rank[-1]) + 1, np.uint64)
+        stands[own] = pair
+        same = stands[own] == pair
+        at, own = at[same], own[same]
+        good = np.bincount(own, minlength=len(stands)) >= MIN_COUNT
         if not good.any():
             break
-        number = np.cumsum(good) - 1 + len(rules) + FIRST_RULE
-        chosen = at[good[where]]
+        number = (np.cumsum(good) - 1 + len(rules) + FIRST_RULE).astype(np.uint32)
+        chosen = good[own]
         marked = np.zeros(len(s), bool)
-        marked[chosen] = True
+        marked[at[chosen]] = True
         symbol = np.zeros(len(s), np.uint32)
-        symbol[chosen] = number[where[good[where]]]
+        symbol[at[chosen]] = number[own[chosen]]
         left = _apart(marked)
-        new = np.stack([pairs[good] >> np.uint64(32), pairs[good] & np.uint64(0xFFFFFFFF)], axis=1).astype(np.uint32)
+        new = np.stack([stands[good] >> np.uint64(32), stands[good] & np.uint64(0xFFFFFFFF)], axis=1).astype(np.uint32)
         size = lambda x: np.where(x < FIRST_RULE, 1, expansions[np.maximum(x.astype(np.int64) - FIRST_RULE, 0) % max(1, len(expansions))] if len(expansions) else 1)
         grown = (size(new[:, 0]) + size(new[:, 1])).astype(np.uint32)
         s[left] = symbol[left]
@@ -108,9 +116,9 @@ def symbol_sizes(symbols: np.ndarray, expansions: np.ndarray) -> np.ndarray:
     return size
 
 
-def expand(symbols: np.ndarray, rules: np.ndarray) -> np.ndarray:
-    """The ids that symbols stand for; as many passes as rules are deep."""
-    s = symbols
+def rule_ids(rules: np.ndarray) -> np.ndarray:
+    """The ids that all nonterminals stand for, one after the other; as many passes as rules are deep."""
+    s = np.arange(FIRST_RULE, FIRST_RULE + len(rules), dtype=np.uint32)
     while (rule := s >= FIRST_RULE).any():
         n = 1 + rule.astype(np.int64)
         ends = np.cumsum(n)
@@ -123,12 +131,27 @@ def expand(symbols: np.ndarray, rules: np.ndarray) -> np.ndarray:
     return s
 
 
+def expand(symbols: np.ndarray, rules: np.ndarray, expansions: np.ndarray) -> np.ndarray:
+    """The ids that symbols stand for: those of nonterminals are copied from one table."""
+    size = symbol_sizes(symbols, expansions)
+    ends = np.cumsum(size)
+    rule = symbols >= FIRST_RULE
+    table = rule_ids(rules)
+    out = np.empty(int(ends[-1]) if len(ends) else 0, np.uint32)
+    out[(ends - 1)[~rule]] = symbols[~rule]
+    n, first = size[rule], (ends - size)[rule]
+    source = (np.cumsum(expansions, dtype=np.int64) - expansions)[symbols[rule].astype(np.int64) - FIRST_RULE]
+    within = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
+    out[np.repeat(first, n) + within] = table[np.repeat(source, n) + within]
+    return out
+
+
 def decode_range(symbols: np.ndarray, rules: np.ndarray, expansions: np.ndarray, start: int, stop: int) -> np.ndarray:
     """Ids start .. stop - 1 of a shard, without decoding the others."""
     ends = np.cumsum(symbol_sizes(symbols, expansions))
     a, z = int(np.searchsorted(ends, start, "right")), int(np.searchsorted(ends, stop, "left")) + 1
     before = int(ends[a - 1]) if a else 0
-    return expand(symbols[a:z], rules)[start - before : stop - before]
+    return expand(symbols[a:z], rules, expansions)[start - before : stop - before]
 
 
 def ordered(docs: DataFrame) -> DataFrame:
@@ -144,7 +167,7 @@ def write_shards(docs: DataFrame, folder: str, *, tokenizer: str | None = None,
         from pyspark import TaskContext
 
         part, block = TaskContext.get().partitionId(), 0
-        encoder = tokens.encoder(path)
+        encoder = tokens.encoder(path, CACHED_CHUNKS)
         held: list[tuple[list, np.ndarray, np.ndarray]] = []
         held_tokens = 0
 
@@ -177,6 +200,8 @@ def write_shards(docs: DataFrame, folder: str, *, tokenizer: str | None = None,
                     held, held_tokens, block = [], 0, block + 1
         if held:
             yield shard()
+        held = []
+        release_memory()
 
     ordered(docs).mapInArrow(run, SHARD_SCHEMA).write.option("compression", "zstd").parquet(folder)
 
@@ -189,7 +214,7 @@ def read_documents(spark: SparkSession, folder: str, *, with_ids: bool = False)
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for r in batch.to_pylist():
-                ids = expand(np.frombuffer(r["symbols"], "<u4"), np.frombuffer(r["rules"], "<u4").reshape(-1, 2)).astype("<u4")
+                ids = expand(np.frombuffer(r["symbols"], "<u4"), np.frombuffer(r["rules"], "<u4").reshape(-1, 2), np.frombuffer(r["expansions"], "<u4")).astype("<u4")
                 sizes = np.frombuffer(r["doc_sizes"], "<i8")
                 ends = np.cumsum(sizes)
                 crc = [zlib.crc32(ids[z - n : z]) for z, n in zip(ends.tolist(), sizes.tolist(), strict=True)]

@@ -26,7 +26,7 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from trajspark.llm.common import checkpointed, id_and_text
@@ -89,14 +89,15 @@ def fingerprint(text: str | None) -> int:
 
 
 def fingerprints(docs: DataFrame) -> DataFrame:
-    """(doc_id, fp)"""
+    """(doc_id, same, fp); same: hash of the text, which tells rows of one id apart."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            found = np.fromiter((fingerprint(x.as_py()) for x in b.column(1)), np.int64, b.num_rows)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(found)], ["doc_id", "fp"])
+            found = np.fromiter((fingerprint(x.as_py()) for x in b.column(2)), np.int64, b.num_rows)
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(found)], ["doc_id", "same", "fp"])
 
-    return id_and_text(docs).mapInArrow(run, "doc_id long, fp long")
+    slim = id_and_text(docs).select("doc_id", F.xxhash64("text").alias("same"), "text")
+    return slim.mapInArrow(run, "doc_id long, same long, fp long")
 
 
 def syndrome(x: np.ndarray) -> np.ndarray:
@@ -173,23 +174,26 @@ def links(distinct: DataFrame) -> DataFrame:
     return visiting.join(at_home, "anchor").filter(near).select("u", "v")
 
 
-def simhash_groups(docs: DataFrame) -> DataFrame:
-    """(doc_id, fingerprint, component_id)"""
+def grouped(docs: DataFrame) -> DataFrame:
+    """(doc_id, same, fp, component, component_id): component is the least fingerprint of the group, component_id its least id."""
     ship(docs.sparkSession)
     marked = checkpointed(fingerprints(docs))
     classes = checkpointed(marked.groupBy("fp").agg(F.min("doc_id").alias("least")))
     linked = star_components(links(classes.select("fp")))
     linked = classes.join(linked.withColumnRenamed("node", "fp"), "fp", "left").withColumn("component", F.coalesce("component", "fp"))
     least = linked.groupBy("component").agg(F.min("least").alias("component_id"))
-    by_fp = linked.select("fp", "component").join(least, "component").select("fp", "component_id")
-    return marked.join(by_fp, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+    return marked.join(linked.select("fp", "component").join(least, "component"), "fp")
 
 
-def keep_one_of_each(docs: DataFrame) -> DataFrame:
-    """All columns of docs; of each component the document with the least id stays, once if its row is repeated.
+def simhash_groups(docs: DataFrame) -> DataFrame:
+    """(doc_id, fingerprint, component_id)"""
+    return grouped(docs).select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
-    Documents without an id: one stays of each component that has no other.
-    """
-    kept = simhash_groups(docs).filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("__kept")).distinct()
-    rows = docs.join(kept, docs["doc_id"].cast("long").eqNullSafe(F.col("__kept")), "left_semi")
-    return rows.dropDuplicates(["doc_id"])
+
+def keep_one_of_each(docs: DataFrame) -> DataFrame:
+    """All columns of docs; of each component the document with the least id stays (one of several texts of that id, once)."""
+    own = grouped(docs).filter(F.col("doc_id").eqNullSafe(F.col("component_id")))
+    kept = own.groupBy("component").agg(F.min(F.struct("doc_id", "same")).alias("k")).select(F.col("k.doc_id").alias("__id"), F.col("k.same").alias("__same")).distinct()
+    marked = docs.withColumn("__hash", F.xxhash64(F.col("text").cast("string")))
+    here = docs["doc_id"].cast("long").eqNullSafe(F.col("__id")) & (F.col("__hash") == F.col("__same"))
+    return marked.join(kept, here, "left_semi").dropDuplicates(["doc_id", "__hash"]).drop("__hash")

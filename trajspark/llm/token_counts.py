@@ -28,7 +28,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 
-from trajspark.llm.common import id_and_text
+from trajspark.llm.common import id_and_text, release_memory
 from trajspark.llm.tokens import slices
 from trajspark.shipping import ship
 
@@ -203,5 +203,6 @@ def token_counts(docs: DataFrame, *, vocabulary: str | None = None) -> DataFrame
             for part in slices(batch):
                 words, tokens = own.texts(part.column(1))
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(words, pa.int64()), pa.array(tokens, pa.int64())], ["doc_id", "n_words", "n_tokens"])
+        release_memory()
 
     return id_and_text(docs).mapInArrow(run, "doc_id long, n_words long, n_tokens long")

@@ -23,7 +23,7 @@ WHITE = r"[\s\v\x1c-\x1f\x{85}\x{a0}\x{1680}\x{180e}\x{2000}-\x{200b}\x{2028}\x{
 GLUE = "\x01"
 UNSAFE = f"{WHITE}{WHITE}|{GLUE}"
 CUT = r"([\pL\pN])([.,;:!?)\]\"*#$%&|]+)"
-#: Chunks that a worker remembers at most; then it starts anew.
+#: Chunks that a worker remembers, about 200 bytes each; with more it starts anew.
 CACHED_CHUNKS = 700_000
 #: Bytes of texts that are encoded at a time.
 SLICE_BYTES = 4 << 20
@@ -75,14 +75,18 @@ class Chunks:
         return self._add(np.diff(starts, append=len(ids)), ids)
 
     def numbers(self, chunks: list[str]) -> np.ndarray:
-        new = [c for c, n in zip(chunks, map(self.known.get, chunks), strict=True) if n is None]
-        if new:
+        found = list(map(self.known.get, chunks))
+        missing = [i for i, n in enumerate(found) if n is None]
+        if missing:
+            new = [chunks[i] for i in missing]
             odd = [c for c in new if c in ("", "\n") or c[0] == GLUE]
             self.known.update(zip(odd, self._encode([c[1:] if c[:1] == GLUE else c or " " for c in odd]), strict=True))
             words = [c for c in new if c and c != "\n" and c[0] != GLUE]
             for i in range(0, len(words), JOINED):
                 self.known.update(zip(words[i : i + JOINED], self._encode_words(words[i : i + JOINED]), strict=True))
-        return np.fromiter(map(self.known.__getitem__, chunks), np.int64, len(chunks))
+            for i, c in zip(missing, new, strict=True):
+                found[i] = self.known[c]
+        return np.array(found, np.int64)
 
     def bare_numbers(self, chunks: list[str]) -> np.ndarray:
         new = [c for c in dict.fromkeys(chunks) if c not in self.bare]
@@ -98,7 +102,8 @@ class Chunks:
 
 
 class Encoder:
-    def __init__(self, path: str) -> None:
+    def __init__(self, path: str, cached_chunks: int) -> None:
+        self.cached_chunks = cached_chunks
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -128,7 +133,7 @@ class Encoder:
         flat = cut.flatten().dictionary_encode()
         codes = flat.indices.to_numpy()
         distinct = flat.dictionary.to_numpy(zero_copy_only=False).tolist()
-        if self.chunks.count > CACHED_CHUNKS:
+        if self.chunks.count > self.cached_chunks:
             self.chunks.clear()
         numbers = self.chunks.numbers(distinct)[codes]
         # what begins a text or a line has no space before it
@@ -145,9 +150,9 @@ class Encoder:
 
 
 @cache
-def encoder(path: str) -> Encoder:
+def encoder(path: str, cached_chunks: int = CACHED_CHUNKS) -> Encoder:
     """One for each worker."""
-    return Encoder(path)
+    return Encoder(path, cached_chunks)
 
 
 def slices(batch: pa.RecordBatch, text_column: int = 1):
