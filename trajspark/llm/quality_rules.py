@@ -2,7 +2,8 @@
 
 Every document gets a score: the mean over its hashed unigrams and bigrams of
 ``log p_target(bucket) - log p_raw(bucket)``. The raw multinomial counts all n-grams of all documents; the
-target multinomial counts those of trusted documents. Both are add-one smoothed over ``buckets`` buckets.
+target multinomial counts those of trusted documents. Each bucket of both has ``SMOOTHING`` more, so that counts
+of a few copies are no evidence.
 
 Edge cases: a null text has no words, as an empty one; both fail the base rule and score 0. Without trusted
 documents every score is 0, so only the base rule decides. Repeated rows are scored one by one and all count
@@ -19,6 +20,7 @@ from pyspark.sql import functions as F
 from trajspark.llm.common import id_and_text, let, words
 
 BUCKETS = 1 << 14
+SMOOTHING = 8
 #: Rows that the target multinomial is fitted on at most (lowest hash of the id first).
 TARGET_ROWS = 20_000
 THRESHOLD = -0.25
@@ -107,8 +109,8 @@ def ratio_weights(docs: DataFrame, labels: DataFrame, buckets: int = BUCKETS, ta
         target[r["bucket"]] = r["count"]
     if not sum(target):
         return [0.0] * buckets
-    n_t, n_r = sum(target) + buckets, sum(raw) + buckets
-    return [math.log((t + 1) / n_t) - math.log((r + 1) / n_r) for t, r in zip(target, raw, strict=True)]
+    n_t, n_r = sum(target) + SMOOTHING * buckets, sum(raw) + SMOOTHING * buckets
+    return [math.log((t + SMOOTHING) / n_t) - math.log((r + SMOOTHING) / n_r) for t, r in zip(target, raw, strict=True)]
 
 
 def judged(text: Column, weights: list[float], threshold: float) -> Column:
