@@ -23,8 +23,11 @@ def work_folder(spark: SparkSession) -> str:
 
 
 def walk_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
-    path = f"{sf_dir.rstrip('/')}/events.parquet"
-    e = spark.readStream.schema(spark.read.parquet(path).select(*WALK).schema).parquet(path)
+    """The events as a recording in a folder, since a file source watches folders."""
+    events = spark.read.parquet(f"{sf_dir.rstrip('/')}/events.parquet").select(*WALK)
+    folder = f"{work_folder(spark)}/in"
+    events.repartitionByRange("ts").write.parquet(folder)
+    e = S.replay(spark, folder, events.schema, files_a_batch=1_000_000)
     lat = F.lit(17.0) + (F.col("event_id") % 97) * F.lit(1e-6) + F.col("value") * F.lit(1e-6)
     lon = F.lit(78.0) + (F.col("event_id") % 89) * F.lit(1e-6)
     return e.select("user_id", "event_id", micros().alias("us"), F.col("ts").cast("timestamp").alias("ts"), lat.alias("lat"), lon.alias("lon"), "value")

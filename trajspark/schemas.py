@@ -1,10 +1,17 @@
-"""Explicit schemas: no source infers any."""
+"""Explicit schemas: no source infers any. They are DDL strings, which need no session to be made."""
 
 from __future__ import annotations
 
-from pyspark.sql.types import StructType
+import re
+
+
+class schema(str):
+    @property
+    def names(self) -> list[str]:
+        """Top-level column names."""
+        flat = re.sub(r"<[^<>]*>", "", re.sub(r"<[^<>]*>", "", self))
+        return [part.split()[0] for part in flat.split(",")]
 
-schema = StructType.fromDDL
 
 POS = schema(
     "track_id STRING, epoch BIGINT, ts TIMESTAMP, lat DOUBLE, lon DOUBLE, height DOUBLE, q INT, ns INT, "

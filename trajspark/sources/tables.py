@@ -6,12 +6,11 @@ import re
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
 
 from trajspark import schemas
 
 
-def csv_table(spark: SparkSession, path: str, schema: StructType) -> DataFrame:
+def csv_table(spark: SparkSession, path: str, schema: str) -> DataFrame:
     return spark.read.schema(schema).option("header", True).csv(path)
 
 
