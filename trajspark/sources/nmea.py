@@ -67,7 +67,7 @@ def gsv(found: DataFrame) -> DataFrame:
 def gsa(found: DataFrame) -> DataFrame:
     """Used satellites and dilutions of precision, by their places: 3-14 and 15, 16, 17."""
     f = F.col("f")
-    used = F.filter(F.transform(F.slice(f, 4, 12), F.trim), lambda x: x != "")
+    used = F.filter(F.transform(F.slice(f, 4, 12), lambda x: F.trim(x)), lambda x: x != "")
     return found.filter((F.col("type") == "GSA") & (F.size(f) >= 18)).select(
         *KEYS, used.alias("used"), T.number(f, 15).alias("pdop"), T.number(f, 16).alias("hdop"), T.number(f, 17).alias("vdop")
     )

@@ -25,7 +25,7 @@ def edges_of_osm(spark: SparkSession, path: str) -> DataFrame:
     ways = spark.read.format("xml").option("rowTag", "way").schema(way).load(path)
     tag = lambda k: F.get(F.filter("tag", lambda t: t["_k"] == k), 0)["_v"]
     pairs = ways.select(F.col("_id").alias("way"), tag("highway").alias("highway"), F.coalesce(tag("oneway") == "yes", F.lit(False)).alias("oneway"), F.posexplode(F.arrays_zip(F.expr("nd._ref").alias("a"), F.expr("slice(nd._ref, 2, size(nd))").alias("b"))).alias("key", "x"))
-    pairs = pairs.select("way", "highway", "oneway", "key", F.col("x")["0"].alias("u"), F.col("x")["1"].alias("v")).filter("v IS NOT NULL")
+    pairs = pairs.select("way", "highway", "oneway", "key", F.col("x.a").alias("u"), F.col("x.b").alias("v")).filter("v IS NOT NULL")
     end = lambda n: nodes.select(F.col("_id").alias(n), F.struct(F.col("_lon").alias("x"), F.col("_lat").alias("y")).alias(f"{n}_at"))
     return pairs.join(end("u"), "u").join(end("v"), "v").select("u", "v", "key", "highway", "oneway", F.array("u_at", "v_at").alias("coords"))
 

@@ -52,7 +52,7 @@ def training_rows(spark: SparkSession, path: str) -> DataFrame:
 def yaml_matrices(spark: SparkSession, path: str) -> DataFrame:
     """(key, rows, cols, data) of each matrix in OpenCV YAML text [A28]."""
     pattern = r"(?s)(\w+): !!opencv-matrix\s+rows: (\d+)\s+cols: (\d+)\s+dt: \S+\s+data: \[(.*?)\]"
-    found = spark.read.option("wholetext", True).text(path).select(F.explode(F.regexp_extract_all("value", F.lit(pattern), F.lit(0))).alias("m"))
+    found = spark.read.text(path, wholetext=True).select(F.explode(F.regexp_extract_all("value", F.lit(pattern), F.lit(0))).alias("m"))
     part = lambda i: F.regexp_extract("m", pattern, i)
     data = F.filter(F.transform(F.split(part(4), ","), lambda x: F.trim(x).try_cast("double")), lambda x: x.isNotNull())
     return found.select(part(1).alias("key"), part(2).cast("int").alias("rows"), part(3).cast("int").alias("cols"), data.alias("data"))

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 def numbered_lines(spark: SparkSession, path: str | list[str]) -> DataFrame:
     """(file, line_no, line). Recordings are bounded files: each is read whole, so that line numbers are exact."""
-    files = spark.read.option("wholetext", True).text(path).select(F.input_file_name().alias("file"), "value")
+    files = spark.read.text(path, wholetext=True).select(F.input_file_name().alias("file"), "value")
     return files.select("file", F.posexplode(F.split("value", "\r?\n")).alias("line_no", "line"))
 
 
