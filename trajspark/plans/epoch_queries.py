@@ -22,7 +22,7 @@ def _nmea_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     lon = F.format_string("078%02d.%04d", F.col("event_id") % 59, (F.col("event_id") * 53) % 10000)
     sentence = F.format_string("NMEA,$GPGGA,054023.00,%s,N,%s,%s,%d,08,%.1f,550.0,M,-70.0,M,,*5A,%d", lat, lon, F.when(F.col("event_id") % 5 == 0, "W").otherwise("E"), F.col("event_id") % 6, (F.col("event_id") % 30) / 10.0, 1773553223000 + F.col("event_id") * 400)
     bad = F.when(F.col("event_id") % 11 == 0, F.concat(sentence, F.lit("x"))).otherwise(sentence)
-    return e.select(F.lit("log").alias("file"), F.col("event_id").alias("line_no"), bad.alias("line"))
+    return e.select(F.lit("log").alias("file"), F.col("event_id").alias("line_no"), F.explode(F.array(bad)).alias("line"))  # made once, as if read
 
 
 NMEA_SQL = """nmea AS (

@@ -22,17 +22,14 @@ def sentences(lines: DataFrame, *, bare: bool = True) -> DataFrame:
     stamp = F.substring_index(F.substring_index("line", ",", -1), "*", 1)
     body = F.when(wrapped, F.regexp_extract("line", r"^NMEA,(.*),[^,]*$", 1)).otherwise(F.col("line"))
     kept = lines.filter(wrapped | (F.lit(bare) & F.col("line").startswith("$")))
-    parsed = kept.select(
-        "file",
-        "line_no",
-        F.when(wrapped & (F.length(F.trim(stamp)) >= LEAST_DIGITS), F.trim(stamp).try_cast("long")).alias("ts_ms"),
-        wrapped.alias("wrapped"),
-        T.without_checksum(body).alias("body"),
-    ).filter(~F.col("wrapped") | F.col("ts_ms").isNotNull())
-    head = F.get(F.split("body", ","), 0)
+    ms = F.when(wrapped & (F.length(F.trim(stamp)) >= LEAST_DIGITS), F.trim(stamp).try_cast("long"))
+    parts = F.struct(ms.alias("ts_ms"), wrapped.alias("wrapped"), F.split(T.without_checksum(body), ",").alias("f"))
+    # one generated row for each line: the split is done once, not again in every column that reads a field
+    parsed = kept.select("file", "line_no", F.explode(F.array(parts)).alias("p")).filter(~F.col("p.wrapped") | F.col("p.ts_ms").isNotNull())
+    head = F.get("p.f", 0)
     return parsed.select(
-        "file", "line_no", "ts_ms", floor_second(F.col("ts_ms")).alias("sec"),
-        F.substring(head, 2, 2).alias("talker"), F.substring(head, 4, 3).alias("type"), F.split("body", ",").alias("f"),
+        "file", "line_no", F.col("p.ts_ms").alias("ts_ms"), floor_second(F.col("p.ts_ms")).alias("sec"),
+        F.substring(head, 2, 2).alias("talker"), F.substring(head, 4, 3).alias("type"), F.col("p.f").alias("f"),
     )
 
 
