@@ -239,3 +239,72 @@ def test_empty_tables_and_null_ids(spark):
     assert simhash.keep_one_of_each(empty).count() == 0
     kept = simhash.keep_one_of_each(odd).collect()
     assert sorted((r.doc_id, r.text) for r in kept if r.text) == [(3, "a b c")] and len(kept) == 2
+
+
+def plain_templates(text):
+    """(place, template, slots) of both kinds of windows, word by word."""
+    words, begin, last_number = [], True, False
+    for line in (text or "").split("\n"):
+        begin = True
+        for raw in re.split(r"[ \t\v\f\r]+", line):
+            bare = re.sub(r"^[\W_]+|[\W_]+$", "", raw)
+            if not bare:
+                continue
+            low = bare.lower()
+            number = bool(re.fullmatch(r"\d+([.,:/]\d+)*", low))
+            kind = "num" if number else "qty" if re.fullmatch(r"\d+([.,:/]\d+)*[^\W\d_]+", low) else "unit" if last_number and low in decontamination.UNITS else ""
+            name = not kind and low not in decontamination.UNITS and not low[0].isdigit() and bare[:1].isupper() and bare[1:].islower() and not begin
+            words.append((low, kind, "name" if name else kind))
+            begin, last_number = bool(re.search(r"[.!?:;][\W_]*$", raw)), number
+    out = []
+    k = decontamination.WINDOW
+    for i in range(len(words) - k + 1):
+        part = words[i : i + k]
+        for which in (1, 2):
+            if which == 2 and not any(w[2] == "name" for w in part):
+                continue
+            if sum(not w[which] for w in part) >= decontamination.MIN_LITERALS:
+                out.append((i, tuple(w[which] and f"<{w[which]}>" or w[0] for w in part), tuple((w[which], w[0]) for w in part if w[which])))
+    return out
+
+
+def brute_decontamination(docs, items, least):
+    found = set()
+    for item, question in items.items():
+        own = plain_templates(question)
+        total = len({i for i, _, _ in own})
+        for doc, text in docs.items():
+            shifts = {}
+            for at, template, slots in plain_templates(text):
+                for place, other, values in own:
+                    if template == other:
+                        places, pairs = shifts.setdefault(at - place, (set(), set()))
+                        places.add(place)
+                        pairs.update(zip(values, slots))
+            good = [p for p, pairs in shifts.values() if len(pairs) == len({a for a, _ in pairs})]
+            n = len(set().union(*good)) if good else 0
+            if total and n / total >= least:
+                found.add((doc, item, n, total))
+    return found
+
+
+def test_decontamination_is_brute_force(spark):
+    r = random.Random(11)
+    vocabulary = ["the", "train", "leaves", "Paris", "Anna", "with", "12", "7", "km", "hours,", "red", "blue.", "and", "5kg", "then", "walks", "O'Neil", "3.5", "x_y", "--"]
+    text = lambda n: " ".join(r.choice(vocabulary) for _ in range(n))
+    items = {i: text(r.randint(3, 20)) for i in range(12)}
+    change = {"Paris": "Rome", "Anna": "Bob", "12": "99", "7": "8", "km": "miles"}
+    docs = {}
+    for i in range(60):
+        q = items[r.randrange(12)].split()
+        if i % 3 == 0:
+            q = [change.get(w, w) for w in q]
+        if i % 4 == 0:
+            q = [w.lower() for w in q]
+        if i % 5 == 0:
+            q = q[: len(q) // 2]
+        docs[i] = text(r.randint(0, 15)) + r.choice([" ", "\n", ". "]) + " ".join(q) + " " + text(r.randint(0, 15))
+    bench = spark.createDataFrame(list(items.items()), "item_id long, text string")
+    got = {(x.doc_id, x.item_id, x.n_windows, x.item_windows) for x in decontamination.contaminated(frame(spark, docs), bench).collect()}
+    want = brute_decontamination(docs, items, decontamination.MIN_COVERAGE)
+    assert got == want and len({d for d, *_ in want}) > 20

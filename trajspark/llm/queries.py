@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from trajspark.llm import line_dedup as lines
+from trajspark.llm import sharding
 from trajspark.llm.common import table
 from trajspark.llm.decontamination import contaminated
 from trajspark.llm.language_id import detect_language
@@ -14,7 +15,6 @@ from trajspark.llm.packing import best_fit_packing
 from trajspark.llm.quality_classifier import quality_scores
 from trajspark.llm.quality_rules import quality_rules
 from trajspark.llm.repair import token_files
-from trajspark.llm.sharding import hash_tree_shards
 from trajspark.llm.simhash import simhash_groups
 from trajspark.llm.token_counts import token_counts
 
@@ -34,7 +34,7 @@ def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return hash_tree_shards(table(spark, sf_dir, "documents"))
+    return sharding.hash_tree_shards(table(spark, sf_dir, "documents"))
 
 
 def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -76,5 +76,6 @@ QUERIES: dict[str, Query] = {
 
 #: Only where SQL can express the query.
 ORACLES: dict[str, str] = {
+    "op4_sharding": sharding.ORACLE,
     "op7_line_dedup": lines.ORACLE,
 }

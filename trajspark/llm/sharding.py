@@ -121,3 +121,28 @@ def hash_tree_shards(docs: DataFrame, *, tree: Tree | None = None, grown: Tree |
     )
     rows = checkpointed(rows.select("doc_id", "size", "text_crc32", "law", F.col("both.shard").cast("int").alias("shard"), F.col("both.grown_shard").cast("int").alias("grown_shard")))
     return slots(rows).select("doc_id", "size", "text_crc32", "law", "shard", "slot", "grown_shard")
+
+
+#: The same in SQL: a flat least draw, which the descent ends at; the checksum by its table over UTF-8 bytes.
+ORACLE = r"""
+WITH leaves AS (SELECT range AS leaf FROM range(25)), draws AS (
+  SELECT doc_id, leaf, -ln((('0x' || substr(md5(concat(coalesce(doc_id::VARCHAR, ''), '/', leaf // 2)), 1 + 16 * (leaf % 2)::INT, 13))::BIGINT + 0.5e0) / 4503599627370496.0e0) AS draw
+  FROM (SELECT DISTINCT doc_id FROM documents), leaves
+), placed AS (
+  SELECT doc_id, arg_min(leaf, draw) FILTER (WHERE leaf < 24)::INT AS shard, arg_min(leaf, draw)::INT AS grown_shard FROM draws GROUP BY doc_id
+), crc_table AS (
+  SELECT list(list_reduce(list_concat([n], [0, 1, 2, 3, 4, 5, 6, 7]::BIGINT[]), lambda acc, x: CASE WHEN acc % 2 = 1 THEN xor(acc // 2, 3988292384) ELSE acc // 2 END) ORDER BY n) AS tbl FROM (SELECT range AS n FROM range(256))
+), bytes AS (
+  SELECT doc_id, text, flatten(list_transform(list_filter(string_split(coalesce(text, ''), ''), lambda c: c <> ''), lambda c: CASE
+    WHEN unicode(c) < 128 THEN [unicode(c)]
+    WHEN unicode(c) < 2048 THEN [192 + unicode(c) // 64, 128 + unicode(c) % 64]
+    WHEN unicode(c) < 65536 THEN [224 + unicode(c) // 4096, 128 + (unicode(c) // 64) % 64, 128 + unicode(c) % 64]
+    ELSE [240 + unicode(c) // 262144, 128 + (unicode(c) // 4096) % 64, 128 + (unicode(c) // 64) % 64, 128 + unicode(c) % 64] END))::BIGINT[] AS b
+  FROM documents
+), sized AS (
+  SELECT doc_id, len(b) + 8 AS size, xor(list_reduce(list_concat([4294967295], b), lambda acc, x: xor(acc // 256, tbl[xor(acc % 256, x) + 1])), 4294967295) AS text_crc32 FROM bytes, crc_table
+)
+SELECT s.doc_id, s.size::BIGINT AS size, s.text_crc32::BIGINT AS text_crc32, 'key' AS law, p.shard,
+       row_number() OVER (PARTITION BY p.shard ORDER BY substr(md5(concat(coalesce(s.doc_id::VARCHAR, ''), '/slot')), 1, 2), s.doc_id, s.text_crc32, s.size) - 1 AS slot, p.grown_shard
+FROM sized s JOIN placed p ON p.doc_id IS NOT DISTINCT FROM s.doc_id
+"""
