@@ -127,6 +127,17 @@ def segment_distance(px: Column, py: Column, x1: Column, y1: Column, x2: Column,
     return F.hypot(px - (x1 + t * (x2 - x1)), py - (y1 + t * (y2 - y1)))
 
 
+def beyond_view(lat1: Column, lon1: Column, lat2: Column, lon2: Column, lat0: Column, lon0: Column, reach: float = 0.0015) -> Column:
+    """Whether both ends of a segment lie beyond the same side of the view box around a point [C18]."""
+    sides = [(lat1 > lat0 + reach) & (lat2 > lat0 + reach), (lat1 < lat0 - reach) & (lat2 < lat0 - reach), (lon1 > lon0 + reach) & (lon2 > lon0 + reach), (lon1 < lon0 - reach) & (lon2 < lon0 - reach)]
+    return sides[0] | sides[1] | sides[2] | sides[3]
+
+
+def within_radius(lat: Column, lon: Column, lat0: Column, lon0: Column, metres: float = 1000.0) -> Column:
+    """[C19]"""
+    return haversine(lat, lon, lat0, lon0) <= metres
+
+
 def euclidean(a: Column, b: Column) -> Column:
     """Distance of two arrays [I16]."""
     return F.sqrt(F.aggregate(F.zip_with(a, b, lambda x, y: (x - y) * (x - y)), F.lit(0.0), lambda acc, x: acc + x))

@@ -11,7 +11,7 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from trajspark.functions.geo import euclidean, foot_of_perpendicular, slope_degrees, slope_difference
+from trajspark.functions.geo import bhattacharyya, euclidean, foot_of_perpendicular, slope_degrees, slope_difference
 from trajspark.operators.base import UNBOUNDED
 
 #: Largest estimated size, in bytes, of a side that is broadcast.
@@ -154,6 +154,23 @@ def knn_condition(queries: DataFrame, train: DataFrame, features: str = "feature
     return vote(found, list(query_key), "class")
 
 
+def knn_surface(queries: DataFrame, train: DataFrame, query_key: tuple[str, ...] = ("query_id",), k: int = 5) -> DataFrame:
+    """Road surface in two levels [K7]: tar or mixed by value histograms, then mud or concrete by saturation histograms.
+
+    queries(value_hist, sat_hist); train(train_id, train_hist, class) with classes tar and mudcon for the first
+    level, mud and con for the second. Only mixed queries go to the second level.
+    """
+    key = list(query_key)
+
+    def level(rows: DataFrame, hist: str, classes: tuple[str, str]) -> DataFrame:
+        own = train.filter(F.col("class").isin(*classes))
+        return vote(nearest_neighbours(rows, own, bhattacharyya(F.col(hist), F.col("train_hist")), key, ["train_id", "class"], k), key, "class")
+
+    first = level(queries, "value_hist", ("tar", "mudcon"))
+    mixed = queries.join(first.filter("class = 'mudcon'").select(*key), key, "left_semi")
+    return first.filter("class = 'tar'").unionByName(level(mixed, "sat_hist", ("mud", "con")))
+
+
 def grid_size(metres: float, latitude: float) -> float:
     """Degrees of longitude that span metres at a latitude."""
     return metres / (111_000.0 * math.cos(math.radians(latitude)))

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from trajspark.functions.text import coordinate_json
 from trajspark.operators.base import exact_percentile
 
 # Step limits in metres and weights of the exclusion score.
@@ -100,6 +101,17 @@ def bounds(df: DataFrame, by: list[str], pad: float = 0.001) -> DataFrame:
     )
 
 
+def layers(df: DataFrame, layer: list[str], order: list[str], step: str = "step", decimals: int = 7) -> DataFrame:
+    """Data of map layers [B11, H6, H7]: ordered coordinates as JSON, box, points and length; empty layers have no row.
+
+    A layer is one recording, drawn as a whole, so its points are gathered in one row.
+    """
+    point = F.struct(*order, coordinate_json(F.col("lat"), F.col("lon"), decimals).alias("c"))
+    text = F.concat(F.lit("["), F.array_join(F.transform(F.array_sort(F.collect_list(point)), lambda p: p["c"]), ","), F.lit("]"))
+    box = [f(c).alias(n) for n, f, c in (("south", F.min, "lat"), ("west", F.min, "lon"), ("north", F.max, "lat"), ("east", F.max, "lon"))]
+    return df.groupBy(*layer).agg(text.alias("coords"), *box, F.count("*").alias("points"), F.sum(step).alias("length"))
+
+
 def range_summary(df: DataFrame, by: list[str], micros: str, accuracy: str) -> DataFrame:
     """[E17]"""
     return df.groupBy(*by).agg(F.count("*").alias("n"), F.min(micros).alias("first_us"), F.max(micros).alias("last_us"), F.min("lat").alias("min_lat"), F.max("lat").alias("max_lat"), F.avg(accuracy).alias("mean_accuracy"))

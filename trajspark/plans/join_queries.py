@@ -220,3 +220,32 @@ def labelled_stream(spark, sf_dir):
     """Labels as a stream, carried forward onto sensor rows."""
     w = walk(spark, sf_dir).withColumn("label", F.when(F.col("event_type") == "view", F.col("value")))
     return carry_forward(w, BY, ORDER, ["label"], None).select("event_id", F.coalesce(F.col("label") > 20, F.lit(False)).alias("training"))
+
+
+SURFACE_SQL = f"""{KNN_SQL}, l1 AS (SELECT query_id, CASE WHEN class = 0 THEN 'tar' ELSE 'mudcon' END AS class, train_id, {BHATT_SQL} AS distance FROM q, t WHERE class IN (0, 1)),
+v1 AS (SELECT query_id, class, count(*) AS votes FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY distance, train_id) AS rank FROM l1) WHERE rank <= 5 GROUP BY ALL),
+c1 AS (SELECT query_id, class, votes FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY votes DESC, class) AS r FROM v1) WHERE r = 1),
+l2 AS (SELECT q.query_id, CASE WHEN t.class = 2 THEN 'mud' ELSE 'con' END AS class, train_id, {BHATT_SQL} AS distance FROM q JOIN c1 ON c1.query_id = q.query_id AND c1.class = 'mudcon', t WHERE t.class IN (2, 3)),
+v2 AS (SELECT query_id, class, count(*) AS votes FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY distance, train_id) AS rank FROM l2) WHERE rank <= 5 GROUP BY ALL)
+SELECT query_id, class, votes FROM c1 WHERE class = 'tar' UNION ALL SELECT query_id, class, votes FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY votes DESC, class) AS r FROM v2) WHERE r = 1"""
+
+
+@query(f"WITH {SURFACE_SQL}")
+def surface_two_level(spark, sf_dir):
+    """K7, D11, I32, I33."""
+    queries, train = _knn_sides(spark, sf_dir)
+    names = label_of(F.col("class"), {0: "tar", 1: "mudcon", 2: "mud"}, "con")
+    train = train.withColumn("class", names)
+    return J.knn_surface(queries.select("query_id", F.col("hist").alias("value_hist"), F.col("hist").alias("sat_hist")), train).select("query_id", "class", "votes")
+
+
+@query(f"WITH {TRACK_SQL} SELECT event_id, 2 * 6371000.0e0 * asin(sqrt(pow(sin(radians(17.4e0 - lat) / 2), 2) + cos(radians(lat)) * cos(radians(17.4e0)) * pow(sin(radians(78.3e0 - lon) / 2), 2))) <= 20000 AS near, (lat > 17.5 AND lag_lat > 17.5) OR (lat < 17.3 AND lag_lat < 17.3) OR (lon > 78.4 AND lag_lon > 78.4) OR (lon < 78.2 AND lag_lon < 78.2) AS beyond FROM (SELECT *, coalesce(lag(lat) OVER w, lat) AS lag_lat, coalesce(lag(lon) OVER w, lon) AS lag_lon FROM track WINDOW w AS (PARTITION BY user_id ORDER BY us, event_id))")
+def radius_and_view(spark, sf_dir):
+    """C18, C19."""
+    from trajspark.functions.geo import beyond_view, within_radius
+    from trajspark.operators.base import ordered
+
+    w = ordered(BY, ORDER)
+    t = track(spark, sf_dir).withColumn("a", F.coalesce(F.lag("lat").over(w), "lat")).withColumn("b", F.coalesce(F.lag("lon").over(w), "lon"))
+    lat0, lon0 = F.lit(17.4), F.lit(78.3)
+    return t.select("event_id", within_radius(F.col("lat"), F.col("lon"), lat0, lon0, 20_000.0).alias("near"), beyond_view(F.col("lat"), F.col("lon"), F.col("a"), F.col("b"), lat0, lon0, 0.1).alias("beyond"))

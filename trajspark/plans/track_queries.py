@@ -389,3 +389,39 @@ def adaptive_median(spark, sf_dir):
     """K13, F10."""
     s = steps(spark, sf_dir, walk).select(*BY, *ORDER, "lat", "lon", "height", "step")
     return S.adaptive_median(s, BY, ORDER).select("event_id", "lat", "lon", "height", "is_outlier")
+
+
+@query(f"WITH {WALK_SQL}, {steps_sql('walk')} SELECT user_id, '[' || string_agg(printf('[%.8f,%.8f]', lat, lon), ',' ORDER BY us, event_id) || ']' AS coords, round(min(lat), 7) AS south, round(max(lon), 7) AS east, count(*) AS points, round(sum(step), 3) AS length FROM steps GROUP BY user_id")
+def map_layers(spark, sf_dir):
+    """Eight decimals, at which the points have no rounding ties."""
+    found = P.layers(steps(spark, sf_dir, walk), BY, ORDER, decimals=8)
+    return found.select("user_id", "coords", F.round("south", 7).alias("south"), F.round("east", 7).alias("east"), "points", F.round("length", 3).alias("length"))
+
+
+GATED_SQL = WALK_SQL + ", gated AS (SELECT * FROM walk WHERE q <= 5 AND ns >= 4 AND sdn <= 0.95 AND sde <= 0.75)"
+
+
+@query(_recursive_sql("lat AS la, lon AS lo, true AS kept", f"CASE WHEN {hav_sql('r.la', 'r.lo', 'n.lat', 'n.lon')} <= 8 THEN n.lat ELSE r.la END, CASE WHEN {hav_sql('r.la', 'r.lo', 'n.lat', 'n.lon')} <= 8 THEN n.lon ELSE r.lo END, {hav_sql('r.la', 'r.lo', 'n.lat', 'n.lon')} <= 8", "gated", GATED_SQL) + " SELECT user_id, count(*) AS passed, count(*) FILTER (WHERE kept) AS kept FROM r GROUP BY user_id")
+def solution_gates(spark, sf_dir):
+    """Ordered gates [C9], then the velocity gate from the last accepted point [J5]."""
+    from trajspark.operators.quality import reject_reason
+
+    w = walk(spark, sf_dir).withColumn("reason", reject_reason(F.col("q"), F.col("ns"), F.col("sdn"), F.col("sde") + 0.2, max_deviation=0.95))
+    kept = V.last_accepted_gate(w.filter("reason IS NULL").select("user_id", "us", "event_id", "lat", "lon"), BY, ORDER, 8.0)
+    return kept.groupBy("user_id").agg(F.count("*").alias("passed"), F.count_if("kept").alias("kept"))
+
+
+@query()
+def kalman_residuals(spark, sf_dir):
+    """E23."""
+    t = track(spark, sf_dir).select(*BY, *ORDER, "lat", "lon", "height", "sdn", "sde", "sdu")
+    return M.filter_residuals(M.robust_kalman(t, BY, ORDER), BY)
+
+
+@query()
+def utm_projection(spark, sf_dir):
+    """I12."""
+    from trajspark.functions.geo import utm_xy
+
+    x, y = utm_xy(F.col("lat"), F.col("lon"))
+    return track(spark, sf_dir).select("event_id", F.round(x, 3).alias("easting"), F.round(y, 3).alias("northing"))
