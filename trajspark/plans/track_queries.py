@@ -391,11 +391,11 @@ def adaptive_median(spark, sf_dir):
     return S.adaptive_median(s, BY, ORDER).select("event_id", "lat", "lon", "height", "is_outlier")
 
 
-@query(f"WITH {WALK_SQL}, {steps_sql('walk')} SELECT user_id, '[' || string_agg(printf('[%.8f,%.8f]', lat, lon), ',' ORDER BY us, event_id) || ']' AS coords, round(min(lat), 7) AS south, round(max(lon), 7) AS east, count(*) AS points, round(sum(step), 3) AS length FROM steps GROUP BY user_id")
+@query(f"WITH {WALK_SQL}, {steps_sql('walk')} SELECT user_id, '[' || string_agg(printf('[%.8f,%.8f]', lat, lon), ',' ORDER BY us, event_id) || ']' AS coords, round(min(lat), 8) AS south, round(max(lon), 8) AS east, count(*) AS points, round(sum(step), 3) AS length FROM steps GROUP BY user_id")
 def map_layers(spark, sf_dir):
     """Eight decimals, at which the points have no rounding ties."""
     found = P.layers(steps(spark, sf_dir, walk), BY, ORDER, decimals=8)
-    return found.select("user_id", "coords", F.round("south", 7).alias("south"), F.round("east", 7).alias("east"), "points", F.round("length", 3).alias("length"))
+    return found.select("user_id", "coords", F.round("south", 8).alias("south"), F.round("east", 8).alias("east"), "points", F.round("length", 3).alias("length"))
 
 
 GATED_SQL = WALK_SQL + ", gated AS (SELECT * FROM walk WHERE q <= 5 AND ns >= 4 AND sdn <= 0.95 AND sde <= 0.75)"
