@@ -216,12 +216,12 @@ def test_grid_join_is_nested_loop(spark):
     boxes = [(i, *[r.uniform(-200, 200) for _ in range(2)]) for i in range(60)]
     boxes = [(i, x, y, x + r.uniform(-150, 150), y + r.uniform(-150, 150)) for i, x, y in boxes]
     p, b = spark.createDataFrame(points, "pid long, x double, y double"), spark.createDataFrame(boxes, "bid long, x1 double, y1 double, x2 double, y2 double")
-    got = {(a.pid, a.bid) for a in joins.grid_range_join(p, b, 15.0, ["pid"], ["bid"]).collect()}
+    got = {(a.pid, a.bid) for a in joins.grid_range_join(p, b, 15.0).collect()}
     want = {(i, j) for i, x, y in points for j, x1, y1, x2, y2 in boxes if min(x1, x2) - 15 <= x <= max(x1, x2) + 15 and min(y1, y2) - 15 <= y <= max(y1, y2) + 15}
     assert got == want
     far = spark.createDataFrame([(1, 0.0, 0.0), (2, 500.0, 500.0)], "pid long, x double, y double")
     box = spark.createDataFrame([(1, 100.0, 0.0, 120.0, 0.0)], "bid long, x1 double, y1 double, x2 double, y2 double")
-    assert [(a.pid, a.bid) for a in joins.grid_join_with_fallback(far, box, ["pid"], ["bid"]).collect()] == [(1, 1)]
+    assert [(a.pid, a.bid) for a in joins.grid_join_with_fallback(far, box, ["pid"]).collect()] == [(1, 1)]
 
 
 def test_segments_past_their_ends_do_not_match(spark):

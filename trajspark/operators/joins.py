@@ -6,8 +6,6 @@ loops over both sides.
 
 from __future__ import annotations
 
-import math
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -68,7 +66,7 @@ def cells_of_box(x1: Column, y1: Column, x2: Column, y2: Column, size: float) ->
     return F.flatten(F.transform(xs, lambda cx: F.transform(ys, lambda cy: F.struct(cx.alias("cx"), cy.alias("cy")))))
 
 
-def grid_range_join(points: DataFrame, boxes: DataFrame, reach: float, point_key: list[str], box_key: list[str]) -> DataFrame:
+def grid_range_join(points: DataFrame, boxes: DataFrame, reach: float) -> DataFrame:
     """points(x, y) and boxes(x1, y1, x2, y2): pairs whose box, grown by ``reach``, holds the point [D8].
 
     Boxes are exploded to the cells that they touch, points have one cell, so each pair meets once. Box columns
@@ -81,11 +79,11 @@ def grid_range_join(points: DataFrame, boxes: DataFrame, reach: float, point_key
     return placed.join(dealt, ["__cx", "__cy"]).filter(inside).drop("__cx", "__cy")
 
 
-def grid_join_with_fallback(points: DataFrame, boxes: DataFrame, point_key: list[str], box_key: list[str], reaches: tuple[float, ...] = (50.0, 200.0)) -> DataFrame:
+def grid_join_with_fallback(points: DataFrame, boxes: DataFrame, point_key: list[str], reaches: tuple[float, ...] = (50.0, 200.0)) -> DataFrame:
     """The wider reach only for points that the narrower one leaves without a pair."""
     out, left = None, points
     for reach in reaches:
-        found = grid_range_join(left, boxes, reach, point_key, box_key)
+        found = grid_range_join(left, boxes, reach)
         out = found if out is None else out.unionByName(found)
         left = left.join(found.select(*point_key).distinct(), point_key, "left_anti")
     return out
@@ -97,7 +95,7 @@ def nearest_segment(points: DataFrame, segments: DataFrame, reach: float, point_
     The foot holds if the directions from one end to the foot and from the foot to the other differ by at most
     ``max_turn`` degrees. Only segments whose box lies within ``reach`` are looked at, by grid cells.
     """
-    near = grid_range_join(points, segments, reach, point_key, segment_key)
+    near = grid_range_join(points, segments, reach)
     t, fx, fy = foot_of_perpendicular(F.col("x"), F.col("y"), F.col("x1"), F.col("y1"), F.col("x2"), F.col("y2"))
     near = near.withColumn("__t", t).withColumn("fx", fx).withColumn("fy", fy).filter("__t IS NOT NULL")
     # the foot lies between the ends exactly if both directions agree
@@ -169,8 +167,3 @@ def knn_surface(queries: DataFrame, train: DataFrame, query_key: tuple[str, ...]
     first = level(queries, "value_hist", ("tar", "mudcon"))
     mixed = queries.join(first.filter("class = 'mudcon'").select(*key), key, "left_semi")
     return first.filter("class = 'tar'").unionByName(level(mixed, "sat_hist", ("mud", "con")))
-
-
-def grid_size(metres: float, latitude: float) -> float:
-    """Degrees of longitude that span metres at a latitude."""
-    return metres / (111_000.0 * math.cos(math.radians(latitude)))

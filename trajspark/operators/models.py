@@ -169,7 +169,7 @@ def lane_match(points: DataFrame, edges: DataFrame, by: list[str], epoch: str =
     track's epochs, in log space, runs in Python.
     """
     ship(points.sparkSession)
-    near = grid_join_with_fallback(points.select(*by, epoch, "x", "y", "heading"), edges, [*by, epoch], ["u", "v", "key"])
+    near = grid_join_with_fallback(points.select(*by, epoch, "x", "y", "heading"), edges, [*by, epoch])
     edge_bearing = bearing(F.col("x2") - F.col("x1"), F.col("y2") - F.col("y1"))
     fit = heading_factor(F.coalesce(angle_between(F.col("heading"), edge_bearing), F.lit(0.0)))
     distance = segment_distance(F.col("x"), F.col("y"), F.col("x1"), F.col("y1"), F.col("x2"), F.col("y2"))

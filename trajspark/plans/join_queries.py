@@ -82,14 +82,14 @@ def _boxes(spark, sf_dir):
 @query(f"""WITH {SPACE_SQL} SELECT event_id, seg_id FROM planar, segments WHERE x BETWEEN least(x1, x2) - 20 AND greatest(x1, x2) + 20 AND y BETWEEN least(y1, y2) - 20 AND greatest(y1, y2) + 20""")
 def grid_range_join(spark, sf_dir):
     """D8, C18."""
-    return J.grid_range_join(planar(spark, sf_dir), _boxes(spark, sf_dir), 20.0, ["event_id"], ["seg_id"]).select("event_id", "seg_id")
+    return J.grid_range_join(planar(spark, sf_dir), _boxes(spark, sf_dir), 20.0).select("event_id", "seg_id")
 
 
 @query(f"""WITH {SPACE_SQL}, n AS (SELECT event_id, seg_id FROM planar, segments WHERE x BETWEEN least(x1, x2) - 10 AND greatest(x1, x2) + 10 AND y BETWEEN least(y1, y2) - 10 AND greatest(y1, y2) + 10)
 SELECT * FROM n UNION ALL SELECT event_id, seg_id FROM planar p, segments WHERE NOT EXISTS (SELECT 1 FROM n WHERE n.event_id = p.event_id) AND x BETWEEN least(x1, x2) - 40 AND greatest(x1, x2) + 40 AND y BETWEEN least(y1, y2) - 40 AND greatest(y1, y2) + 40""")
 def grid_join_fallback(spark, sf_dir):
     """The wider box only for points without a candidate."""
-    found = J.grid_join_with_fallback(planar(spark, sf_dir), _boxes(spark, sf_dir), ["event_id"], ["seg_id"], (10.0, 40.0))
+    found = J.grid_join_with_fallback(planar(spark, sf_dir), _boxes(spark, sf_dir), ["event_id"], (10.0, 40.0))
     return found.select("event_id", "seg_id")
 
 
@@ -108,7 +108,7 @@ def nearest_segment(spark, sf_dir):
 WHERE x BETWEEN least(x1, x2) - 20 AND greatest(x1, x2) + 20 AND y BETWEEN least(y1, y2) - 20 AND greatest(y1, y2) + 20)""")
 def segment_distances(spark, sf_dir):
     """I17, I16."""
-    near = J.grid_range_join(planar(spark, sf_dir), _boxes(spark, sf_dir), 20.0, ["event_id"], ["seg_id"])
+    near = J.grid_range_join(planar(spark, sf_dir), _boxes(spark, sf_dir), 20.0)
     return near.select("event_id", "seg_id", r6(segment_distance(F.col("x"), F.col("y"), F.col("x1"), F.col("y1"), F.col("x2"), F.col("y2")), "distance"))
 
 

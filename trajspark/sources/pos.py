@@ -31,8 +31,8 @@ def solutions(lines: DataFrame, *, least: int = 7) -> DataFrame:
     return parsed.withColumn("epoch", epoch.cast("long")).select(*schemas.POS.names)
 
 
-def fixed_width(spark: SparkSession, path: str, header_lines: int = 10) -> DataFrame:
-    """The 15 typed columns of a file with single spaces; the first header lines go by their ``%`` [A15]."""
+def fixed_width(spark: SparkSession, path: str) -> DataFrame:
+    """The 15 typed columns of a file with single spaces; header lines go by their ``%`` [A15]."""
     return spark.read.schema(schemas.POS_FIXED).options(sep=" ", comment="%", ignoreLeadingWhiteSpace=True, mode="DROPMALFORMED").csv(path)
 
 

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import re
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -99,7 +97,3 @@ def renumbered(files: DataFrame, step: int = 129) -> DataFrame:
 
     number = 1 + step * (F.row_number().over(Window.orderBy("file")) - 1)
     return files.withColumn("number", number)
-
-
-def safe_name(name: str) -> str:
-    return re.sub(r"\W+", "_", name)
