@@ -335,6 +335,16 @@ def test_histogram_edges(spark):
     assert got == {0: 2, 1: 1, 29: 2}
 
 
+def test_ranks_are_a_sort(spark):
+    r = random.Random(0)
+    rows = [(k, i, r.choice([0.0, 1.0, 5.0, r.uniform(0, 1e6)])) for k in "ab" for i in range(300)] + [("c", 0, 3.0)]
+    df = spark.createDataFrame(rows, "k string, t long, v double")
+    got = {(x.k, x.t): (x.rank, x.rank_of) for x in report.ranked(df, ["k"], ["v", "t"]).collect()}
+    for k in "abc":
+        own = sorted((v, t) for g, t, v in rows if g == k)
+        assert all(got[k, t] == (i + 1, len(own)) for i, (_, t) in enumerate(own))
+
+
 def test_audit(spark):
     bad = spark.createDataFrame([(1.0, 200.0, 5)], "lat double, lon double, milli long")
     got = {r.name: r.ok for r in report.audit(bad).collect()}

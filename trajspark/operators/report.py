@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from trajspark.functions.text import coordinate_json
-from trajspark.operators.base import exact_percentile
+from trajspark.operators.base import exact_percentile, with_group_values
 
 # Step limits in metres and weights of the exclusion score.
 LIMITS = (3, 5, 10)
@@ -58,11 +58,31 @@ def histogram(df: DataFrame, by: list[str], column: str, width: float, most: flo
     return inside.groupBy(*by, at.alias("bin")).agg(F.count("*").alias("n"))
 
 
+RANK_BUCKETS = 256
+
+
+def ranked(df: DataFrame, by: list[str], order: list[str], out: str = "rank") -> DataFrame:
+    """Rank from 1 and size of each group, as <out> and <out>_of; the first order column is a number.
+
+    A group may be most of the table, so rows are ranked within 256 slices of its range; the slices' counts give
+    the ranks before them.
+    """
+    v = F.col(order[0])
+    ends = df.groupBy(*by).agg(F.min(v).alias("__lo"), F.max(v).alias("__hi"))
+    share = F.coalesce(F.try_divide(v - F.col("__lo"), F.col("__hi") - F.col("__lo")), F.lit(0.0))
+    sliced = with_group_values(df, by, ends).withColumn("__b", F.least(F.lit(RANK_BUCKETS - 1), F.floor(share * RANK_BUCKETS).cast("int"))).drop("__lo", "__hi")
+    counts = sliced.groupBy(*by, "__b").agg(F.count("*").alias("__c"))
+    w = Window.partitionBy(*by)
+    counts = counts.withColumn("__before", F.coalesce(F.sum("__c").over(w.orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).withColumn("__all", F.sum("__c").over(w)).drop("__c")
+    own = sliced.withColumn("__r", F.row_number().over(Window.partitionBy(*by, "__b").orderBy(*order)))
+    joined = own.join(counts, [*by, "__b"])
+    return joined.withColumn(out, F.col("__before") + F.col("__r")).withColumn(f"{out}_of", F.col("__all")).drop("__b", "__r", "__before", "__all")
+
+
 def ecdf(df: DataFrame, by: list[str], order: list[str], first: int = 1, out: str = "percent") -> DataFrame:
     """Percent of rows up to this one, counted from ``first`` (1 or 0) [E9]."""
-    w = Window.partitionBy(*by)
-    rank = F.row_number().over(w.orderBy(*order)) - 1 + first
-    return df.withColumn(out, 100.0 * rank / F.count(F.lit(1)).over(w))
+    rows = ranked(df, by, order, "__rank")
+    return rows.withColumn(out, 100.0 * (F.col("__rank") - 1 + first) / F.col("__rank_of")).drop("__rank", "__rank_of")
 
 
 def box_summary(df: DataFrame, by: list[str], column: str) -> DataFrame:
