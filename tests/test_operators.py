@@ -238,6 +238,15 @@ def test_votes_tie_to_the_lowest_class(spark):
     assert joins.knn_condition(q, train.limit(2)).first().votes == 1
 
 
+def test_blocks_do_not_change_neighbours(spark, monkeypatch):
+    r = random.Random(4)
+    train = spark.createDataFrame([(i, [float(r.randint(0, 9)), float(r.randint(0, 9))], r.randint(0, 3)) for i in range(50)], "train_id long, train_features array<double>, class int")
+    q = spark.createDataFrame([(i, [float(r.randint(0, 9)), float(r.randint(0, 9))]) for i in range(20)], "query_id long, features array<double>")
+    one = sorted(joins.knn_condition(q, train).collect())
+    monkeypatch.setattr(joins, "TRAIN_BLOCK", 7)
+    assert sorted(joins.knn_condition(q, train).collect()) == one
+
+
 def test_zip_keeps_the_first_channel(spark):
     a, b = series(spark, [1, 2, 3], "value"), series(spark, [7], "value")
     rows = joins.zip_join({"x": a, "y": b}, BY, ORDER).orderBy("pos").collect()

@@ -6,12 +6,16 @@ loops over both sides.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from trajspark.functions.geo import bhattacharyya, euclidean, foot_of_perpendicular, slope_degrees, slope_difference
 from trajspark.operators.base import UNBOUNDED
 
+#: Training rows that a query is compared with at a time.
+TRAIN_BLOCK = 4096
 #: Largest estimated size, in bytes, of a side that is broadcast.
 BROADCAST_BYTES = 8 << 20
 
@@ -129,15 +133,22 @@ def locf_merge(streams: dict[str, DataFrame], by: list[str], order: list[str], v
     return carry_forward(merged, by, [*order, "__rank"], columns, initial).drop("__rank")
 
 
-def nearest_neighbours(queries: DataFrame, train: DataFrame, distance: Column, query_key: list[str], train_key: list[str], k: int = 5) -> DataFrame:
+def nearest_neighbours(queries: DataFrame, train: DataFrame, distance: Callable[[Column], Column], query_key: list[str], train_key: list[str], k: int = 5) -> DataFrame:
     """The k nearest training rows of each query, ranked; ties by training key [D10, D11, G4].
 
-    Every query is compared with the whole training table, a model of a few hundred rows, as a broadcast. A
-    per-query top-k by aggregation keeps k candidates, so the pairs are never shuffled or sorted as a whole.
+    distance: of a query's columns to a training row, given as a struct. Training rows are gathered in blocks of
+    about ``TRAIN_BLOCK`` rows, and a query takes its k best of each block as one expression, so pairs are never
+    rows. With one block, which is what a model's training set comes to, nothing is shuffled; with more, only k
+    candidates a block are.
     """
-    best = F.slice(F.array_sort(F.collect_list(F.struct(distance.alias("distance"), *train_key))), 1, k)
-    pairs = queries.join(small(train), F.lit(True))
-    return pairs.groupBy(*query_key).agg(best.alias("__b")).select(*query_key, F.posexplode("__b").alias("__i", "__n")).select(*query_key, (F.col("__i") + 1).alias("rank"), "__n.*")
+    n = max(1, -(-train.count() // TRAIN_BLOCK))
+    rows = F.collect_list(F.struct(*train.columns)).alias("__t")
+    blocks = train.groupBy(F.pmod(F.xxhash64(train_key[0]), F.lit(n)).alias("__block")).agg(rows).drop("__block")
+    ranked = F.slice(F.array_sort(F.transform("__t", lambda t: F.struct(distance(t).alias("distance"), *[t[c].alias(c) for c in train_key]))), 1, k)
+    best = queries.join(small(blocks) if n > 1 else F.broadcast(blocks), F.lit(True)).select(*query_key, ranked.alias("__b"))
+    if n > 1:
+        best = best.groupBy(*query_key).agg(F.slice(F.array_sort(F.flatten(F.collect_list("__b"))), 1, k).alias("__b"))
+    return best.select(*query_key, F.posexplode("__b").alias("__i", "__n")).select(*query_key, (F.col("__i") + 1).alias("rank"), "__n.*")
 
 
 def vote(neighbours: DataFrame, query_key: list[str], label: str) -> DataFrame:
@@ -148,7 +159,7 @@ def vote(neighbours: DataFrame, query_key: list[str], label: str) -> DataFrame:
 
 def knn_condition(queries: DataFrame, train: DataFrame, features: str = "features", query_key: tuple[str, ...] = ("query_id",), k: int = 5) -> DataFrame:
     """Road condition by votes of the nearest feature vectors [K6]. train(train_id, train_features, class)."""
-    found = nearest_neighbours(queries, train, euclidean(F.col(features), F.col("train_features")), list(query_key), ["train_id", "class"], k)
+    found = nearest_neighbours(queries, train, lambda t: euclidean(F.col(features), t["train_features"]), list(query_key), ["train_id", "class"], k)
     return vote(found, list(query_key), "class")
 
 
@@ -162,7 +173,7 @@ def knn_surface(queries: DataFrame, train: DataFrame, query_key: tuple[str, ...]
 
     def level(rows: DataFrame, hist: str, classes: tuple[str, str]) -> DataFrame:
         own = train.filter(F.col("class").isin(*classes))
-        return vote(nearest_neighbours(rows, own, bhattacharyya(F.col(hist), F.col("train_hist")), key, ["train_id", "class"], k), key, "class")
+        return vote(nearest_neighbours(rows, own, lambda t: bhattacharyya(F.col(hist), t["train_hist"]), key, ["train_id", "class"], k), key, "class")
 
     first = level(queries, "value_hist", ("tar", "mudcon"))
     mixed = queries.join(first.filter("class = 'mudcon'").select(*key), key, "left_semi")
