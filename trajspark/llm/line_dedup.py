@@ -29,6 +29,8 @@ from pyspark.sql import functions as F
 from trajspark.llm.common import WORD_GAP, checkpointed, let
 
 MIN_WORDS = 50
+#: More than the lines of any window, which has at most one line a word.
+SPAN = 1 << 16
 
 
 def _lines(text: Column) -> Column:
@@ -56,30 +58,31 @@ def windows(text: Column, min_words: int = MIN_WORDS) -> Column:
     def spans(hs: Column, ws: Column) -> Column:
         size = F.size(hs)
         at = F.sequence(F.lit(1), size)
-        ahead = F.transform(at, lambda i: F.struct(i.alias("s"), reach(F.slice(ws, i, F.lit(min_words))).alias("n")))
+        # a span is one long, start * SPAN + lines, so that equal ones are found by hash and not by comparing all pairs
+        ahead = F.transform(at, lambda i: i.cast("long") * SPAN + reach(F.slice(ws, i, F.lit(min_words))))
 
         def back(i: Column) -> Column:
             first = F.greatest(F.lit(1), i - (min_words - 1))
             n = reach(F.reverse(F.slice(ws, first, i - first + 1)))
-            return let(n, lambda m: F.struct((i - m + 1).alias("s"), m.alias("n")))
+            return let(n, lambda m: (i - m + 1).cast("long") * SPAN + m)
 
-        both = F.array_distinct(F.filter(F.concat(ahead, F.transform(at, back)), lambda x: x["n"] > 0))
+        both = F.array_distinct(F.filter(F.concat(ahead, F.transform(at, back)), lambda x: x % SPAN > 0))
 
-        def winnowed(x: Column) -> Column:
+        def winnowed(start: Column, n: Column) -> Column:
             return let(
-                F.slice(hs, x["s"], x["n"]),
+                F.slice(hs, start, n),
                 lambda part: F.struct(
-                    x["s"].alias("s"),
-                    x["n"].alias("n"),
+                    start.alias("s"),
+                    n.alias("n"),
                     F.array_min(part).alias("fp"),
                     F.xxhash64(part).alias("k1"),
                     F.xxhash64(F.lit(1), part).alias("k2"),
                     # place of the fingerprint, the rightmost of equal ones
-                    (x["s"] + x["n"] - F.array_position(F.reverse(part), F.array_min(part)).cast("int")).alias("at"),
+                    (start + n - F.array_position(F.reverse(part), F.array_min(part)).cast("int")).alias("at"),
                 ),
             )
 
-        return F.when(size > 0, F.transform(both, winnowed))
+        return F.when(size > 0, F.transform(both, lambda x: winnowed(F.floor(x / SPAN).cast("int"), (x % SPAN).cast("int"))))
 
     return let(lines, lambda a: let(F.transform(a, lambda x: x["h"]), lambda hs: let(F.transform(a, lambda x: x["w"]), lambda ws: spans(hs, ws))))
 
