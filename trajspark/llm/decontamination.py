@@ -40,7 +40,7 @@ from trajspark.shipping import ship
 
 WINDOW = 5
 MIN_LITERALS = 2
-MIN_COVERAGE = 0.5
+MIN_COVERAGE = 0.35
 TABLE_BITS = 22
 CACHED_WORDS = 300_000
 
