@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from trajspark.functions.geo import bhattacharyya, euclidean, foot_of_perpendicular, slope_degrees, slope_difference
+from trajspark.functions.geo import bhattacharyya, euclidean, foot_of_perpendicular
 from trajspark.operators.base import UNBOUNDED
 
 #: Training rows that a query is compared with at a time.
@@ -73,12 +73,12 @@ def cells_of_box(x1: Column, y1: Column, x2: Column, y2: Column, size: float) ->
 def grid_range_join(points: DataFrame, boxes: DataFrame, reach: float) -> DataFrame:
     """points(x, y) and boxes(x1, y1, x2, y2): pairs whose box, grown by ``reach``, holds the point [D8].
 
-    Boxes are exploded to the cells that they touch, points have one cell, so each pair meets once. Box columns
+    Boxes are exploded to the cells, as wide as the reach, that they touch; points have one cell, so a pair meets once. Box columns
     keep their names and must differ from the points'.
     """
-    grown = cells_of_box(F.least("x1", "x2") - reach, F.least("y1", "y2") - reach, F.greatest("x1", "x2") + reach, F.greatest("y1", "y2") + reach, 2 * reach)
+    grown = cells_of_box(F.least("x1", "x2") - reach, F.least("y1", "y2") - reach, F.greatest("x1", "x2") + reach, F.greatest("y1", "y2") + reach, reach)
     dealt = boxes.withColumn("__c", F.explode(grown)).select("*", F.col("__c.cx").alias("__cx"), F.col("__c.cy").alias("__cy")).drop("__c")
-    placed = points.withColumn("__cx", cell(F.col("x"), 2 * reach)).withColumn("__cy", cell(F.col("y"), 2 * reach))
+    placed = points.withColumn("__cx", cell(F.col("x"), reach)).withColumn("__cy", cell(F.col("y"), reach))
     inside = F.col("x").between(F.least("x1", "x2") - reach, F.greatest("x1", "x2") + reach) & F.col("y").between(F.least("y1", "y2") - reach, F.greatest("y1", "y2") + reach)
     return placed.join(dealt, ["__cx", "__cy"]).filter(inside).drop("__cx", "__cy")
 
@@ -93,22 +93,24 @@ def grid_join_with_fallback(points: DataFrame, boxes: DataFrame, point_key: list
     return out
 
 
-def nearest_segment(points: DataFrame, segments: DataFrame, reach: float, point_key: list[str], segment_key: list[str], max_turn: float = 20.0, columns: list[str] | None = None) -> DataFrame:
+def nearest_segment(points: DataFrame, segments: DataFrame, reach: float, point_key: list[str], segment_key: list[str]) -> DataFrame:
     """Each point with the nearest segment (x1, y1, x2, y2) that holds its foot [D9, K5]; nulls if there is none.
 
-    The foot holds if the directions from one end to the foot and from the foot to the other differ by at most
-    ``max_turn`` degrees. Only segments whose box lies within ``reach`` are looked at, by grid cells.
+    The direction from one end to the foot and the one from the foot to the other end agree exactly if the foot
+    lies between the ends, so that is the test. Only segments whose box lies within ``reach`` are looked at, by
+    grid cells; the foot is worked out for the nearest one alone.
     """
     near = grid_range_join(points, segments, reach)
-    t, fx, fy = foot_of_perpendicular(F.col("x"), F.col("y"), F.col("x1"), F.col("y1"), F.col("x2"), F.col("y2"))
-    near = near.withColumn("__t", t).withColumn("fx", fx).withColumn("fy", fy).filter("__t IS NOT NULL")
-    # the foot lies between the ends exactly if both directions agree
-    between = F.col("__t").between(0.0, 1.0)
-    turned = slope_difference(slope_degrees(F.col("x1"), F.col("y1"), F.col("fx"), F.col("fy")), slope_degrees(F.col("fx"), F.col("fy"), F.col("x2"), F.col("y2")))
-    near = near.filter(between & (turned <= max_turn) | (F.col("__t").isin(0.0, 1.0))).withColumn("distance", F.hypot(F.col("x") - F.col("fx"), F.col("y") - F.col("fy")))
-    keep = [*segment_key, "distance", "fx", "fy", *(columns or [])]
-    best = near.groupBy(*point_key).agg(F.min_by(F.struct(*keep), F.struct("distance", *segment_key)).alias("__s"))
-    return points.join(best, point_key, "left").select(*[points[c] for c in points.columns], *[F.col(f"__s.{c}").alias(c) for c in keep])
+    dx, dy = F.col("x2") - F.col("x1"), F.col("y2") - F.col("y1")
+    along = (F.col("x") - F.col("x1")) * dx + (F.col("y") - F.col("y1")) * dy
+    across = F.abs((F.col("x") - F.col("x1")) * dy - (F.col("y") - F.col("y1")) * dx)
+    length = dx * dx + dy * dy
+    found = near.filter((length > 0) & (along >= 0) & (along <= length)).withColumn("distance", across / F.sqrt(length))
+    ends = ["x1", "y1", "x2", "y2"]
+    best = found.groupBy(*point_key).agg(F.min_by(F.struct(*segment_key, "distance", *ends), F.struct("distance", *segment_key)).alias("__s"))
+    joined = points.join(best, point_key, "left")
+    _, fx, fy = foot_of_perpendicular(F.col("x"), F.col("y"), *[F.col(f"__s.{c}") for c in ends])
+    return joined.select(*points.columns, *[F.col(f"__s.{c}").alias(c) for c in [*segment_key, "distance"]], fx.alias("fx"), fy.alias("fy"))
 
 
 def zip_join(channels: dict[str, DataFrame], by: list[str], order: list[str], value: str = "value") -> DataFrame:
