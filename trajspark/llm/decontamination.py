@@ -162,6 +162,7 @@ def windows(rows: DataFrame, table: bytes | None = None) -> DataFrame:
         del vocabulary
         release_memory()
 
+    ship(rows.sparkSession)
     return rows.mapInArrow(run, WINDOWS)
 
 
@@ -190,7 +191,6 @@ def bit_table(found: DataFrame) -> bytes:
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, *, min_coverage: float = MIN_COVERAGE) -> DataFrame:
     """(doc_id, item_id, n_windows, item_windows, coverage, same_values): one row per document and item that it holds."""
-    ship(docs.sparkSession)
     known = benchmark_windows(benchmark)
     texts = docs.select(F.col("doc_id").cast("long").alias("id"), F.col("text").cast("string").alias("text"))
     met = windows(texts, bit_table(known)).join(known, "hash").filter(F.size("slots") == F.size("item_slots"))
@@ -218,3 +218,53 @@ def drop_contaminated(docs: DataFrame, benchmark: DataFrame, *, min_coverage: fl
     """docs without the documents that hold a benchmark item."""
     gone = contaminated(docs, benchmark, min_coverage=min_coverage).select(F.col("doc_id").alias("__gone")).distinct()
     return docs.join(gone, docs["doc_id"].cast("long").eqNullSafe(F.col("__gone")), "left_anti")
+
+
+#: The same in SQL: templates are compared as texts.
+ORACLE = r"""
+WITH texts AS (
+  SELECT 'd' AS side, doc_id AS id, text FROM documents UNION ALL SELECT 'b', item_id, text FROM benchmark
+), lines AS (
+  SELECT side, id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS ln FROM texts
+), pieces AS (
+  SELECT side, id, ln, unnest(regexp_split_to_array(line, '[ \t\v\f\r]+')) AS piece, generate_subscripts(regexp_split_to_array(line, '[ \t\v\f\r]+'), 1) AS wn FROM lines
+), bare AS (
+  SELECT side, id, ln, wn, piece, regexp_replace(piece, '^[^\pL\pN]+|[^\pL\pN]+$', '', 'g') AS plain FROM pieces
+), words AS (
+  SELECT side, id, ln, plain, lower(plain) AS low, row_number() OVER (PARTITION BY side, id ORDER BY ln, wn) AS n,
+         regexp_matches(piece, '[.!?:;][^\pL\pN]*$') AS stops,
+         CASE WHEN regexp_full_match(lower(plain), '\d+([.,:/]\d+)*') THEN '1' WHEN regexp_full_match(lower(plain), '\d+([.,:/]\d+)*\pL+') THEN '2' WHEN lower(plain) IN (@UNITS) THEN '3' ELSE '' END AS form
+  FROM bare WHERE plain <> ''
+), marked AS (
+  SELECT *, CASE WHEN form = '3' AND coalesce(lag(form) OVER w, '') <> '1' THEN '' ELSE form END AS k1,
+         CASE WHEN form = '' AND regexp_full_match(plain, '\p{Lu}[^\p{Lu}\p{Lt}]*') AND regexp_matches(substr(plain, 2), '\p{Ll}') AND NOT coalesce(lag(stops) OVER w OR lag(ln) OVER w <> ln, true) THEN '4' ELSE '' END AS is_name
+  FROM words WINDOW w AS (PARTITION BY side, id ORDER BY n)
+), spans AS (
+  SELECT side, id, n - 1 AS place, [low, lead(low, 1) OVER w, lead(low, 2) OVER w, lead(low, 3) OVER w, lead(low, 4) OVER w] AS lows,
+         [k1, lead(k1, 1) OVER w, lead(k1, 2) OVER w, lead(k1, 3) OVER w, lead(k1, 4) OVER w] AS ks,
+         [is_name, lead(is_name, 1) OVER w, lead(is_name, 2) OVER w, lead(is_name, 3) OVER w, lead(is_name, 4) OVER w] AS names
+  FROM marked WINDOW w AS (PARTITION BY side, id ORDER BY n)
+), kinds AS (
+  SELECT side, id, place, lows, ks FROM spans WHERE lows[5] IS NOT NULL
+  UNION ALL
+  SELECT side, id, place, lows, list_transform(range(1, 6), lambda i: ks[i] || names[i]) FROM spans WHERE lows[5] IS NOT NULL AND list_contains(names, '4')
+), templates AS (
+  SELECT side, id, place, array_to_string(list_transform(range(1, 6), lambda i: CASE WHEN ks[i] = '' THEN lows[i] ELSE '<' || ks[i] || '>' END), ' ') AS template,
+         list_transform(list_filter(range(1, 6), lambda i: ks[i] <> ''), lambda i: ks[i] || ':' || lows[i]) AS slots
+  FROM kinds WHERE len(list_filter(ks, lambda k: k = '')) >= 2
+), items AS (
+  SELECT id, min(id) OVER (PARTITION BY content) AS same, item_windows FROM (
+    SELECT id, string_agg(place || '|' || template || '|' || array_to_string(slots, ','), chr(10) ORDER BY place, template) AS content, count(DISTINCT place) AS item_windows FROM templates WHERE side = 'b' GROUP BY id)
+), met AS (
+  SELECT d.id AS doc_id, b.id AS item_id, d.place - b.place AS shift, b.place AS place, list_zip(b.slots, d.slots) AS z, i.item_windows
+  FROM templates b JOIN items i ON i.id = b.id AND i.same = b.id AND b.side = 'b' JOIN templates d ON d.side = 'd' AND d.template = b.template
+), torn AS (
+  SELECT doc_id, item_id, shift FROM (SELECT doc_id, item_id, shift, unnest(z) AS p FROM met) GROUP BY ALL HAVING count(DISTINCT p) > count(DISTINCT p[1])
+), aligned AS (
+  SELECT doc_id, item_id, shift, list(DISTINCT place) AS places, max(item_windows) AS item_windows, bool_and(len(list_filter(z, lambda p: p[1] <> p[2])) = 0) AS same
+  FROM met ANTI JOIN torn USING (doc_id, item_id, shift) GROUP BY ALL
+), found AS (
+  SELECT doc_id, item_id, len(list_distinct(flatten(list(places)))) AS n_windows, max(item_windows) AS item_windows, bool_or(same) AS same_values FROM aligned GROUP BY ALL
+)
+SELECT doc_id, item_id, n_windows::BIGINT AS n_windows, item_windows, n_windows / item_windows::DOUBLE AS coverage, same_values FROM found WHERE n_windows / item_windows::DOUBLE >= @COVERAGE
+""".replace("@UNITS", ", ".join(f"'{u}'" for u in sorted(UNITS))).replace("@COVERAGE", str(MIN_COVERAGE))

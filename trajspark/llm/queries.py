@@ -6,10 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from trajspark.llm import decontamination, sharding
 from trajspark.llm import line_dedup as lines
-from trajspark.llm import sharding
 from trajspark.llm.common import table
-from trajspark.llm.decontamination import contaminated
 from trajspark.llm.language_id import detect_language
 from trajspark.llm.packing import best_fit_packing
 from trajspark.llm.quality_classifier import quality_scores
@@ -50,7 +49,7 @@ def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return decontamination.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
 def op9_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -78,4 +77,5 @@ QUERIES: dict[str, Query] = {
 ORACLES: dict[str, str] = {
     "op4_sharding": sharding.ORACLE,
     "op7_line_dedup": lines.ORACLE,
+    "op8_decontamination": decontamination.ORACLE,
 }

@@ -203,6 +203,7 @@ def write_shards(docs: DataFrame, folder: str, *, tokenizer: str | None = None,
         held = []
         release_memory()
 
+    ship(docs.sparkSession)
     ordered(docs).mapInArrow(run, SHARD_SCHEMA).write.option("compression", "zstd").parquet(folder)
 
 
@@ -225,6 +226,7 @@ def read_documents(spark: SparkSession, folder: str, *, with_ids: bool = False)
                     arrays.append(pa.array([ids[z - k : z].astype(np.int32) for z, k in zip(ends.tolist(), sizes.tolist(), strict=True)], pa.list_(pa.int32())))
                 yield pa.RecordBatch.from_arrays(arrays, columns + ["ids"] * with_ids)
 
+    ship(spark)
     found = shards.mapInArrow(run, "part int, block int, doc_id long, at long, n_tokens long, ids_crc32 long" + ", ids array<int>" * with_ids)
     # ids before a shard: within its part, and of the parts before; a row for each part, so that one task can sum them
     totals = shards.groupBy("part").agg(F.sum("n_tokens").alias("n"))
@@ -238,7 +240,6 @@ def read_documents(spark: SparkSession, folder: str, *, with_ids: bool = False)
 def token_files(docs: DataFrame, *, folder: str | None = None, tokenizer: str | None = None) -> DataFrame:
     """Writes docs to shard files and returns what they hold."""
     spark = docs.sparkSession
-    ship(spark)
     folder = folder or f"{shared_folder(spark)}/token-files-{uuid.uuid4().hex}"
     write_shards(docs, folder, tokenizer=tokenizer)
     return read_documents(spark, folder)

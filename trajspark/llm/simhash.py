@@ -96,6 +96,7 @@ def fingerprints(docs: DataFrame) -> DataFrame:
             found = np.fromiter((fingerprint(x.as_py()) for x in b.column(2)), np.int64, b.num_rows)
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(found)], ["doc_id", "same", "fp"])
 
+    ship(docs.sparkSession)
     slim = id_and_text(docs).select("doc_id", F.xxhash64("text").alias("same"), "text")
     return slim.mapInArrow(run, "doc_id long, same long, fp long")
 
@@ -168,6 +169,7 @@ def links(distinct: DataFrame) -> DataFrame:
                 v, anchor = all_anchors(fp[at : at + 2000])
                 yield pa.RecordBatch.from_arrays([pa.array(anchor), pa.array(v)], ["anchor", "v"])
 
+    ship(distinct.sparkSession)
     at_home = distinct.mapInArrow(homes, "anchor long, u long")
     visiting = distinct.mapInArrow(visits, "anchor long, v long")
     near = (F.col("u") < F.col("v")) & (F.bit_count(F.col("u").bitwiseXOR(F.col("v"))) <= MAX_BITS)
@@ -176,7 +178,6 @@ def links(distinct: DataFrame) -> DataFrame:
 
 def grouped(docs: DataFrame) -> DataFrame:
     """(doc_id, same, fp, component, component_id): component is the least fingerprint of the group, component_id its least id."""
-    ship(docs.sparkSession)
     marked = checkpointed(fingerprints(docs))
     classes = checkpointed(marked.groupBy("fp").agg(F.min("doc_id").alias("least")))
     linked = star_components(links(classes.select("fp")))
