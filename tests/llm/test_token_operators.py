@@ -125,6 +125,27 @@ def test_compression_and_random_access():
         assert (repair.expand(*repair.compress(short)) == short).all()
 
 
+@pytest.mark.parametrize("kind", ["copies", "words", "run", "period", "few ids"])
+def test_no_frequent_pair_is_left(kind):
+    r = np.random.default_rng(3)
+    words = [r.integers(0, 50257, r.integers(2, 60)) for _ in range(3000)]
+    ids = {
+        "copies": np.tile(np.append(r.integers(0, 50257, 1000), 2), 40),
+        "words": np.concatenate([words[i] for i in r.zipf(1.3, 30000) % 3000]),
+        "run": np.full(5000, 7),
+        "period": np.tile([1, 2, 3], 5000),
+        "few ids": r.integers(0, 3, 20000),
+    }[kind].astype(np.int32)
+    symbols, rules, expansions = repair.compress(ids)
+    assert (repair.expand(symbols, rules, expansions) == ids).all()
+    pairs = (symbols[:-1].astype(np.uint64) << np.uint64(32)) | symbols[1:]
+    assert not len(pairs) or np.unique(pairs, return_counts=True)[1].max() < repair.MIN_COUNT
+    if kind in ("copies", "run"):
+        assert expansions.max() > 16
+    a, z = len(ids) // 3, len(ids) // 3 + 777
+    assert (repair.decode_range(symbols, rules, expansions, a, z) == ids[a:z]).all()
+
+
 def best_count(word, pieces):
     """By trying every segmentation."""
     best = (-np.inf, ())

@@ -12,8 +12,8 @@ about ``SHARD_TOKENS`` ids. A shard is one row of a Parquet table:
     symbols             uint32[]: the compressed ids
 
 Symbols under ``FIRST_RULE`` are ids. Re-Pair replaces the most frequent pairs of neighbours by nonterminals,
-many pairs a round, until no pair is frequent. The expansion lengths tell where an id of a given place is, so
-any range of ids is decoded without the rest (``decode_range``).
+many pairs a round, until no pair of neighbours occurs ``MIN_COUNT`` times in the shard. The expansion lengths
+tell where an id of a given place is, so any range of ids is decoded without the rest (``decode_range``).
 
 Edge cases: a null or empty text has the end id alone. Null ids come first. Rows of one id are ordered by a
 hash of their text. Repeated rows are written one by one. Extra columns are ignored; an empty table gives no
@@ -39,7 +39,6 @@ END_ID = 2
 #: Above all ids of the vocabulary.
 FIRST_RULE = 1 << 16
 SHARD_TOKENS = 2 << 20
-ROUNDS = 4
 PAIRS_A_ROUND = 4096
 #: A pair that is rarer than this isn't replaced.
 MIN_COUNT = 8
@@ -66,42 +65,71 @@ def _apart(marked: np.ndarray) -> np.ndarray:
     return at[(np.arange(len(at)) - start) % 2 == 0]
 
 
-def compress(ids: np.ndarray, rounds: int = ROUNDS) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def _stand_ins(s: np.ndarray, bins: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(pairs, places, pair of each place) of the most frequent bins. A bin stands for one of its pairs, the last one seen,
+    which is counted exactly; others wait for a later round."""
+    least = max(MIN_COUNT, int(np.partition(counts, -PAIRS_A_ROUND)[-PAIRS_A_ROUND]))
+    at = np.flatnonzero((counts >= least)[bins])
+    rank = np.cumsum(counts >= least) - 1
+    own = rank[bins[at]]
+    pair = (s[at].astype(np.uint64) << np.uint64(32)) | s[at + 1]
+    stands = np.zeros(int(rank[-1]) + 1, np.uint64)
+    stands[own] = pair
+    same = stands[own] == pair
+    at, own = at[same], own[same]
+    good = np.bincount(own, minlength=len(stands)) >= MIN_COUNT
+    chosen = good[own]
+    return stands[good], at[chosen], (np.cumsum(good) - 1)[own[chosen]]
+
+
+def _all_counted(s: np.ndarray, bins: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """As ``_stand_ins``, but of all pairs of frequent bins: none is returned only if no pair reaches MIN_COUNT."""
+    at = np.flatnonzero((counts >= MIN_COUNT)[bins])
+    pair = (s[at].astype(np.uint64) << np.uint64(32)) | s[at + 1]
+    found, n = np.unique(pair, return_counts=True)
+    most = np.argsort(-n, kind="stable")[:PAIRS_A_ROUND]
+    chosen = np.sort(found[most[n[most] >= MIN_COUNT]])
+    if not len(chosen):
+        return chosen, at[:0], at[:0]
+    own = np.searchsorted(chosen, pair) % len(chosen)
+    same = chosen[own] == pair
+    return chosen, at[same], own[same]
+
+
+def compress(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(symbols, rules as (r, 2), expansion lengths)"""
     s = ids.astype(np.uint32)
     rules = np.zeros((0, 2), np.uint32)
     expansions = np.zeros(0, np.uint32)
-    for _ in range(rounds):
-        if len(s) < 2:
-            break
+    exact = False
+    while len(s) > MIN_COUNT:
         bins = _pair_bins(s)
         counts = np.bincount(bins, minlength=1 << HASH_BITS)
-        least = max(MIN_COUNT, int(np.partition(counts, -PAIRS_A_ROUND)[-PAIRS_A_ROUND]))
-        at = np.flatnonzero((counts >= least)[bins])
-        if not len(at):
-            break
-        # a bin stands for one of its pairs, the last one seen, which is counted exactly; others wait for a later round
-        rank = np.cumsum(counts >= least) - 1
-        own = rank[bins[at]]
-        pair = (s[at].astype(np.uint64) << np.uint64(32)) | s[at + 1]
-        stands = np.zeros(int(rank[-1]) + 1, np.uint64)
-        stands[own] = pair
-        same = stands[own] == pair
-        at, own = at[same], own[same]
-        good = np.bincount(own, minlength=len(stands)) >= MIN_COUNT
-        if not good.any():
+        if counts.max() < MIN_COUNT:
             break
-        number = (np.cumsum(good) - 1 + len(rules) + FIRST_RULE).astype(np.uint32)
-        chosen = good[own]
+        pairs, at, own = (_all_counted if exact else _stand_ins)(s, bins, counts)
+        if not len(pairs):
+            if exact:
+                break
+            exact = True
+            continue
         marked = np.zeros(len(s), bool)
-        marked[at[chosen]] = True
-        symbol = np.zeros(len(s), np.uint32)
-        symbol[at[chosen]] = number[own[chosen]]
+        marked[at] = True
+        rule = np.zeros(len(s), np.int64)
+        rule[at] = own
         left = _apart(marked)
-        new = np.stack([stands[good] >> np.uint64(32), stands[good] & np.uint64(0xFFFFFFFF)], axis=1).astype(np.uint32)
-        size = lambda x: np.where(x < FIRST_RULE, 1, expansions[np.maximum(x.astype(np.int64) - FIRST_RULE, 0) % max(1, len(expansions))] if len(expansions) else 1)
-        grown = (size(new[:, 0]) + size(new[:, 1])).astype(np.uint32)
-        s[left] = symbol[left]
+        # neighbours take places from each other: pairs with few left get no rule now, and the most frequent one is sure of its places
+        used = np.bincount(rule[left], minlength=len(pairs)) >= MIN_COUNT // 2
+        if not used.any():
+            used[np.bincount(own).argmax()] = True
+            marked[at[~used[own]]] = False
+            left = _apart(marked)
+        left = left[used[rule[left]]]
+        exact = exact or len(left) < len(s) // 100
+        number = (np.cumsum(used) - 1 + len(rules) + FIRST_RULE).astype(np.uint32)
+        new = np.stack([pairs[used] >> np.uint64(32), pairs[used] & np.uint64(0xFFFFFFFF)], axis=1).astype(np.uint32)
+        grown = (symbol_sizes(new[:, 0], expansions) + symbol_sizes(new[:, 1], expansions)).astype(np.uint32)
+        s[left] = number[rule[left]]
         keep = np.ones(len(s), bool)
         keep[left + 1] = False
         s = s[keep]
