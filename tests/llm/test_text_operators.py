@@ -197,6 +197,32 @@ def test_inconsistent_slots_are_dropped(spark):
     assert [r.doc_id for r in decontamination.contaminated(docs, bench).collect()] == [1]
 
 
+def test_items_without_windows_are_found_whole(spark, tmp_path):
+    """By the query, over files."""
+    from trajspark.llm.queries import op8_decontamination
+
+    table = "1 2 3 4 5 6 7 8 9 10"
+    items = {1: "What is 12 + 7?", 2: "Compute 12 + 35 * 7 - 2", 3: table, 4: ITEM, 5: None, 6: "", 7: "what is 12 7"}
+    docs = {
+        1: "Q: what is 12 + 7? A: 19",
+        2: "What is 12 + 8?",
+        3: "Today we compute 12 + 35 * 7 - 2 by hand.",
+        4: "Compute 13 + 35 * 7 - 2",
+        5: f"Counting {table} and so on",
+        6: "1 2 3 4 5 6 7 8 and later 6 7 8 9 10",
+        7: "What is 12\n7? What is 12 7",
+        8: "Before it. " + ITEM,
+        9: "What",
+        10: None,
+        11: "",
+    }
+    frame(spark, docs).write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame(list(items.items()), "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    rows = op8_decontamination(spark, str(tmp_path)).collect()
+    assert sorted((r.doc_id, r.item_id) for r in rows) == [(1, 1), (3, 2), (5, 3), (7, 1), (8, 4)]
+    assert {r.doc_id: (r.n_windows, r.item_windows, r.coverage, r.same_values) for r in rows if r.doc_id in (1, 5)} == {1: (1, 1, 1.0, True), 5: (6, 6, 1.0, True)}
+
+
 def test_bit_table_only_prefilters(spark, monkeypatch):
     bench = spark.createDataFrame([(1, ITEM)], "item_id long, text string")
     docs = frame(spark, {1: ITEM, 2: "nothing of it is in here at all today"})

@@ -14,9 +14,13 @@ slots, so that a lower-cased copy still meets its item.
    keeps a re-parameterised question and drops chance matches of slots.
 4. A document is contaminated by an item if consistent windows cover ``MIN_COVERAGE`` of the item's windows.
 
+Items without a window (under 5 words, or nearly all slots) are found, if ``whole``, only word for word: all their
+words, literal and numbers alike, are compared in one window of their size, or in all 5-word windows at one
+alignment. The query and the pipeline do so; a word alone is then an item that every text with it holds.
+
 Items with the same template and the same slot values count as one, the one of the least id.
 
-Edge cases: null and empty texts match nothing, nor do items under 5 words. Rows with the same id share their
+Edge cases: null and empty texts match nothing, nor, without ``whole``, do items that have no window. Rows with the same id share their
 result. A null id is kept in the report; ``drop_contaminated`` treats it as any other value. Extra columns are
 ignored by ``contaminated`` and kept by ``drop_contaminated``. An empty table, or an empty benchmark, gives no
 rows.
@@ -60,6 +64,9 @@ SENTENCE_END = re.compile(r"[.!?:;][\W_]*$")
 SLOT_CODE = np.array([0, *(xxhash.xxh64_intdigest(f"<slot {k}>") for k in (NUMBER, QUANTITY, UNIT, NAME))], np.uint64)
 POWERS = np.array([pow(0x9E3779B97F4A7C15, j, 1 << 64) for j in range(WINDOW)], np.uint64)
 
+#: For the hashes of windows whose words are all literal.
+EXACT_CODE = np.uint64(xxhash.xxh64_intdigest("<exact>"))
+
 WINDOWS = "id long, at long, hash long, slots array<string>"
 
 
@@ -106,13 +113,13 @@ class Vocabulary:
         self.kind[n], self.code[n], self.ends[n] = kind, xxhash.xxh64_intdigest(bare), not word.isalnum() and bool(SENTENCE_END.search(word))
 
 
-def template_windows(vocabulary: Vocabulary, texts: pa.Array, passes=None) -> Iterator[tuple[int, int, int, list[str]]]:
-    """(row of the text, place, hash, slot values) of both templates' windows, those of which passes(hashes) is true."""
+def _words(vocabulary: Vocabulary, texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Of each word of the texts: row of the text, number, kind, whether it begins a sentence."""
     lines = pc.replace_substring(pc.replace_substring_regex(pc.fill_null(texts, ""), r"[\t\v\f\r]", " "), "\n", " \n ")
     cut = pc.split_pattern(lines, " ")
     flat = cut.flatten().dictionary_encode()
     if not len(flat):
-        return
+        return (np.zeros(0, np.int64),) * 4
     row = np.repeat(np.arange(len(texts)), np.diff(cut.offsets.to_numpy()))
     word = vocabulary.numbers(flat.dictionary.to_pylist())[flat.indices.to_numpy()]
     there = vocabulary.kind[word] != NOTHING
@@ -123,7 +130,15 @@ def template_windows(vocabulary: Vocabulary, texts: pa.Array, passes=None) -> It
     begins = np.ones(len(word), bool)
     begins[1:] = ends[:-1] | (row[1:] != row[:-1])
     real = kind != NEWLINE
-    row, word, kind, begins = row[real], word[real], kind[real], begins[real]
+    return row[real], word[real], kind[real], begins[real]
+
+
+def template_windows(vocabulary: Vocabulary, texts: pa.Array, passes=None, sizes: tuple[int, ...] = ()) -> Iterator[tuple[int, int, int, list[str]]]:
+    """(row of the text, place, hash, slot values) of both templates' windows, those of which passes(hashes) is true;
+    and of windows of ``sizes`` words that are all literal."""
+    row, word, kind, begins = _words(vocabulary, texts)
+    for size in sizes:
+        yield from exact_windows(vocabulary, row, word, size, passes)
     n = len(word) - WINDOW + 1
     if n <= 0:
         return
@@ -146,8 +161,38 @@ def template_windows(vocabulary: Vocabulary, texts: pa.Array, passes=None) -> It
             yield int(row[i]), int(i - first[i]), int(h[i : i + 1].view(np.int64)[0]), values
 
 
-def windows(rows: DataFrame, table: bytes | None = None) -> DataFrame:
-    """rows(id, text) -> WINDOWS; only those in the bit table, if there is one."""
+def exact_windows(vocabulary: Vocabulary, row: np.ndarray, word: np.ndarray, size: int, passes=None) -> Iterator[tuple[int, int, int, list[str]]]:
+    """As template_windows, of windows of ``size`` words; each word is a value ``=word``. Of equal windows under
+    WINDOW words, which are whole items, a text has the first one only."""
+    n = len(word) - size + 1
+    if n <= 0:
+        return
+    first = np.searchsorted(row, row)
+    code = vocabulary.code[word]
+    h = sum(code[j : n + j] * POWERS[j] for j in range(size)) ^ (EXACT_CODE * np.uint64(2 * size + 1))
+    use = row[:n] == row[size - 1 :]
+    if passes is not None:
+        use = use & passes(h)
+    seen = set()
+    for i in np.flatnonzero(use).tolist():
+        key = (int(row[i]), int(h[i]))
+        if size < WINDOW and key in seen:
+            continue
+        if size < WINDOW:
+            seen.add(key)
+        yield key[0], int(i - first[i]), int(h[i : i + 1].view(np.int64)[0]), [f"={vocabulary.bare[word[i + j]]}" for j in range(size)]
+
+
+def whole_items(vocabulary: Vocabulary, texts: pa.Array) -> Iterator[tuple[int, int, int, list[str]]]:
+    """The literal windows that the texts consist of: one of all words, or all of WINDOW words if there are more."""
+    row, word, _, _ = _words(vocabulary, texts)
+    for start, n in zip(*np.unique(row, return_index=True, return_counts=True)[1:], strict=True):
+        yield from exact_windows(vocabulary, row[start : start + n], word[start : start + n], min(int(n), WINDOW))
+
+
+def windows(rows: DataFrame, table: bytes | None = None, *, sizes: tuple[int, ...] = (), whole: bool = False) -> DataFrame:
+    """rows(id, text) -> WINDOWS; only those in the bit table, if there is one, and literal windows of ``sizes`` words.
+    whole: texts without a window of a template have literal windows instead."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vocabulary = Vocabulary()
@@ -155,7 +200,10 @@ def windows(rows: DataFrame, table: bytes | None = None) -> DataFrame:
         passes = None if table is None else lambda h: bits[(h >> np.uint64(64 - TABLE_BITS)).astype(np.int64)]
         for batch in batches:
             for part in slices(batch):
-                found = list(template_windows(vocabulary, part.column(1), passes))
+                found = list(template_windows(vocabulary, part.column(1), passes, sizes))
+                if whole:
+                    bare = np.setdiff1d(np.arange(part.num_rows), [x[0] for x in found])
+                    found += [(int(bare[r]), *x) for r, *x in whole_items(vocabulary, part.column(1).take(pa.array(bare, pa.int64())))]
                 if found:
                     at, place, h, slots = zip(*found, strict=True)
                     yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(at, pa.int64())), pa.array(place, pa.int64()), pa.array(h, pa.int64()), pa.array(slots, pa.list_(pa.string()))], ["id", "at", "hash", "slots"])
@@ -166,13 +214,14 @@ def windows(rows: DataFrame, table: bytes | None = None) -> DataFrame:
     return rows.mapInArrow(run, WINDOWS)
 
 
-def benchmark_windows(benchmark: DataFrame) -> DataFrame:
-    """WINDOWS of the benchmark with item_windows; equal items are one."""
+def benchmark_windows(benchmark: DataFrame, whole: bool = False) -> DataFrame:
+    """WINDOWS of the benchmark with item_windows, and whether the item has literal windows; equal items are one."""
     items = benchmark.select(F.col("item_id").cast("long").alias("id"), F.col("text").cast("string").alias("text"))
-    found = windows(items)
+    found = windows(items, whole=whole)
     sizes = found.groupBy("id").agg(F.countDistinct("at").alias("item_windows"), F.sort_array(F.collect_set(F.struct("at", "hash", "slots"))).alias("all"))
     sizes = sizes.withColumn("same", F.min("id").over(_by_content())).filter("id = same")
-    return checkpointed(sizes.select("id", "item_windows", F.explode("all").alias("w")).select(F.col("id").alias("item_id"), "item_windows", F.col("w.at").alias("item_at"), F.col("w.hash").alias("hash"), F.col("w.slots").alias("item_slots")))
+    exact = F.coalesce(F.get("w.slots", F.lit(0)).startswith("="), F.lit(False))
+    return checkpointed(sizes.select("id", "item_windows", F.explode("all").alias("w")).select(F.col("id").alias("item_id"), "item_windows", F.col("w.at").alias("item_at"), F.col("w.hash").alias("hash"), F.col("w.slots").alias("item_slots"), exact.alias("exact")))
 
 
 def _by_content():
@@ -189,18 +238,22 @@ def bit_table(found: DataFrame) -> bytes:
     return np.packbits(bits).tobytes()
 
 
-def contaminated(docs: DataFrame, benchmark: DataFrame, *, min_coverage: float = MIN_COVERAGE) -> DataFrame:
-    """(doc_id, item_id, n_windows, item_windows, coverage, same_values): one row per document and item that it holds."""
-    known = benchmark_windows(benchmark)
+def contaminated(docs: DataFrame, benchmark: DataFrame, *, min_coverage: float = MIN_COVERAGE, whole: bool = False) -> DataFrame:
+    """(doc_id, item_id, n_windows, item_windows, coverage, same_values): one row per document and item that it holds.
+    whole: also items without a window of a template, by all their words."""
+    known = benchmark_windows(benchmark, whole)
+    sizes = tuple(r["n"] for r in known.filter("exact").select(F.size("item_slots").alias("n")).distinct().collect()) if whole else ()
     texts = docs.select(F.col("doc_id").cast("long").alias("id"), F.col("text").cast("string").alias("text"))
-    met = windows(texts, bit_table(known)).join(known, "hash").filter(F.size("slots") == F.size("item_slots"))
+    met = windows(texts, bit_table(known), sizes=sizes).join(known, "hash").filter(F.when(F.col("exact"), F.col("slots") == F.col("item_slots")).otherwise(F.size("slots") == F.size("item_slots")))
     pairs = F.zip_with("item_slots", "slots", lambda a, b: F.struct(a.alias("a"), b.alias("b")))
     aligned = met.groupBy("id", "item_id", (F.col("at") - F.col("item_at")).alias("shift")).agg(
         F.max("item_windows").alias("item_windows"),
+        F.max("exact").alias("exact"),
         F.collect_set("item_at").alias("at"),
         F.array_distinct(F.flatten(F.collect_set(pairs))).alias("pairs"),
     )
     consistent = aligned.filter(F.size("pairs") == F.size(F.array_distinct(F.transform("pairs", lambda x: x["a"]))))
+    consistent = consistent.filter(~F.col("exact") | (F.size("at") == F.col("item_windows")))
     same = F.forall("pairs", lambda x: x["a"] == x["b"])
     found = consistent.groupBy("id", "item_id").agg(
         F.size(F.array_distinct(F.flatten(F.collect_list("at")))).cast("long").alias("n_windows"),
@@ -214,9 +267,9 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, *, min_coverage: float =
     )
 
 
-def drop_contaminated(docs: DataFrame, benchmark: DataFrame, *, min_coverage: float = MIN_COVERAGE) -> DataFrame:
+def drop_contaminated(docs: DataFrame, benchmark: DataFrame, *, min_coverage: float = MIN_COVERAGE, whole: bool = False) -> DataFrame:
     """docs without the documents that hold a benchmark item."""
-    gone = contaminated(docs, benchmark, min_coverage=min_coverage).select(F.col("doc_id").alias("__gone")).distinct()
+    gone = contaminated(docs, benchmark, min_coverage=min_coverage, whole=whole).select(F.col("doc_id").alias("__gone")).distinct()
     return docs.join(gone, docs["doc_id"].cast("long").eqNullSafe(F.col("__gone")), "left_anti")
 
 
