@@ -197,6 +197,16 @@ def test_inconsistent_slots_are_dropped(spark):
     assert [r.doc_id for r in decontamination.contaminated(docs, bench).collect()] == [1]
 
 
+def test_one_edited_value_leaves_the_other_windows(spark):
+    item = "There are 5 red apples in the first big basket on the table and near them 5 green pears that Anna saw with her aunt"
+    bench = spark.createDataFrame([(1, item)], "item_id long, text string")
+    docs = frame(spark, {1: item, 2: item.replace("5 green", "6 green"), 3: item.replace("5 red", "7 red").replace("5 green", "6 green")})
+    got = {r.doc_id: r for r in decontamination.contaminated(docs, bench, min_coverage=0.1).collect()}
+    total = len(item.split()) - decontamination.WINDOW + 1
+    # 3 windows hold the first number, 5 the second
+    assert {d: (r.n_windows, r.item_windows, r.same_values) for d, r in got.items()} == {1: (total, total, True), 2: (total - 5, total, False), 3: (total - 8, total, False)}
+
+
 def test_items_without_windows_are_found_whole(spark, tmp_path):
     """By the query, over files."""
     from trajspark.llm.queries import op8_decontamination

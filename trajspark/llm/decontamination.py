@@ -11,7 +11,8 @@ slots, so that a lower-cased copy still meets its item.
    benchmark's size, and are then hash-joined with the benchmark's windows.
 3. Matches of a document with an item are grouped by alignment (place in the document minus place in the item).
    Slots must be consistent there: one value of the item always becomes the same value of the document. That
-   keeps a re-parameterised question and drops chance matches of slots.
+   keeps a re-parameterised question and drops chance matches of slots. Windows with a value that becomes several
+   are dropped, but not those whose values all equal the item's.
 4. A document is contaminated by an item if consistent windows cover ``MIN_COVERAGE`` of the item's windows.
 
 Items without a window (under 5 words, or nearly all slots) are found, if ``whole``, only word for word: all their
@@ -249,16 +250,19 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, *, min_coverage: float =
     aligned = met.groupBy("id", "item_id", (F.col("at") - F.col("item_at")).alias("shift")).agg(
         F.max("item_windows").alias("item_windows"),
         F.max("exact").alias("exact"),
-        F.collect_set("item_at").alias("at"),
-        F.array_distinct(F.flatten(F.collect_set(pairs))).alias("pairs"),
+        F.collect_set(F.struct(F.col("item_at").alias("at"), pairs.alias("pairs"))).alias("met"),
     )
-    consistent = aligned.filter(F.size("pairs") == F.size(F.array_distinct(F.transform("pairs", lambda x: x["a"]))))
-    consistent = consistent.filter(~F.col("exact") | (F.size("at") == F.col("item_windows")))
-    same = F.forall("pairs", lambda x: x["a"] == x["b"])
+    aligned = aligned.withColumn("pairs", F.sort_array(F.array_distinct(F.flatten(F.transform("met", lambda w: w["pairs"])))))
+    # values of the item that become several values; sorted pairs have them side by side
+    torn = F.transform(F.filter("pairs", lambda x, i: (x["a"] == F.get("pairs", i - 1)["a"]).eqNullSafe(True)), lambda x: x["a"])
+    equal = lambda pairs: F.forall(pairs, lambda x: x["a"] == x["b"])
+    kept = F.filter("met", lambda w: equal(w["pairs"]) | ~F.arrays_overlap(F.transform(w["pairs"], lambda x: x["a"]), F.col("torn")))
+    consistent = aligned.withColumn("torn", torn).withColumn("at", F.array_distinct(F.transform(kept, lambda w: w["at"])))
+    consistent = consistent.filter(F.size("at") > 0).filter(~F.col("exact") | (F.size("at") == F.col("item_windows")))
     found = consistent.groupBy("id", "item_id").agg(
         F.size(F.array_distinct(F.flatten(F.collect_list("at")))).cast("long").alias("n_windows"),
         F.max("item_windows").alias("item_windows"),
-        F.max(same).alias("same_values"),
+        F.max(equal("pairs")).alias("same_values"),
     )
     return (
         found.withColumn("coverage", F.col("n_windows") / F.col("item_windows"))
