@@ -79,6 +79,13 @@ def test_ratio_scores(spark):
     assert all(r.score == 0 for r in none)
 
 
+def test_all_trusted_documents_are_counted(spark):
+    docs = spark.range(20_500).select(F.col("id").alias("doc_id"), F.concat(F.lit("w"), F.col("id") % 7).alias("text"))
+    labels = docs.select("doc_id", F.lit(1).alias("quality"), F.lit(0).alias("toxic"))
+    # both multinomials are of all documents
+    assert max(map(abs, quality_rules.ratio_weights(docs, labels))) < 1e-12
+
+
 def brute_line_dedup(docs, least):
     seqs = {d: [(i, x) for i, x in enumerate(t.split("\n")) if WORD.search(x)] for d, t in docs.items() if t is not None}
     count = lambda part: sum(len(WORD.findall(x)) for _, x in part)

@@ -2,7 +2,7 @@
 
 Every document gets a score: the mean over its hashed unigrams and bigrams of
 ``log p_target(bucket) - log p_raw(bucket)``. The raw multinomial counts all n-grams of all documents; the
-target multinomial counts those of trusted documents. Each bucket of both has ``SMOOTHING`` more, so that counts
+target multinomial counts those of all trusted documents. Each bucket of both has ``SMOOTHING`` more, so that counts
 of a few copies are no evidence.
 
 Edge cases: a null text has no words, as an empty one; both fail the base rule and score 0. Without trusted
@@ -21,8 +21,6 @@ from trajspark.llm.common import id_and_text, let, words
 
 BUCKETS = 1 << 14
 SMOOTHING = 8
-#: Rows that the target multinomial is fitted on at most (lowest hash of the id first).
-TARGET_ROWS = 20_000
 THRESHOLD = -0.25
 MIN_WORDS = 50
 MAX_REPEAT_PERCENT = 50
@@ -92,18 +90,16 @@ def bucket_counts(docs: DataFrame, buckets: int = BUCKETS) -> DataFrame:
     return docs.select(F.explode(ngram_buckets(F.col("text"), buckets)).alias("bucket")).groupBy("bucket").count()
 
 
-def trusted_sample(labels: DataFrame, rows: int = TARGET_ROWS) -> DataFrame:
-    """At most ``rows`` ids of trusted documents, those of lowest hash."""
-    ids = labels.filter(F.col("quality") == 1).select(F.col("doc_id").cast("long").alias("doc_id")).dropna().distinct()
-    return ids.orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows)
+def trusted_ids(labels: DataFrame) -> DataFrame:
+    return labels.filter(F.col("quality") == 1).select(F.col("doc_id").cast("long").alias("doc_id")).dropna().distinct()
 
 
-def ratio_weights(docs: DataFrame, labels: DataFrame, buckets: int = BUCKETS, target_rows: int = TARGET_ROWS) -> list[float]:
+def ratio_weights(docs: DataFrame, labels: DataFrame, buckets: int = BUCKETS) -> list[float]:
     """Log ratio of each bucket: a list of the fixed length ``buckets``."""
     raw = [0] * buckets
     for r in bucket_counts(docs, buckets).collect():
         raw[r["bucket"]] = r["count"]
-    trusted = docs.join(F.broadcast(trusted_sample(labels, target_rows)), "doc_id", "left_semi")
+    trusted = docs.join(trusted_ids(labels), "doc_id", "left_semi")
     target = [0] * buckets
     for r in bucket_counts(trusted, buckets).collect():
         target[r["bucket"]] = r["count"]
@@ -129,14 +125,14 @@ def judged(text: Column, weights: list[float], threshold: float) -> Column:
     return let(base_counts(text), lambda base: let(score, lambda value: verdict(base, value)))
 
 
-def quality_rules(docs: DataFrame, labels: DataFrame, *, buckets: int = BUCKETS, target_rows: int = TARGET_ROWS, threshold: float = THRESHOLD) -> DataFrame:
+def quality_rules(docs: DataFrame, labels: DataFrame, *, buckets: int = BUCKETS, threshold: float = THRESHOLD) -> DataFrame:
     """One row per document: base counts, base_failed, the verdict ``kept``, and the score."""
     docs = id_and_text(docs)
-    weights = ratio_weights(docs, labels, buckets, target_rows)
+    weights = ratio_weights(docs, labels, buckets)
     return docs.select("doc_id", judged(F.col("text"), weights, threshold).alias("x")).select("doc_id", "x.*")
 
 
-def keep_good(docs: DataFrame, labels: DataFrame, *, buckets: int = BUCKETS, target_rows: int = TARGET_ROWS, threshold: float = THRESHOLD) -> DataFrame:
+def keep_good(docs: DataFrame, labels: DataFrame, *, buckets: int = BUCKETS, threshold: float = THRESHOLD) -> DataFrame:
     """docs, all columns, without the documents that quality_rules rejects."""
-    weights = ratio_weights(id_and_text(docs), labels, buckets, target_rows)
+    weights = ratio_weights(id_and_text(docs), labels, buckets)
     return docs.filter(judged(F.col("text").cast("string"), weights, threshold)["kept"])
