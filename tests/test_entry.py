@@ -51,9 +51,16 @@ def test_flagship(spark):
     assert entry.entry(spark).count() > 0
 
 
-def test_entry_without_the_optional_folders(tmp_path):
-    for p in ("__spark_entry__.py", "trajspark"):
-        (shutil.copytree if (ROOT / p).is_dir() else shutil.copy)(ROOT / p, tmp_path / p)
-    shutil.rmtree(tmp_path / "trajspark" / "llm", ignore_errors=True)
-    code = "import __spark_entry__ as e; q = e.queries(); assert q and not any(n.startswith('op') for n in q) and set(e.oracle_sql()) <= set(q)"
-    subprocess.run([sys.executable, "-c", code], cwd=tmp_path, check=True, env=os.environ | {"PYTHONPATH": str(tmp_path)})
+def test_rest_without_the_optional_folders(tmp_path):
+    """The repository without the two folders: entry points hold, every other test is collected and those of the entry run."""
+    copy = tmp_path / "repo"
+    shutil.copytree(ROOT, copy, ignore=shutil.ignore_patterns(".git", "__pycache__", ".pytest_cache", "llm", "spark-warehouse", "metastore_db"))
+    assert not (copy / "trajspark" / "llm").exists() and not (copy / "tests" / "llm").exists()
+    env = os.environ | {"PYTHONPATH": str(copy)}
+    core = len(entry.plans.QUERIES)
+    code = f"import __spark_entry__ as e; q = e.queries(); assert len(q) == {core}, len(q); assert not any(n.startswith('op') for n in q) and set(e.oracle_sql()) <= set(q)"
+    subprocess.run([sys.executable, "-c", code], cwd=copy, check=True, env=env)
+    collected = subprocess.run([sys.executable, "-m", "pytest", "tests", "--collect-only", "-q", "-p", "no:cacheprovider"], cwd=copy, env=env, capture_output=True, text=True)
+    assert collected.returncode == 0, collected.stdout[-2000:]
+    run = subprocess.run([sys.executable, "-m", "pytest", "tests/test_functions.py", "-q", "-p", "no:cacheprovider"], cwd=copy, env=env, capture_output=True, text=True)
+    assert run.returncode == 0, run.stdout[-2000:]
