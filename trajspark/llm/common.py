@@ -5,6 +5,7 @@ from __future__ import annotations
 import contextlib
 import ctypes
 import tempfile
+import uuid
 from collections.abc import Callable
 
 import pyarrow as pa
@@ -37,16 +38,32 @@ def words(text: Column) -> Column:
     return F.array_remove(F.split(F.coalesce(text, F.lit("")), WORD_GAP), "")
 
 
+def text_hashes(text: Column) -> tuple[Column, Column]:
+    """Two hashes that, beside the id, tell rows apart: ids may repeat or be null."""
+    return F.xxhash64(text), F.xxhash64(F.lit(1), text)
+
+
+def fresh(df: DataFrame, *names: str) -> list[str]:
+    """The names, with as many underscores before them as none of the columns needs."""
+    taken = {c.lower() for c in df.columns}
+    mark = "__"
+    while any(f"{mark}{n}".lower() in taken for n in names):
+        mark += "_"
+    return [mark + n for n in names]
+
+
 def shared_folder(spark: SparkSession) -> str:
     """The folder that the session names for checkpoints, which the whole cluster shares.
 
-    Only a session that names none (tests, a single machine) gets a temporary folder.
+    Only a session that names none and runs on a single machine (tests) gets a temporary folder.
     """
     context = spark.sparkContext
-    named = context.getConf().get("spark.checkpoint.dir")
+    named = context.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named.rstrip("/")
     if context._jsc.sc().getCheckpointDir().isEmpty():
+        if not context.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         context.setCheckpointDir(tempfile.mkdtemp(prefix="checkpoints-"))
     return context._jsc.sc().getCheckpointDir().get()
 
@@ -57,6 +74,18 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def stored(df: DataFrame) -> DataFrame:
+    """``df`` written to the shared folder as a table and read back, so that readers take only the columns they need."""
+    folder = f"{shared_folder(df.sparkSession)}/stored-{uuid.uuid4().hex}"
+    df.write.parquet(folder)
+    return df.sparkSession.read.schema(df.schema).parquet(folder)
+
+
+def delete_folder(spark: SparkSession, folder: str) -> None:
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def release_memory() -> None:
     """Gives a worker's free memory back to the machine at the end of a task; workers outlive their tasks."""
     pa.default_memory_pool().release_unused()

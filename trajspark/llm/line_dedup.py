@@ -2,23 +2,31 @@
 
 The sequence of a document is its ``\\n``-split lines that have a word. A window is a least span of consecutive
 lines with ``MIN_WORDS`` words or more: one that starts at each line, and one that ends at each line. Winnowing
-takes of each window its least line hash (the rightmost of equal ones) as a fingerprint. Two equal runs of
+selects of each window its least line hash (the rightmost of equal ones) as a fingerprint. Two equal runs of
 lines with at least MIN_WORDS words share a whole window and with it the window's fingerprint.
 
-1. Fingerprints with one position in all documents are dropped: nothing repeats around them.
-2. Windows around the others are joined by the hash of all their lines; the least (doc_id, position) is the
-   first occurrence, the others are later ones.
-3. Windows that start at a line extend a match to the left, those that end at a line to the right: together the
-   later windows cover exactly the repeated runs, from end to end. Those lines are deleted.
+1. Windows are made once, stored, and carry their fingerprint and its position.
+2. Fingerprints are joined by position: those with one position in all documents are dropped, as nothing repeats
+   around them. Windows of a position have the same position, so a task sends one number a fingerprint.
+3. At the joined positions a match is extended both ways: the windows around a position that equal windows at an
+   earlier position of the same fingerprint. Windows that start at a line reach to its left end, windows that end
+   at a line to its right end: together they cover exactly the repeated run. The earlier position may be another
+   one for each window, so a run is found whichever earlier documents hold its parts, and no pairs are made.
+4. Lines in a run that occurs earlier are deleted.
 
 So a line goes if and only if it is in a run of consecutive lines, with at least MIN_WORDS words, that also
-occurs at an earlier position. Each line keeps its first occurrence. Steps 1 and 2 aggregate least and
-greatest positions before they shuffle, so common lines make no pairs.
+occurs at an earlier position. Each line keeps its first occurrence. Steps 2 and 3 aggregate least and greatest
+positions before they shuffle, so common lines make no pairs; Spark splits a fingerprint of very many
+positions over tasks (adaptive skew join), since all but its first position is on one side of the join.
+
+Positions and deletions belong to a row: its id and two hashes of its text. Order is by id (null ids last), then
+by those hashes.
 
 Edge cases: a null text stays null and has no lines; an empty text stays empty; a document may lose all its
-lines and then is an empty text. Lines without a word are kept and lie in no window. Rows with the same id
-count as one position: copies among them stay, or go, together. Null ids come last. Extra columns are kept by
-``drop_repeated_lines`` and ignored by ``line_dedup``; an empty table gives no rows.
+lines and then is an empty text. Lines without a word are kept and lie in no window. Rows with one id, or none,
+and different texts are different documents. Rows equal in id and text are one document: all of them stay, or
+lose the same lines. Very long texts are one row of many windows. Extra columns, whatever their names, are kept
+by ``drop_repeated_lines`` and ignored by ``line_dedup``; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -26,11 +34,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from trajspark.llm.common import WORD_GAP, checkpointed, let
+from trajspark.llm.common import WORD_GAP, checkpointed, fresh, id_and_text, let, stored, text_hashes
 
 MIN_WORDS = 50
 #: More than the lines of any window, which has at most one line a word.
-SPAN = 1 << 16
+SPAN_BITS = 16
+SPAN = 1 << SPAN_BITS
+#: A document: its id and two hashes of its text.
+ROW = ["doc_id", "h1", "h2"]
 
 
 def _lines(text: Column) -> Column:
@@ -46,7 +57,8 @@ def _n_words(line: Column) -> Column:
 
 
 def windows(text: Column, min_words: int = MIN_WORDS) -> Column:
-    """Array of (s, n, fp, k1, k2): first line and number of lines of each window, its fingerprint, two hashes of its lines."""
+    """Array of (span, fp, key, at): first line * SPAN + number of lines of each window, its fingerprint, a hash of its lines,
+    the fingerprint's line. Windows are equal if fingerprint and key are: 128 bits."""
     lines = F.transform(F.filter(_lines(text), _has_word), lambda x: F.struct(F.xxhash64(x).alias("h"), _n_words(x).alias("w")))
 
     def reach(counts: Column) -> Column:
@@ -68,35 +80,45 @@ def windows(text: Column, min_words: int = MIN_WORDS) -> Column:
 
         both = F.array_distinct(F.filter(F.concat(ahead, F.transform(at, back)), lambda x: x % SPAN > 0))
 
-        def winnowed(start: Column, n: Column) -> Column:
+        def winnowed(start: Column, span: Column) -> Column:
+            n = (span % SPAN).cast("int")
             return let(
                 F.slice(hs, start, n),
-                lambda part: F.struct(
-                    start.alias("s"),
-                    n.alias("n"),
-                    F.array_min(part).alias("fp"),
-                    F.xxhash64(part).alias("k1"),
-                    F.xxhash64(F.lit(1), part).alias("k2"),
-                    # place of the fingerprint, the rightmost of equal ones
-                    (start + n - F.array_position(F.reverse(part), F.array_min(part)).cast("int")).alias("at"),
+                lambda part: let(
+                    F.array_min(part),
+                    lambda least: F.struct(
+                        span.alias("span"),
+                        least.alias("fp"),
+                        F.xxhash64(part).alias("key"),
+                        # place of the fingerprint, the rightmost of equal ones
+                        (start + n - F.array_position(F.reverse(part), least).cast("int")).alias("at"),
+                    ),
                 ),
             )
 
-        return F.when(size > 0, F.transform(both, lambda x: winnowed(F.floor(x / SPAN).cast("int"), (x % SPAN).cast("int"))))
+        return F.when(size > 0, F.transform(both, lambda x: winnowed(F.shiftright(x, SPAN_BITS).cast("int"), x)))
 
     return let(lines, lambda a: let(F.transform(a, lambda x: x["h"]), lambda hs: let(F.transform(a, lambda x: x["w"]), lambda ws: spans(hs, ws))))
 
 
-def later_windows(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
-    """(doc_id, gone): the places, among the lines with a word and from 1, of the lines to delete."""
-    place = lambda at: F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", F.col(at).alias("at"))
-    found = docs.select("doc_id", F.explode(windows(F.col("text"), min_words)).alias("x")).select("doc_id", "x.*")
-    again = found.groupBy("fp").agg(F.min(place("at")).alias("a"), F.max(place("at")).alias("z")).filter("a <> z").select("fp")
-    near = checkpointed(found.join(again, "fp", "left_semi").select("doc_id", "s", "n", "k1", "k2"))
-    first = near.groupBy("k1", "k2").agg(F.min(place("s")).alias("first"), F.max(place("s")).alias("last")).filter("first <> last").select("k1", "k2", "first")
-    later = near.join(first, ["k1", "k2"]).filter(place("s") > F.col("first"))
-    gone = later.groupBy("doc_id").agg(F.collect_set(F.struct("s", "n")).alias("spans"))
-    return gone.select("doc_id", F.array_distinct(F.flatten(F.transform("spans", lambda x: F.sequence(x["s"], x["s"] + x["n"] - 1)))).alias("gone"))
+def rows_of(docs: DataFrame) -> DataFrame:
+    h1, h2 = text_hashes(F.col("text"))
+    return id_and_text(docs).select("doc_id", h1.alias("h1"), h2.alias("h2"), "text")
+
+
+def repeated_runs(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
+    """(doc_id, h1, h2, gone): the places, among the lines with a word and from 1, of the lines to delete."""
+    found = stored(rows_of(docs).select(*ROW, F.explode(windows(F.col("text"), min_words)).alias("x")).select(*ROW, "x.*"))
+    # the positions of a fingerprint, each as one number: more than one means that it repeats
+    position = F.xxhash64(*ROW, "at")
+    again = found.groupBy("fp").agg(F.min(position).alias("a"), F.max(position).alias("z")).filter("a <> z").select("fp")
+    around = checkpointed(found.join(again, "fp", "left_semi").select("fp", "key", *ROW, "span"))
+    place = F.struct(F.col("doc_id").isNull().alias("none"), *ROW, "span")
+    first = around.groupBy("fp", "key").agg(F.min(place).alias("first"), F.max(place).alias("last")).filter("first <> last").select("fp", "key", "first")
+    later = around.join(first, ["fp", "key"]).filter(place > F.col("first"))
+    gone = later.groupBy(*ROW).agg(F.collect_set("span").alias("spans"))
+    lines = lambda x: F.sequence(F.shiftright(x, SPAN_BITS).cast("int"), (F.shiftright(x, SPAN_BITS) + x % SPAN - 1).cast("int"))
+    return gone.select(*ROW, F.array_distinct(F.flatten(F.transform("spans", lines))).alias("gone"))
 
 
 def _cleaned(text: Column, gone: Column) -> Column:
@@ -113,20 +135,32 @@ def _cleaned(text: Column, gone: Column) -> Column:
     return F.when(gone.isNull() | text.isNull(), whole).otherwise(let(_lines(text), cut))
 
 
+def _with_counts(docs: DataFrame, min_words: int) -> tuple[DataFrame, str]:
+    """docs with the new text, and a struct of n_lines and n_deleted under a name of its own."""
+    new, gone, *row = fresh(docs, "new", "gone", *ROW)
+    found = repeated_runs(docs, min_words).toDF(*row, gone)
+    text = F.col("text").cast("string")
+    h1, h2 = text_hashes(text)
+    own = docs.select("*", F.col("doc_id").cast("long").alias(row[0] + "_"), h1.alias(row[1] + "_"), h2.alias(row[2] + "_"))
+    here = F.col(row[1]) == F.col(row[1] + "_")
+    here = here & (F.col(row[2]) == F.col(row[2] + "_")) & F.col(row[0]).eqNullSafe(F.col(row[0] + "_"))
+    cleaned = own.join(found, here, "left").withColumn(new, _cleaned(text, F.col(gone)))
+    columns = [F.col(f"{new}.text").alias(c) if c.lower() == "text" else F.col(f"`{c}`") for c in docs.columns]
+    return cleaned.select(*columns, F.col(new)), new
+
+
 def drop_repeated_lines(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
-    """docs with the same columns, and __n_lines and __n_deleted; the text has lost its later repeated runs."""
-    slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    gone = later_windows(slim, min_words).select(F.col("doc_id").alias("__id"), F.col("gone").alias("__gone"))
-    joined = docs.join(gone, docs["doc_id"].cast("long").eqNullSafe(F.col("__id")), "left")
-    cleaned = joined.withColumn("__new", _cleaned(F.col("text").cast("string"), F.col("__gone")))
-    columns = [F.col("__new.text").alias("text") if c == "text" else F.col(f"`{c}`") for c in docs.columns]
-    return cleaned.select(*columns, F.col("__new.n_lines").alias("__n_lines"), F.col("__new.n_deleted").alias("__n_deleted"))
+    """docs with the same columns, and __n_lines and __n_deleted (with more underscores if docs has such columns);
+    the text has lost its later repeated runs."""
+    out, new = _with_counts(docs, min_words)
+    counts = zip(("n_lines", "n_deleted"), fresh(docs, "n_lines", "n_deleted"), strict=True)
+    return out.select("*", *[F.col(f"{new}.{c}").alias(name) for c, name in counts]).drop(new)
 
 
 def line_dedup(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     """(doc_id, n_lines, n_deleted, text)"""
-    out = drop_repeated_lines(docs.select("doc_id", "text"), min_words)
-    return out.select("doc_id", F.col("__n_lines").alias("n_lines"), F.col("__n_deleted").alias("n_deleted"), "text")
+    out, new = _with_counts(docs.select("doc_id", "text"), min_words)
+    return out.select("doc_id", F.col(f"{new}.n_lines").alias("n_lines"), F.col(f"{new}.n_deleted").alias("n_deleted"), "text")
 
 
 #: The same rule in plain SQL: windows are compared as texts, without hashes, fingerprints or joins by them.
