@@ -19,12 +19,16 @@ Items without a window (under 5 words, or nearly all slots) are found, if ``whol
 words, literal and numbers alike, are compared in one window of their size, or in all 5-word windows at one
 alignment. The query and the pipeline do so; a word alone is then an item that every text with it holds.
 
-Items with the same template and the same slot values count as one, the one of the least id.
+Items with the same template and the same slot values count as one, the one of the least id (null ids last).
 
-Edge cases: null and empty texts match nothing, nor, without ``whole``, do items that have no window. Rows with the same id share their
-result. A null id is kept in the report; ``drop_contaminated`` treats it as any other value. Extra columns are
-ignored by ``contaminated`` and kept by ``drop_contaminated``. An empty table, or an empty benchmark, gives no
-rows.
+A document, and an item, is a row: its id and a hash of its text. So rows of one id with different texts are judged
+each by itself, and null ids are like any other.
+
+Edge cases: null and empty texts match nothing, nor, without ``whole``, do items that have no window. The report has
+a row for each document and item by that key: several with one (doc_id, item_id) if ids repeat over different texts,
+one if rows are equal. Null ids, of documents and items, are kept in the report. ``drop_contaminated`` drops exactly
+the rows whose own text holds an item, and keeps all columns, whatever their names; ``contaminated`` ignores extra
+columns. Very long texts are read in slices of rows, never cut. An empty table, or an empty benchmark, gives no rows.
 """
 
 from __future__ import annotations
@@ -36,10 +40,10 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from trajspark.llm.common import checkpointed, release_memory
+from trajspark.llm.common import checkpointed, fresh, release_memory, text_hashes
 from trajspark.llm.tokens import slices
 from trajspark.shipping import ship
 
@@ -68,7 +72,7 @@ POWERS = np.array([pow(0x9E3779B97F4A7C15, j, 1 << 64) for j in range(WINDOW)],
 #: For the hashes of windows whose words are all literal.
 EXACT_CODE = np.uint64(xxhash.xxh64_intdigest("<exact>"))
 
-WINDOWS = "id long, at long, hash long, slots array<string>"
+WINDOWS = "id long, same long, at long, hash long, slots array<string>"
 
 
 class Vocabulary:
@@ -192,22 +196,24 @@ def whole_items(vocabulary: Vocabulary, texts: pa.Array) -> Iterator[tuple[int,
 
 
 def windows(rows: DataFrame, table: bytes | None = None, *, sizes: tuple[int, ...] = (), whole: bool = False) -> DataFrame:
-    """rows(id, text) -> WINDOWS; only those in the bit table, if there is one, and literal windows of ``sizes`` words.
+    """rows(id, same, text) -> WINDOWS; same: a hash of the text; only those in the bit table, if there is one, and literal windows of ``sizes`` words.
     whole: texts without a window of a template have literal windows instead."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vocabulary = Vocabulary()
-        bits = None if table is None else np.unpackbits(np.frombuffer(table, np.uint8)).astype(bool)
+        bits = None if table is None else np.unpackbits(np.frombuffer(table, np.uint8), bitorder="little").astype(bool)
         passes = None if table is None else lambda h: bits[(h >> np.uint64(64 - TABLE_BITS)).astype(np.int64)]
         for batch in batches:
-            for part in slices(batch):
-                found = list(template_windows(vocabulary, part.column(1), passes, sizes))
+            for part in slices(batch, 2):
+                found = list(template_windows(vocabulary, part.column(2), passes, sizes))
                 if whole:
                     bare = np.setdiff1d(np.arange(part.num_rows), [x[0] for x in found])
-                    found += [(int(bare[r]), *x) for r, *x in whole_items(vocabulary, part.column(1).take(pa.array(bare, pa.int64())))]
+                    found += [(int(bare[r]), *x) for r, *x in whole_items(vocabulary, part.column(2).take(pa.array(bare, pa.int64())))]
                 if found:
                     at, place, h, slots = zip(*found, strict=True)
-                    yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(at, pa.int64())), pa.array(place, pa.int64()), pa.array(h, pa.int64()), pa.array(slots, pa.list_(pa.string()))], ["id", "at", "hash", "slots"])
+                    own = pa.array(at, pa.int64())
+                    columns = [part.column(0).take(own), part.column(1).take(own), pa.array(place, pa.int64()), pa.array(h, pa.int64()), pa.array(slots, pa.list_(pa.string()))]
+                    yield pa.RecordBatch.from_arrays(columns, ["id", "same", "at", "hash", "slots"])
         del vocabulary
         release_memory()
 
@@ -215,39 +221,46 @@ def windows(rows: DataFrame, table: bytes | None = None, *, sizes: tuple[int, ..
     return rows.mapInArrow(run, WINDOWS)
 
 
+def _rows(table: DataFrame, key: str) -> DataFrame:
+    """(id, same, text), each row once."""
+    text = F.col("text").cast("string")
+    return table.select(F.col(key).cast("long").alias("id"), text_hashes(text)[0].alias("same"), text.alias("text"))
+
+
 def benchmark_windows(benchmark: DataFrame, whole: bool = False) -> DataFrame:
-    """WINDOWS of the benchmark with item_windows, and whether the item has literal windows; equal items are one."""
-    items = benchmark.select(F.col("item_id").cast("long").alias("id"), F.col("text").cast("string").alias("text"))
-    found = windows(items, whole=whole)
-    sizes = found.groupBy("id").agg(F.countDistinct("at").alias("item_windows"), F.sort_array(F.collect_set(F.struct("at", "hash", "slots"))).alias("all"))
-    sizes = sizes.withColumn("same", F.min("id").over(_by_content())).filter("id = same")
+    """Windows of the benchmark with item_windows, and whether the item has literal windows; equal items are one."""
+    found = windows(_rows(benchmark, "item_id"), whole=whole)
+    sizes = found.groupBy("id", "same").agg(F.countDistinct("at").alias("item_windows"), F.sort_array(F.collect_set(F.struct("at", "hash", "slots"))).alias("all"))
+    content = [F.xxhash64("all"), F.xxhash64(F.lit(1), "all")]
+    first = F.row_number().over(Window.partitionBy(*content).orderBy(F.col("id").asc_nulls_last(), "same"))
+    sizes = sizes.withColumn("first", first).filter("first = 1")
     exact = F.coalesce(F.get("w.slots", F.lit(0)).startswith("="), F.lit(False))
-    return checkpointed(sizes.select("id", "item_windows", F.explode("all").alias("w")).select(F.col("id").alias("item_id"), "item_windows", F.col("w.at").alias("item_at"), F.col("w.hash").alias("hash"), F.col("w.slots").alias("item_slots"), exact.alias("exact")))
-
+    own = sizes.select("id", "same", "item_windows", F.explode("all").alias("w"))
+    return checkpointed(own.select(F.col("id").alias("item_id"), F.col("same").alias("item_same"), "item_windows", F.col("w.at").alias("item_at"), F.col("w.hash").alias("hash"), F.col("w.slots").alias("item_slots"), exact.alias("exact")))
 
-def _by_content():
-    from pyspark.sql import Window
 
-    return Window.partitionBy(F.xxhash64("all"), F.xxhash64(F.lit(1), "all"))
+def bit_table(found: DataFrame) -> bytes:
+    """A bit for each hash, 2 ** TABLE_BITS in all, made as bitmaps by the cluster: the driver gets half a MB."""
+    place = F.shiftrightunsigned("hash", 64 - TABLE_BITS) + 1  # bitmaps count from 1
+    maps = found.groupBy(F.bitmap_bucket_number(place).alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(place)).alias("bits")).collect()
+    size = 1 << 12  # bytes of Spark's bitmaps
+    table = bytearray(max(1 << (TABLE_BITS - 3), size))
+    for r in maps:
+        table[(r["bucket"] - 1) * size : r["bucket"] * size] = r["bits"]
+    return bytes(table)
 
 
-def bit_table(found: DataFrame) -> bytes:
-    """A bit for each hash; at most 2 ** TABLE_BITS numbers reach the driver."""
-    bits = np.zeros(1 << TABLE_BITS, bool)
-    place = F.shiftrightunsigned("hash", 64 - TABLE_BITS).cast("int").alias("place")
-    bits[[r["place"] for r in found.select(place).distinct().collect()]] = True
-    return np.packbits(bits).tobytes()
+ITEM = ["item_id", "item_same"]
 
 
-def contaminated(docs: DataFrame, benchmark: DataFrame, *, min_coverage: float = MIN_COVERAGE, whole: bool = False) -> DataFrame:
-    """(doc_id, item_id, n_windows, item_windows, coverage, same_values): one row per document and item that it holds.
-    whole: also items without a window of a template, by all their words."""
+def contaminated_rows(docs: DataFrame, benchmark: DataFrame, *, min_coverage: float = MIN_COVERAGE, whole: bool = False) -> DataFrame:
+    """(id, same, item_id, item_same, n_windows, item_windows, coverage, same_values): documents and the items that they hold."""
     known = benchmark_windows(benchmark, whole)
     sizes = tuple(r["n"] for r in known.filter("exact").select(F.size("item_slots").alias("n")).distinct().collect()) if whole else ()
-    texts = docs.select(F.col("doc_id").cast("long").alias("id"), F.col("text").cast("string").alias("text"))
-    met = windows(texts, bit_table(known), sizes=sizes).join(known, "hash").filter(F.when(F.col("exact"), F.col("slots") == F.col("item_slots")).otherwise(F.size("slots") == F.size("item_slots")))
+    fits = F.when(F.col("exact"), F.col("slots") == F.col("item_slots")).otherwise(F.size("slots") == F.size("item_slots"))
+    met = windows(_rows(docs, "doc_id"), bit_table(known), sizes=sizes).join(known, "hash").filter(fits)
     pairs = F.zip_with("item_slots", "slots", lambda a, b: F.struct(a.alias("a"), b.alias("b")))
-    aligned = met.groupBy("id", "item_id", (F.col("at") - F.col("item_at")).alias("shift")).agg(
+    aligned = met.groupBy("id", "same", *ITEM, (F.col("at") - F.col("item_at")).alias("shift")).agg(
         F.max("item_windows").alias("item_windows"),
         F.max("exact").alias("exact"),
         F.collect_set(F.struct(F.col("item_at").alias("at"), pairs.alias("pairs"))).alias("met"),
@@ -259,22 +272,28 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, *, min_coverage: float =
     kept = F.filter("met", lambda w: equal(w["pairs"]) | ~F.arrays_overlap(F.transform(w["pairs"], lambda x: x["a"]), F.col("torn")))
     consistent = aligned.withColumn("torn", torn).withColumn("at", F.array_distinct(F.transform(kept, lambda w: w["at"])))
     consistent = consistent.filter(F.size("at") > 0).filter(~F.col("exact") | (F.size("at") == F.col("item_windows")))
-    found = consistent.groupBy("id", "item_id").agg(
+    found = consistent.groupBy("id", "same", *ITEM).agg(
         F.size(F.array_distinct(F.flatten(F.collect_list("at")))).cast("long").alias("n_windows"),
         F.max("item_windows").alias("item_windows"),
         F.max(equal("pairs")).alias("same_values"),
     )
-    return (
-        found.withColumn("coverage", F.col("n_windows") / F.col("item_windows"))
-        .filter(F.col("coverage") >= min_coverage)
-        .select(F.col("id").alias("doc_id"), "item_id", "n_windows", "item_windows", "coverage", "same_values")
-    )
+    return found.withColumn("coverage", F.col("n_windows") / F.col("item_windows")).filter(F.col("coverage") >= min_coverage)
+
+
+def contaminated(docs: DataFrame, benchmark: DataFrame, *, min_coverage: float = MIN_COVERAGE, whole: bool = False) -> DataFrame:
+    """(doc_id, item_id, n_windows, item_windows, coverage, same_values): one row per document and item that it holds.
+    whole: also items without a window of a template, by all their words."""
+    found = contaminated_rows(docs, benchmark, min_coverage=min_coverage, whole=whole)
+    return found.select(F.col("id").alias("doc_id"), "item_id", "n_windows", "item_windows", "coverage", "same_values")
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, *, min_coverage: float = MIN_COVERAGE, whole: bool = False) -> DataFrame:
     """docs without the documents that hold a benchmark item."""
-    gone = contaminated(docs, benchmark, min_coverage=min_coverage, whole=whole).select(F.col("doc_id").alias("__gone")).distinct()
-    return docs.join(gone, docs["doc_id"].cast("long").eqNullSafe(F.col("__gone")), "left_anti")
+    gone, gone_same, same = fresh(docs, "gone", "gone_same", "same")
+    found = contaminated_rows(docs, benchmark, min_coverage=min_coverage, whole=whole).select("id", "same").distinct().toDF(gone, gone_same)
+    own = docs.withColumn(same, text_hashes(F.col("text").cast("string"))[0])
+    here = (F.col(same) == F.col(gone_same)) & F.col("doc_id").cast("long").eqNullSafe(F.col(gone))
+    return own.join(found, here, "left_anti").drop(same)
 
 
 #: The same in SQL: templates are compared as texts.
