@@ -2,26 +2,30 @@
 
 Fingerprints: each bit is set if over half of the XXH64 hashes (seed 42) of a text's 3-word shingles have it.
 
-Links: fingerprints at ``MAX_BITS`` = 2 or fewer differing bits. Anchors are the codewords of the product of
-two perfect binary Golay codes [23, 12, 7] over bits 0-22 and 23-45. Each half of any fingerprint has one
-codeword within the covering radius 3: its home. A link adds e1 + e2 <= 2 errors over the two halves, so the
-linked fingerprint lies within 3 + e1 and 3 + e2 of that home. Each distinct fingerprint is sent to all
-anchors (a1, a2) with max(0, d1 - 3) + max(0, d2 - 3) <= 2, about 61 of 16.8 million, and is compared there
-with those whose home it is. Every linked pair meets, whatever the other 18 bits are.
+Links: fingerprints at ``MAX_BITS`` = 2 or fewer differing bits. Anchors are the codewords of the product of three
+perfect codes: binary Golay codes [23, 12] of radius 3 over bits 0-22 and 23-45, and a Hamming code [15, 11] of
+radius 1 over bits 46-60. Each part of a fingerprint has one codeword within its code's radius: together its home.
+A link has e1 + e2 + e3 <= 2 errors in the parts, so the linked fingerprint lies within radius + e of each of
+that home's codewords. Each distinct fingerprint is sent to all anchors whose distances exceed the radii by 2 or
+less in sum, about 153 of 2^35, and is compared there with those whose home it is. Every linked pair meets,
+whatever the other 3 bits are, and exactly once in each direction. Pairs that meet by chance are
+153 n^2 / 2^35 of n fingerprints: 45 million at 10^8, 4.5 billion at 10^9.
 
 Only distinct fingerprints are compared; equal ones share a row. Links become components by large and small
 stars. Nothing is collected to the driver.
 
 Edge cases: null and empty texts and texts without words have the fingerprint zero, which links like any
-other. A null id keeps its row; a component's id is its least id that is not null. Repeated rows each return a
-row. Extra columns are ignored; an empty table gives no rows.
+other. A null id keeps its row; a component's id is its least id that is not null. Very long texts are read in
+segments. Repeated rows each return a row. Extra columns are ignored, ``keep_one_of_each`` keeps them, whatever
+their names; an empty table gives no rows.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 from functools import cache
-from itertools import combinations
+from itertools import combinations, product
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -29,7 +33,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from trajspark.llm.common import checkpointed, id_and_text
+from trajspark.llm.common import checkpointed, fresh, id_and_text
 from trajspark.llm.components import star_components
 from trajspark.shipping import ship
 
@@ -39,10 +43,19 @@ MAX_BITS = 2
 #: Bytes of a text that are split into words at a time.
 SEGMENT_BYTES = 1 << 20
 
-# Length, radius and generator polynomial of the binary Golay code.
-GOLAY_LENGTH = 23
-GOLAY_RADIUS = 3
-GOLAY_POLYNOMIAL = 0b101011100011
+
+class Code(NamedTuple):
+    """A perfect binary code over ``length`` bits from ``shift`` on: each word has one codeword within ``radius``."""
+
+    shift: int
+    length: int
+    radius: int
+    check_bits: int
+    polynomial: int
+
+
+# Lengths, radii and generator polynomials of the Golay and Hamming codes.
+CODES = (Code(0, 23, 3, 11, 0b101011100011), Code(23, 23, 3, 11, 0b101011100011), Code(46, 15, 1, 4, 0b10011))
 
 BYTE_BITS = ((np.arange(256)[:, None] >> np.arange(8)) & 1).astype(np.int64)
 LANES = np.arange(8) * 256
@@ -101,56 +114,60 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     return slim.mapInArrow(run, "doc_id long, same long, fp long")
 
 
-def syndrome(x: np.ndarray) -> np.ndarray:
-    """Remainder of a 23-bit word by the generator polynomial: 11 bits."""
+def syndrome(x: np.ndarray, code: Code) -> np.ndarray:
+    """Remainder of a word by the generator polynomial: check_bits bits."""
     x = x.copy()
-    for i in range(GOLAY_LENGTH - 1, 10, -1):
-        x = np.where((x >> i) & 1, x ^ (GOLAY_POLYNOMIAL << (i - 11)), x)
+    for i in range(code.length - 1, code.check_bits - 1, -1):
+        x = np.where((x >> i) & 1, x ^ (code.polynomial << (i - code.check_bits)), x)
     return x
 
 
 @cache
-def coset_patterns() -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+def coset_patterns(code: Code) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
     """For 0, 1, 2 errors over the radius: (patterns of that weight sorted by syndrome, first of each syndrome, count).
 
     The first entry has all weights up to the radius: the code is perfect, so each syndrome has one.
     """
     out = []
-    for weights in ((0, 1, 2, 3), (4,), (5,)):
-        found = np.array([sum(1 << i for i in c) for w in weights for c in combinations(range(GOLAY_LENGTH), w)], np.int64)
-        s = syndrome(found)
+    for weights in (tuple(range(code.radius + 1)), *((code.radius + e,) for e in range(1, MAX_BITS + 1))):
+        found = np.array([sum(1 << i for i in c) for w in weights for c in combinations(range(code.length), w)], np.int64)
+        s = syndrome(found, code)
         order = np.argsort(s, kind="stable")
-        count = np.bincount(s, minlength=2048)
+        count = np.bincount(s, minlength=1 << code.check_bits)
         out.append((found[order], np.concatenate([[0], np.cumsum(count)[:-1]]), count))
     return out
 
 
-def _anchors_of_half(x: np.ndarray, over: int) -> tuple[np.ndarray, np.ndarray]:
+def _anchors_of_part(x: np.ndarray, code: Code, over: int) -> tuple[np.ndarray, np.ndarray]:
     """(row, codeword) for the codewords that are ``over`` errors beyond the radius away from x."""
-    found, first, count = coset_patterns()[over]
-    s = syndrome(x)
+    found, first, count = coset_patterns(code)[over]
+    s = syndrome(x, code)
     n = count[s]
     rows = np.repeat(np.arange(len(x)), n)
     within = np.arange(len(rows)) - np.repeat(np.cumsum(n) - n, n)
     return rows, x[rows] ^ found[np.repeat(first[s], n) + within]
 
 
+def _part(fp: np.ndarray, code: Code) -> np.ndarray:
+    return (fp >> code.shift) & ((1 << code.length) - 1)
+
+
 def home_anchor(fp: np.ndarray) -> np.ndarray:
-    mask = (1 << GOLAY_LENGTH) - 1
-    return (_anchors_of_half((fp >> GOLAY_LENGTH) & mask, 0)[1] << GOLAY_LENGTH) | _anchors_of_half(fp & mask, 0)[1]
+    return sum(_anchors_of_part(_part(fp, code), code, 0)[1] << code.shift for code in CODES)
 
 
 def all_anchors(fp: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(fp, anchor) for all anchors that a fingerprint is sent to."""
-    mask = (1 << GOLAY_LENGTH) - 1
-    low, high = fp & mask, (fp >> GOLAY_LENGTH) & mask
     fps, anchors = [], []
-    for e1 in range(MAX_BITS + 1):
-        r1, c1 = _anchors_of_half(low, e1)
-        for e2 in range(MAX_BITS + 1 - e1):
-            r2, c2 = _anchors_of_half(high[r1], e2)
-            fps.append(fp[r1[r2]])
-            anchors.append((c2 << GOLAY_LENGTH) | c1[r2])
+    for errors in product(range(MAX_BITS + 1), repeat=len(CODES)):
+        if sum(errors) > MAX_BITS:
+            continue
+        rows, anchor = np.arange(len(fp)), np.zeros(len(fp), np.int64)
+        for code, over in zip(CODES, errors, strict=True):
+            own, word = _anchors_of_part(_part(fp[rows], code), code, over)
+            rows, anchor = rows[own], anchor[own] | (word << code.shift)
+        fps.append(fp[rows])
+        anchors.append(anchor)
     return np.concatenate(fps), np.concatenate(anchors)
 
 
@@ -170,8 +187,10 @@ def links(distinct: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(anchor), pa.array(v)], ["anchor", "v"])
 
     ship(distinct.sparkSession)
+    # a fingerprint is a few bytes and its visits 2.4 KB: dealt over as many tasks as a shuffle has, not by its own size
+    dealt = distinct.repartition(int(distinct.sparkSession.conf.get("spark.sql.shuffle.partitions")), "fp")
     at_home = distinct.mapInArrow(homes, "anchor long, u long")
-    visiting = distinct.mapInArrow(visits, "anchor long, v long")
+    visiting = dealt.mapInArrow(visits, "anchor long, v long")
     near = (F.col("u") < F.col("v")) & (F.bit_count(F.col("u").bitwiseXOR(F.col("v"))) <= MAX_BITS)
     return visiting.join(at_home, "anchor").filter(near).select("u", "v")
 
@@ -192,9 +211,17 @@ def simhash_groups(docs: DataFrame) -> DataFrame:
 
 
 def keep_one_of_each(docs: DataFrame) -> DataFrame:
-    """All columns of docs; of each component the document with the least id stays (one of several texts of that id, once)."""
+    """All columns of docs; of each component the document with the least id stays. Of several texts of that id the one
+    of least hash stays, and of rows equal in id and text the one whose other columns have the least hash."""
     own = grouped(docs).filter(F.col("doc_id").eqNullSafe(F.col("component_id")))
-    kept = own.groupBy("component").agg(F.min(F.struct("doc_id", "same")).alias("k")).select(F.col("k.doc_id").alias("__id"), F.col("k.same").alias("__same")).distinct()
-    marked = docs.withColumn("__hash", F.xxhash64(F.col("text").cast("string")))
-    here = docs["doc_id"].cast("long").eqNullSafe(F.col("__id")) & (F.col("__hash") == F.col("__same"))
-    return marked.join(kept, here, "left_semi").dropDuplicates(["doc_id", "__hash"]).drop("__hash")
+    kept_id, kept_same, same = fresh(docs, "kept_id", "kept_same", "same")
+    kept = own.groupBy("component").agg(F.min(F.struct("doc_id", "same")).alias("k")).select("k.doc_id", "k.same").distinct().toDF(kept_id, kept_same)
+    marked = docs.withColumn(same, F.xxhash64(F.col("text").cast("string")))
+    here = F.col("doc_id").cast("long").eqNullSafe(F.col(kept_id)) & (F.col(same) == F.col(kept_same))
+    left = marked.join(kept, here, "left_semi")
+    columns = [f"`{c}`" for c in docs.columns]
+    others = [c for c in columns if c.lower() not in ("`doc_id`", "`text`")]
+    order = F.xxhash64(F.to_json(F.struct(*others))) if others else F.lit(0)
+    row, key = fresh(docs, "row", "key")
+    one = left.groupBy(F.col("doc_id").cast("long").alias(key), same).agg(F.min_by(F.struct(*columns), order).alias(row))
+    return one.select(*[F.col(f"{row}.{c}") for c in columns])
