@@ -1,6 +1,8 @@
 """Quality rules, line dedup, SimHash, decontamination and sharding against brute force, with edge cases."""
 
+import hashlib
 import itertools
+import math
 import random
 import re
 import zlib
@@ -117,6 +119,39 @@ def test_line_dedup_long_line_and_columns(spark):
     assert {r.doc_id: r.text for r in out.collect()} == {1: "a\n" + passage + "\nb", 2: "c", 3: passage[:-30]}
 
 
+def brute_rows(rows, least):
+    """brute_line_dedup where a document is its id and text, null ids last."""
+    key = {(d, t): (d is None, d or 0, *(x - (1 << 64) if x >> 63 else x for x in (xxhash.xxh64_intdigest((t or "").encode(), 42), xxhash.xxh64_intdigest((t or "").encode(), xxhash.xxh64_intdigest(b"\x01\0\0\0", 42))))) for d, t in rows}
+    order = sorted(set(rows), key=lambda r: key[r])
+    out = brute_line_dedup({i: t for i, (_, t) in enumerate(order)}, least)
+    return sorted(((d, out[order.index((d, t))]) for d, t in rows), key=str)
+
+
+def test_line_dedup_of_repeated_and_null_ids(spark):
+    p, q, u = (" ".join(f"{c}{i}" for i in range(60)) for c in "pqu")
+    rows = [(1, p), (7, p), (7, q), (None, p), (None, q + "\nx"), (None, u), (None, u), (8, u + "\n" + u), (8, None), (9, "")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    for c in ("__gone", "__new", "__h1", "__doc_id", "__n_lines", "___gone", "h1", "span", "fp"):
+        docs = docs.withColumn(c, F.lit(1))
+    out = line_dedup.drop_repeated_lines(docs, 50)
+    got = sorted(((r.doc_id, r.text) for r in out.collect()), key=str)
+    want = brute_rows(rows, 50)
+    assert got == want
+    assert (7, q) in got and (None, "x") in got and got.count((None, "")) == 3 and (8, u) in got  # q lives on in one document
+    assert set(docs.columns) < set(out.columns)
+
+
+def test_very_long_texts(spark):
+    r = random.Random(9)
+    long = "\n".join(" ".join(f"v{r.randint(0, 9999)}" for _ in range(12)) for _ in range(6000))
+    docs = frame(spark, {1: long, 2: "head\n" + long, 3: "x" * 500_000})
+    got = {x.doc_id: (x.n_deleted, x.text) for x in line_dedup.line_dedup(docs).collect()}
+    assert got == {1: (0, long), 2: (6000, "head"), 3: (0, "x" * 500_000)}
+    bench = spark.createDataFrame([(1, " ".join(long.split()[100:130]))], "item_id long, text string")
+    assert {x.doc_id for x in decontamination.contaminated(docs, bench).collect()} == {1, 2}
+    assert sorted(x.size for x in sharding.hash_tree_shards(docs).collect()) == sorted([len(long) + 8, len(long) + 13, 500_008])
+
+
 def brute_fingerprint(t):
     ws = WORD.findall("".join(c.lower() if "A" <= c <= "Z" else c for c in t or ""))
     shingles = [" ".join(ws[i : i + 3]) for i in range(len(ws) - 2)] if len(ws) >= 3 else [" ".join(ws)] if ws else []
@@ -147,15 +182,37 @@ def test_simhash_groups(spark):
 
 
 def test_every_close_pair_meets_at_an_anchor():
+    """Over all 64 bits."""
     r = np.random.default_rng(0)
-    x = r.integers(0, 1 << 62, 300, dtype=np.int64)
+    x = r.integers(-(1 << 63), (1 << 63) - 1, 300, dtype=np.int64)
     sent = set(zip(*(a.tolist() for a in simhash.all_anchors(x))))
+    assert len(sent) == len(simhash.all_anchors(x)[0])  # no anchor twice
     for errors in (0, 1, 2):
-        y = x.copy()
-        for i in range(len(y)):
-            for b in r.choice(62, errors, replace=False):
-                y[i] ^= np.int64(1) << np.int64(b)
-        assert all((a, h) in sent for a, h in zip(x.tolist(), simhash.home_anchor(y).tolist()))
+        for _ in range(10):
+            y = x.copy().view(np.uint64)
+            for i in range(len(y)):
+                for b in r.choice(64, errors, replace=False):
+                    y[i] ^= np.uint64(1) << np.uint64(b)
+            assert all((a, h) in sent for a, h in zip(x.tolist(), simhash.home_anchor(y.view(np.int64)).tolist()))
+
+
+def test_chance_meetings_grow_with_anchors(spark):
+    """Candidates of random fingerprints are 153 n^2 / 2^35: next to none here."""
+    r = np.random.default_rng(1)
+    x = r.integers(-(1 << 63), (1 << 63) - 1, 20_000, dtype=np.int64)
+    homes = np.sort(simhash.home_anchor(x))
+    met = sum(int(np.isin(simhash.all_anchors(x[i : i + 2000])[1], homes).sum()) for i in range(0, len(x), 2000))
+    assert met - len(x) < 20
+
+
+def test_links_are_brute_force(spark):
+    r = np.random.default_rng(2)
+    base = r.integers(-(1 << 63), (1 << 63) - 1, 40, dtype=np.int64).view(np.uint64)
+    near = [int(b) ^ sum(1 << int(k) for k in r.choice(64, e, replace=False)) for b in base for e in (0, 1, 2, 3)]
+    signed = sorted({v - (1 << 64) if v >> 63 else v for v in [*near, 0]})
+    got = [(a.u, a.v) for a in simhash.links(spark.createDataFrame([(v,) for v in signed], "fp long")).collect()]
+    want = {(a, b) for a, b in itertools.combinations(signed, 2) if ((a ^ b) & (2**64 - 1)).bit_count() <= 2}
+    assert set(got) == want and len(got) == len(want) > 40
 
 
 def test_segments_do_not_change_fingerprints(monkeypatch):
@@ -240,6 +297,22 @@ def test_items_without_windows_are_found_whole(spark, tmp_path):
     assert {r.doc_id: (r.n_windows, r.item_windows, r.coverage, r.same_values) for r in rows if r.doc_id in (1, 5)} == {1: (1, 1, 1.0, True), 5: (6, 6, 1.0, True)}
 
 
+def test_decontamination_of_repeated_and_null_ids(spark):
+    moved = ITEM.replace("Anna Smith", "Clara Jones").replace("120", "75").replace("Bob", "Tom").replace(" 2 ", " 9 ")
+    clean = "a clean text that no item is in at all"
+    other = "Which of the seven green birds that live near the old river sings at night and sleeps by day in spring"
+    rows = [(7, ITEM), (7, moved), (7, clean), (None, ITEM), (None, moved), (None, clean), (None, None), (None, other), (4, "x " + other), (4, clean)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    for c in ("__gone", "__same", "__gone_same", "same", "id"):
+        docs = docs.withColumn(c, F.lit(1))
+    items = spark.createDataFrame([(None, ITEM), (5, other), (5, "three word item"), (None, None)], "item_id long, text string")
+    found = decontamination.contaminated(docs, items)
+    assert sorted(((r.doc_id, r.item_id) for r in found.collect()), key=str) == sorted([(7, None), (7, None), (None, None), (None, None), (None, 5), (4, 5)], key=str)
+    left = decontamination.drop_contaminated(docs, items)
+    assert left.columns == docs.columns
+    assert sorted(((r.doc_id, r.text) for r in left.collect()), key=str) == sorted([(7, clean), (None, clean), (None, None), (4, clean)], key=str)
+
+
 def test_bit_table_only_prefilters(spark, monkeypatch):
     bench = spark.createDataFrame([(1, ITEM)], "item_id long, text string")
     docs = frame(spark, {1: ITEM, 2: "nothing of it is in here at all today"})
@@ -263,12 +336,61 @@ def test_sharding(spark):
 
 
 def test_weights_and_confined_movement(spark):
+    """Rows move only into the rack whose weight grows, and within it only into the heavier shard."""
     docs = spark.range(6000).select(F.col("id").alias("doc_id"), F.lit("x").alias("text"))
     even, heavy = sharding.even_tree(8), sharding.Tree((1.0, 1.0, 3.0) + (1.0,) * 5)
     rows = sharding.hash_tree_shards(docs, tree=even, grown=heavy).collect()
     moved = [r for r in rows if r.shard != r.grown_shard]
-    assert moved and all(r.grown_shard == 2 for r in moved)
+    assert moved and all(r.grown_shard < 4 for r in moved) and all(r.grown_shard == 2 for r in moved if r.shard < 4)
     assert abs(sum(r.grown_shard == 2 for r in rows) / 6000 - 0.3) < 0.03
+    assert abs(sum(r.grown_shard < 4 for r in rows) / 6000 - 0.6) < 0.03
+
+
+def test_key_law_for_every_added_shard(spark):
+    docs = spark.range(4000).select(F.col("id").alias("doc_id"), F.lit("x").alias("text"))
+    for start in (8, 24):
+        tree = sharding.even_tree(start)
+        for n in range(start, start + 4):
+            grown = tree.grown(1.0)
+            rows = sharding.hash_tree_shards(docs, tree=tree, grown=grown).collect()
+            moved = [r for r in rows if r.shard != r.grown_shard]
+            assert {r.grown_shard for r in moved} == {n} and abs(len(moved) / 4000 - 1 / (n + 1)) < 0.03
+            assert {r.shard for r in rows} == set(range(n))
+            tree = grown
+
+
+def brute_shard(doc_id, regions):
+    """regions: lists of racks, racks are lists of (shard, weight)."""
+
+    def least(nodes, path):
+        def draw(key, weight):
+            u = (int(hashlib.md5(key.encode()).hexdigest()[:13], 16) + 0.5) / 16.0**13
+            return -math.log(u) / weight
+
+        return min((draw(f"{path}/{j}", w), j) for j, w in enumerate(nodes))[1]
+
+    path = f"{doc_id}/r"
+    region = least([sum(w for rack in r for _, w in rack) for r in regions], path)
+    rack = least([sum(w for _, w in k) for k in regions[region]], f"{path}/{region}")
+    return regions[region][rack][least([w for _, w in regions[region][rack]], f"{path}/{region}/{rack}")][0]
+
+
+def test_descent_is_brute_force(spark):
+    weights = tuple(1.0 + i % 3 for i in range(18))
+    docs = spark.range(500).select(F.col("id").alias("doc_id"), F.lit("x").alias("text"))
+    shards = [(i, w) for i, w in enumerate(weights)]
+    racks = [shards[i : i + 4] for i in range(0, 18, 4)]
+    regions = [racks[:3], racks[3:]]
+    got = {r.doc_id: r.shard for r in sharding.hash_tree_shards(docs, tree=sharding.Tree(weights)).collect()}
+    assert got == {i: brute_shard(i, regions) for i in range(500)}
+
+
+def test_slots_of_null_and_repeated_ids(spark):
+    rows = [(None, "a")] * 40 + [(None, None)] * 5 + [(7, "a")] * 9 + [(7, f"t{i}") for i in range(9)] + [(i, "x" * 30_000) for i in range(30)]
+    got = sharding.hash_tree_shards(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert len(got) == len(rows) and len({r.shard for r in got if r.doc_id is None}) == 1 and len({r.shard for r in got if r.doc_id == 7}) == 1
+    for s in {r.shard for r in got}:
+        assert sorted(r.slot for r in got if r.shard == s) == list(range(sum(r.shard == s for r in got)))
 
 
 def test_empty_tables_and_null_ids(spark):
@@ -280,6 +402,9 @@ def test_empty_tables_and_null_ids(spark):
         assert f(empty).count() == 0
         assert f(odd).count() == 5
     assert simhash.keep_one_of_each(empty).count() == 0
+    clash = odd.withColumn("__same", F.monotonically_increasing_id()).withColumn("__row", F.lit(2)).withColumn("__hash", F.lit(3))
+    one = simhash.keep_one_of_each(clash)
+    assert one.columns == clash.columns and one.count() == 2 and one.collect() == simhash.keep_one_of_each(clash.repartition(3)).collect()
     kept = simhash.keep_one_of_each(odd).collect()
     assert sorted((r.doc_id, r.text) for r in kept if r.text) == [(3, "a b c")] and len(kept) == 2
 
