@@ -19,9 +19,7 @@ ODD = ["a", "B", "é", "1", "²", "'s", "'", "s", ".", " ", "\n", "\t", "<|endof
 def tokenizer():
     from tokenizers import Tokenizer
 
-    t = Tokenizer.from_file(tokens.default_path())
-    t.encode_special_tokens = True
-    return t
+    return Tokenizer.from_file(tokens.default_path())
 
 
 def ids_of(tokenizer, text):
@@ -44,8 +42,18 @@ def test_encoder_is_the_tokenizer(tokenizer):
             assert ids.tolist() == [x for w in want for x in w] and n.tolist() == list(map(len, want))
 
 
+def test_special_tokens_are_the_librarys(tokenizer):
+    text = "x <|endoftext|> y"
+    assert tokens.Encoder(tokens.default_path(), 100).encode(pa.array([text, "x y"]))[0].tolist() == ids_of(tokenizer, text) + ids_of(tokenizer, "x y")
+    assert 50256 in ids_of(tokenizer, text)
+    tokenizer = type(tokenizer).from_file(tokens.default_path())
+    tokenizer.encode_special_tokens = True
+    as_text = tokens.Encoder(tokens.default_path(), 100, special_as_text=True).encode(pa.array([text]))[0].tolist()
+    assert as_text == ids_of(tokenizer, text) and 50256 not in as_text
+
+
 def test_packing(spark, tokenizer):
-    texts = odd_texts(2, 100) + ["word here " * 3000, "x" * 2047]
+    texts = odd_texts(2, 100) + ["x <|endoftext|> y", "word here " * 3000, "x" * 2047]
     rows = packing.best_fit_packing(frame(spark, texts, extra=True)).collect()
     own = {i: ids_of(tokenizer, t) + [0] for i, t in enumerate(texts)}
     bins, seen = {}, {}
@@ -88,6 +96,67 @@ def test_plans_place_every_piece_once(seed):
     assert sum(t for _, t in plan) >= -(-total // capacity)
 
 
+def least_bins(lengths, capacity):
+    """The least number of bins, by trying all."""
+    best = len(lengths)
+
+    def go(i, gaps):
+        nonlocal best
+        if len(gaps) >= best:
+            return
+        if i == len(lengths):
+            best = len(gaps)
+            return
+        for gap in set(gaps):
+            if gap >= lengths[i]:
+                k = gaps.index(gap)
+                go(i + 1, [*gaps[:k], gap - lengths[i], *gaps[k + 1 :]])
+        go(i + 1, [*gaps, capacity - lengths[i]])
+
+    go(0, [])
+    return best
+
+
+def test_plans_against_the_optimum():
+    r, over = random.Random(4), 0
+    for _ in range(150):
+        capacity = r.randint(6, 24)
+        lengths = sorted((r.randint(1, capacity) for _ in range(r.randint(1, 11))), reverse=True)
+        counts = {x: lengths.count(x) for x in lengths}
+        n, best = packing.bins(packing.packing_plan(counts, capacity)), least_bins(lengths, capacity)
+        assert best <= n <= best + 1
+        over += n > best
+    assert over <= 8  # of 150
+
+
+@pytest.mark.parametrize("seed", range(8))
+def test_plans_are_no_worse_than_best_fit(seed):
+    r = np.random.default_rng(seed)
+    lengths = np.clip(r.lognormal(6, 1, 3000).astype(int), 1, 2048) if seed % 2 else r.integers(1, 2049, 400)
+    counts = {int(k): int(n) for k, n in zip(*np.unique(lengths, return_counts=True))}
+    plain = packing.best_fit([counts.get(i, 0) for i in range(2049)], 2048)
+    plan = packing.packing_plan(counts)
+    assert packing.bins(plan) <= packing.bins(plain)
+    assert any(len(x) > 1 and sum(x) == 2048 for x, _ in plan)
+
+
+@pytest.mark.parametrize("scale", ["sf0.001", "sf0.01"])
+def test_plans_of_the_tables(spark, scale):
+    """Exact fills hold most bins of the plan, which is no worse than best fit."""
+    import os
+
+    path = f"/root/testdata/{scale}/documents.parquet"
+    if not os.path.exists(path):
+        pytest.skip("no test tables")
+    found = packing.pieces(spark.read.parquet(path)).groupBy("length").count().collect()
+    counts = {r["length"]: r["count"] for r in found}
+    plain = packing.best_fit([counts.get(i, 0) for i in range(2049)], 2048)
+    plan = packing.packing_plan(counts)
+    exact = packing.exact_fills([counts.get(i, 0) for i in range(2049)], 2048)
+    assert packing.bins(plan) <= packing.bins(plain)
+    assert 2 * sum(t for p, t in plan if (p, t) in exact) > packing.bins(plan)
+
+
 def test_exact_complements_fill_bins():
     for lengths in ((10,), (7, 3), (6, 3, 1)):
         assert packing.packing_plan({x: 5 for x in lengths}, 10) == [(lengths, 5)]
@@ -125,6 +194,25 @@ def test_compression_and_random_access():
         assert (repair.expand(*repair.compress(short)) == short).all()
 
 
+def test_a_range_unfolds_only_its_rules():
+    """Rules outside the range may be broken."""
+    ids = np.concatenate([np.tile([1, 2, 3, 4], 50), np.tile([7, 8, 9, 10, 11], 50)]).astype(np.int32)
+    symbols, rules, expansions = repair.compress(ids)
+    met = set()
+    todo = symbols[: int(np.searchsorted(np.cumsum(repair.symbol_sizes(symbols, expansions)), 100)) + 1].tolist()
+    while todo:
+        x = todo.pop()
+        if x >= repair.FIRST_RULE and x not in met:
+            met.add(x)
+            todo += rules[x - repair.FIRST_RULE].tolist()
+    broken = rules.copy()
+    for i in range(len(rules)):
+        if i + repair.FIRST_RULE not in met:
+            broken[i] = i + repair.FIRST_RULE  # would unfold for ever
+    assert len(met) < len(rules) and (repair.decode_range(symbols, broken, expansions, 0, 100) == ids[:100]).all()
+    assert not len(repair.decode_range(symbols, rules, expansions, 5, 5))
+
+
 @pytest.mark.parametrize("kind", ["copies", "words", "run", "period", "few ids"])
 def test_no_frequent_pair_is_left(kind):
     r = np.random.default_rng(3)

@@ -5,13 +5,18 @@ most, comes to the driver. The plan is made on it, from the longest length down:
 
 * the gap that a length leaves is filled exactly by one, two or three available lengths, found in a hash of
   pair sums, as often as the available counts allow;
-* what is left is packed best-fit decreasing, over groups of equal bins.
+* what is left is packed best-fit decreasing, over groups of equal bins; if it does not reach the least possible
+  number of bins, a few of the last exact fills are taken back into it.
 
 A plan is a list of patterns (lengths, how often, first sequence). Each piece finds its sequence by its length
 and its rank among the pieces of that length. Ranks are dealt over 64 hash buckets of each length, so that one
 very common length is not ranked in one task.
 
-Edge cases: a null or empty text has the end id alone. Repeated rows are packed one by one. Ties among equal
+Ids are those of the library as it comes: a special token in a text, ``<|endoftext|>``, is its id
+(``special_as_text``: the ids of its characters).
+
+Edge cases: a null or empty text has the end id alone. A very long text is cut into pieces, nothing of it is lost.
+Repeated rows are packed one by one. Ties among equal
 lengths go by bucket, id and piece. Null ids are kept. Extra columns are ignored; an empty table gives no rows.
 """
 
@@ -43,12 +48,12 @@ def cut_bounds(n: int, capacity: int = CAPACITY) -> list[int]:
     return [0, *range(n % capacity or capacity, n, capacity)]
 
 
-def pieces(docs: DataFrame, *, tokenizer: str | None = None, capacity: int = CAPACITY, end_id: int = END_ID, with_ids: bool = False) -> DataFrame:
+def pieces(docs: DataFrame, *, tokenizer: str | None = None, capacity: int = CAPACITY, end_id: int = END_ID, with_ids: bool = False, special_as_text: bool = False) -> DataFrame:
     """One row per piece: doc_id, piece, start, length, ids_crc32, and the ids themselves if asked for."""
     path = tokenizer or tokens.default_path()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = tokens.encoder(path)
+        encoder = tokens.encoder(path, special_as_text=special_as_text)
         for batch in batches:
             for part in tokens.slices(batch):
                 ids, n = encoder.encode(part.column(1))
@@ -155,12 +160,30 @@ def best_fit(left: list[int], capacity: int) -> list[Pattern]:
     return [p for group in groups.values() for p in group]
 
 
+def bins(plan: list[Pattern]) -> int:
+    return sum(times for _, times in plan)
+
+
 def packing_plan(counts: dict[int, int], capacity: int = CAPACITY) -> list[Pattern]:
-    """Exact fills, then best fit; best fit alone if it needs fewer bins."""
+    """Exact fills, then best fit of the rest. Where the rest packs badly, the last exact fills, which are those of the
+    shortest lengths, are taken back and join it: 1, 2, 4, ... of them, the fewest that give the fewest bins."""
     left = [counts.get(i, 0) for i in range(capacity + 1)]
-    plain = best_fit(list(left), capacity)
-    mixed = exact_fills(left, capacity) + best_fit(left, capacity)
-    return min(mixed, plain, key=lambda plan: sum(times for _, times in plan))
+    bound = -(-sum(i * n for i, n in enumerate(left)) // capacity)
+    exact = exact_fills(left, capacity)
+    best: list[Pattern] | None = None
+    back = 0
+    while True:
+        kept = exact[: len(exact) - back]
+        rest = list(left)
+        for lengths, times in exact[len(kept) :]:
+            for x in lengths:
+                rest[x] += times
+        plan = kept + best_fit(rest, capacity)
+        if best is None or bins(plan) < bins(best):
+            best = plan
+        if bins(best) == bound or back == len(exact):
+            return best
+        back = min(len(exact), max(1, 2 * back))
 
 
 def plan_rows(plan: list[Pattern]) -> list[tuple[int, int, int, int, int]]:
@@ -197,6 +220,6 @@ def pack(found: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     return placed.withColumn("sequence_id", F.col("base") + F.col("rank") - F.col("lo")).drop("rank", "lo", "hi", "base")
 
 
-def best_fit_packing(docs: DataFrame, *, tokenizer: str | None = None, capacity: int = CAPACITY) -> DataFrame:
-    found = checkpointed(pieces(docs, tokenizer=tokenizer, capacity=capacity))
+def best_fit_packing(docs: DataFrame, *, tokenizer: str | None = None, capacity: int = CAPACITY, special_as_text: bool = False) -> DataFrame:
+    found = checkpointed(pieces(docs, tokenizer=tokenizer, capacity=capacity, special_as_text=special_as_text))
     return pack(found, capacity).select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")

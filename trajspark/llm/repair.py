@@ -11,8 +11,10 @@ about ``SHARD_TOKENS`` ids. A shard is one row of a Parquet table:
     expansions          uint32[r]: how many ids each nonterminal stands for
     symbols             uint32[]: the compressed ids
 
+Ids are those of the library as it comes: a special token in a text, ``<|endoftext|>``, is its id.
 Symbols under ``FIRST_RULE`` are ids. Re-Pair replaces the most frequent pairs of neighbours by nonterminals,
-many pairs a round, until no pair of neighbours occurs ``MIN_COUNT`` times in the shard. The expansion lengths
+at most ``PAIRS_A_ROUND`` a round, until no pair of neighbours occurs ``MIN_COUNT`` times in the shard. Early rounds
+count one pair of each frequent hash bin; the last ones count all pairs of such bins, so that none waits for ever. The expansion lengths
 tell where an id of a given place is, so any range of ids is decoded without the rest (``decode_range``).
 
 Edge cases: a null or empty text has the end id alone. Null ids come first. Rows of one id are ordered by a
@@ -144,9 +146,8 @@ def symbol_sizes(symbols: np.ndarray, expansions: np.ndarray) -> np.ndarray:
     return size
 
 
-def rule_ids(rules: np.ndarray) -> np.ndarray:
-    """The ids that all nonterminals stand for, one after the other; as many passes as rules are deep."""
-    s = np.arange(FIRST_RULE, FIRST_RULE + len(rules), dtype=np.uint32)
+def unfolded(s: np.ndarray, rules: np.ndarray) -> np.ndarray:
+    """The ids that symbols stand for, one after the other; as many passes as the rules in them are deep."""
     while (rule := s >= FIRST_RULE).any():
         n = 1 + rule.astype(np.int64)
         ends = np.cumsum(n)
@@ -160,11 +161,11 @@ def rule_ids(rules: np.ndarray) -> np.ndarray:
 
 
 def expand(symbols: np.ndarray, rules: np.ndarray, expansions: np.ndarray) -> np.ndarray:
-    """The ids that symbols stand for: those of nonterminals are copied from one table."""
+    """The ids of a whole shard: each nonterminal is unfolded once, into a table from which its ids are copied."""
     size = symbol_sizes(symbols, expansions)
     ends = np.cumsum(size)
     rule = symbols >= FIRST_RULE
-    table = rule_ids(rules)
+    table = unfolded(np.arange(FIRST_RULE, FIRST_RULE + len(rules), dtype=np.uint32), rules)
     out = np.empty(int(ends[-1]) if len(ends) else 0, np.uint32)
     out[(ends - 1)[~rule]] = symbols[~rule]
     n, first = size[rule], (ends - size)[rule]
@@ -175,11 +176,13 @@ def expand(symbols: np.ndarray, rules: np.ndarray, expansions: np.ndarray) -> np
 
 
 def decode_range(symbols: np.ndarray, rules: np.ndarray, expansions: np.ndarray, start: int, stop: int) -> np.ndarray:
-    """Ids start .. stop - 1 of a shard, without decoding the others."""
+    """Ids start .. stop - 1 of a shard; only the rules that the range meets are unfolded."""
+    if stop <= start:
+        return np.zeros(0, np.uint32)
     ends = np.cumsum(symbol_sizes(symbols, expansions))
     a, z = int(np.searchsorted(ends, start, "right")), int(np.searchsorted(ends, stop, "left")) + 1
     before = int(ends[a - 1]) if a else 0
-    return expand(symbols[a:z], rules, expansions)[start - before : stop - before]
+    return unfolded(symbols[a:z], rules)[start - before : stop - before]
 
 
 def ordered(docs: DataFrame) -> DataFrame:
@@ -187,7 +190,7 @@ def ordered(docs: DataFrame) -> DataFrame:
     return keyed.repartitionByRange("doc_id", "tie").sortWithinPartitions("doc_id", "tie").select("doc_id", "text")
 
 
-def write_shards(docs: DataFrame, folder: str, *, tokenizer: str | None = None, end_id: int = END_ID, shard_tokens: int = SHARD_TOKENS) -> None:
+def write_shards(docs: DataFrame, folder: str, *, tokenizer: str | None = None, end_id: int = END_ID, shard_tokens: int = SHARD_TOKENS, special_as_text: bool = False) -> None:
     """Writes the shard files of docs to ``folder``."""
     path = tokenizer or tokens.default_path()
 
@@ -195,7 +198,7 @@ def write_shards(docs: DataFrame, folder: str, *, tokenizer: str | None = None,
         from pyspark import TaskContext
 
         part, block = TaskContext.get().partitionId(), 0
-        encoder = tokens.encoder(path, CACHED_CHUNKS)
+        encoder = tokens.encoder(path, CACHED_CHUNKS, special_as_text)
         held: list[tuple[list, np.ndarray, np.ndarray]] = []
         held_tokens = 0
 

@@ -5,12 +5,14 @@ next to white space, these places are cuts: before a space, before and after a n
 digit and the punctuation after it. So a text is a row of chunks: words with the space before them (none at
 the start of a text or line), punctuation with what follows it, and newlines. Arrow cuts a slice of texts and
 numbers its chunks; only those that the worker has not met go to the tokenizer, words joined to one text, in
-which each begins with an id that begins with a space. Texts with neighbouring white space are encoded whole.
+which each begins with an id that begins with a space. Texts with neighbouring white space, and texts with a special
+token, which the library finds before it cuts, are encoded whole.
 """
 
 from __future__ import annotations
 
 import os
+import re
 from functools import cache
 
 import numpy as np
@@ -103,19 +105,22 @@ class Chunks:
 
 
 class Encoder:
-    def __init__(self, path: str, cached_chunks: int) -> None:
+    def __init__(self, path: str, cached_chunks: int, special_as_text: bool = False) -> None:
+        """special_as_text: a special token in a text is encoded as any other characters."""
         self.cached_chunks = cached_chunks
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        self.tokenizer.encode_special_tokens = special_as_text
+        whole = [] if special_as_text else [re.escape(t.content) for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.unsafe = "|".join([UNSAFE, *whole])
         self.chunks = Chunks(self.tokenizer)
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts one after the other, number of ids of each text); a null text is an empty one."""
         texts = pc.fill_null(texts, "")
-        unsafe = pc.match_substring_regex(texts, UNSAFE).to_numpy(zero_copy_only=False)
+        unsafe = pc.match_substring_regex(texts, self.unsafe).to_numpy(zero_copy_only=False)
         if not unsafe.any():
             return self._encode_safe(texts)
         whole = iter(self.tokenizer.encode_batch_fast(texts.filter(pa.array(unsafe)).to_pylist(), add_special_tokens=False))
@@ -151,9 +156,9 @@ class Encoder:
 
 
 @cache
-def encoder(path: str, cached_chunks: int = CACHED_CHUNKS) -> Encoder:
+def encoder(path: str, cached_chunks: int = CACHED_CHUNKS, special_as_text: bool = False) -> Encoder:
     """One for each worker."""
-    return Encoder(path, cached_chunks)
+    return Encoder(path, cached_chunks, special_as_text)
 
 
 def slices(batch: pa.RecordBatch, text_column: int = 1):
