@@ -306,6 +306,49 @@ def test_voting_is_brute_force():
         assert got[i] == pytest.approx(sum(a for a, j in zip(w, best) if labels[j] == 1) / sum(w), rel=1e-3, abs=1e-4)
 
 
+def test_ties_all_vote():
+    counts = np.zeros((30, quality_classifier.BUCKETS + 1), np.float32)
+    counts[:, 3] = 2  # thirty equal vectors
+    labels = np.array([1] * 6 + [0] * 24)
+    got = quality_classifier.Model(counts, labels, 0.2).scores(counts[:1])
+    assert got[0] == pytest.approx(0.2)
+
+
+def test_features_are_brute_force():
+    texts = ["the the cat", "", None, "é é x\ny", "a" * 9000]
+    got = quality_classifier.features(pa.array(texts, pa.string()))
+    for row, t in zip(got, texts):
+        data = (t or "").encode()
+        want = np.zeros(quality_classifier.BUCKETS + 1)
+        for i in range(len(data) - 2):
+            want[ngram_bucket(data[i : i + 3], quality_classifier.BUCKETS)] += 1
+        ws = data.split()
+        want[-1] = quality_classifier.REPEAT_WEIGHT * sum(a == b for a, b in zip(ws, ws[1:]))
+        assert (row == want).all()
+
+
+def ngram_bucket(gram, buckets):
+    code = (int.from_bytes(gram, "big") + len(gram)) * 0x9E3779B97F4A7C15 % 2**64
+    return code >> (64 - (buckets.bit_length() - 1))
+
+
+def test_language_prediction_is_brute_force():
+    """Mean of embeddings of each n-gram, softmax, one n-gram after the other."""
+    r = random.Random(1)
+    texts = [" ".join("".join(r.choice(abc) for _ in range(r.randint(1, 6))) for _ in range(20)) for abc in ("abcd", "efgh", "ijéü") for _ in range(30)]
+    counts = language_id.histograms(language_id.as_words(pa.array(texts)), language_id.NGRAMS, language_id.BUCKETS, True)
+    model = language_id.Model(counts, ["x"] * 30 + ["y"] * 30 + ["z"] * 30)
+    tests = [*texts[::9], "Abc, é efgh!", "q" * 20_000]
+    rows = model.rows.astype(np.float64)
+    names, scores = model.predict(language_id.histograms(language_id.as_words(pa.array(tests)), language_id.NGRAMS, language_id.BUCKETS, True))
+    for t, name, score in zip(tests, names, scores):
+        word_bytes = "".join(c if ord(c) > 127 or c.isalpha() else " " for c in t.lower()).encode().split()
+        found = [ngram_bucket(g, language_id.BUCKETS) for w in word_bytes for n in language_id.NGRAMS for g in [(b" " + w + b" ")[i : i + n] for i in range(len(w) + 3 - n)]]
+        z = sum(rows[b] for b in found) / len(found) + model.bias
+        p = np.exp(z / model.temperature) / np.exp(z / model.temperature).sum()
+        assert name == model.names[int(p.argmax())] and score == pytest.approx(float(p.max()), abs=1e-4)
+
+
 def test_language_id(spark):
     r = random.Random(0)
     syllables = {"xx": ["ka", "to", "mi", "ru"], "yy": ["sch", "ein", "ung", "ber"], "zz": ["ção", "que", "eau", "ón"]}
@@ -335,6 +378,48 @@ def test_empty_tables_and_null_ids(spark):
     assert language_id.detect_language(odd.withColumn("lang", F.lit(None).cast("string"))).count() == 5
 
 
+def test_models_do_not_depend_on_the_order_of_rows(spark):
+    """Repeated ids with different texts."""
+    r = random.Random(3)
+    rows = [(i % 20, " ".join(r.choice(["alpha", "beta", "###", "été"]) for _ in range(20)), "xy"[i % 2]) for i in range(60)] + [(None, "alpha", "x"), (None, None, "y")]
+    labels = spark.createDataFrame([(i, i % 2) for i in range(20)] + [(3, 0), (3, 1)], "doc_id long, quality int")
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    other = docs.orderBy(F.xxhash64("text")).repartition(3)
+    # matrix products of other batches differ in the last bits
+    got = lambda d: sorted((tuple(round(v, 4) if isinstance(v, float) else v for v in r) for r in d.collect()), key=str)
+    assert got(quality_classifier.quality_scores(docs, labels)) == got(quality_classifier.quality_scores(other, labels))
+    assert got(language_id.detect_language(docs)) == got(language_id.detect_language(other))
+
+
+def test_pipeline_of_odd_tables(spark, tmp_path):
+    """Null and repeated ids, extra columns with clashing names, and empty tables."""
+    import corpus_pipeline
+
+    r = random.Random(5)
+    word = lambda: "".join(r.choice("aeioustrnlm") for _ in range(r.randint(2, 8)))
+    good = lambda: "\n".join(" ".join(word() for _ in range(30)) for _ in range(3))
+    item = " ".join(word() for _ in range(30))
+    a, b, c = good(), good(), good()
+    rows = [(7, a), (7, b), (None, c), (None, good()), (None, good() + "\n" + item), (1, good()), (1, None), (2, "")]
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t or "")) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    for x in ("__gone", "__same", "__new", "__hash", "kept", "fp", "span"):
+        docs = docs.withColumn(x, F.lit(1))
+    docs.write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([(7, 1, 0), (1, 1, 0), (None, 1, 0)], "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    spark.createDataFrame([(None, item), (None, None)], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    here = docs
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        here = stage(spark, here, str(tmp_path))
+        assert here.columns == docs.columns and here.dtypes == docs.dtypes
+    kept = sorted(((x.doc_id, x.text) for x in here.collect()), key=str)
+    assert (7, a) in kept and (7, b) in kept and (None, c) in kept and len(kept) == 5 and not any(item in t for _, t in kept)
+    assert corpus_pipeline.run(spark, str(tmp_path)).count() == 5
+    empty = tmp_path / "empty"
+    for name in ("documents", "labels", "benchmark"):
+        spark.read.parquet(str(tmp_path / f"{name}.parquet")).limit(0).write.parquet(str(empty / f"{name}.parquet"))
+    assert corpus_pipeline.run(spark, str(empty)).collect() == []
+
+
 def test_pipeline(spark, tmp_path):
     import corpus_pipeline
 

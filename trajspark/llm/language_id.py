@@ -11,8 +11,10 @@ Once trained, the embedding of a bucket times the layer is one row of numbers fo
 logits are the mean of its buckets' rows, so whole texts of any length cost one pass.
 
 Edge cases: a null text, and one without a letter, is ``und`` with score 0. A text whose words are all under two
-bytes still has subwords, by its spaces. Without a training row all are ``und``. Repeated rows are predicted
-one by one. Extra columns are ignored; an empty table gives no rows.
+bytes still has subwords, by its spaces. Without a training row all are ``und``. Of equal probabilities the language of
+least name wins. Rows are predicted one by one, also of repeated or null ids; of a repeated id the row of least language
+and text hash is in the sample, null ids are not. Very long texts are counted whole. Extra columns are ignored; an empty
+table gives no rows.
 """
 
 from __future__ import annotations
@@ -25,7 +27,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from trajspark.llm.common import id_and_text
+from trajspark.llm.common import id_and_text, text_hashes
 from trajspark.llm.sampling import fold, histograms, lowest_of_each, text_rows
 from trajspark.shipping import ship
 
@@ -108,14 +110,15 @@ def fit(docs: DataFrame) -> Model:
     """docs(doc_id, text, lang)"""
     known = docs.filter(F.col("lang").isNotNull() & F.col("text").isNotNull() & (fold(F.col("doc_id"), FOLDS) != HELD_OUT)).select("doc_id", "lang")
     ids = lowest_of_each(known, "lang", SAMPLE).select(F.col("doc_id").alias("doc_id")).dropna().distinct()
-    sample = docs.filter(F.col("lang").isNotNull()).join(F.broadcast(ids), "doc_id", "left_semi").select("lang", "doc_id", "text")
+    sample = docs.filter(F.col("lang").isNotNull()).join(F.broadcast(ids), "doc_id", "left_semi").select("lang", "doc_id", "text", text_hashes(F.col("text"))[0].alias("tie"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in text_rows(batches, 2):
             counts = histograms(as_words(part.column(2)), NGRAMS, BUCKETS, True)
-            yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array([x.tobytes() for x in counts], pa.binary())], ["lang", "doc_id", "counts"])
+            yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), part.column(3), pa.array([x.tobytes() for x in counts], pa.binary())], ["lang", "doc_id", "tie", "counts"])
 
-    rows = sorted(sample.mapInArrow(run, "lang string, doc_id long, counts binary").dropDuplicates(["doc_id"]).collect(), key=lambda r: (r["doc_id"], r["lang"]))
+    counted = sample.mapInArrow(run, "lang string, doc_id long, tie long, counts binary")
+    rows = sorted(counted.groupBy("doc_id").agg(F.min("lang").alias("lang"), F.min_by("counts", F.struct("lang", "tie")).alias("counts")).collect(), key=lambda r: r["doc_id"])
     counts = np.frombuffer(b"".join(r["counts"] for r in rows), np.float32).reshape(-1, BUCKETS)
     return Model(counts, [r["lang"] for r in rows])
 

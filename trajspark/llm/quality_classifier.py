@@ -10,7 +10,9 @@ held-out fold. Each vote is weighted to give back the labels' real shares, so th
 Only the sample's vectors are broadcast. Labels, lang, source and doc_id are no inputs of a score.
 
 Edge cases: a null or empty text has no trigram and gets the share of label 1. Without labels every score is
-0.5. Repeated rows are scored one by one. Extra columns are ignored; an empty table gives no rows.
+0.5. All labelled vectors that tie with the last neighbour vote too. Rows are scored one by one, also of repeated or
+null ids; of a repeated id the text of least hash is in the sample, and a repeated label counts once, 1 before 0; null
+labels and ids are none. Very long texts are counted whole. Extra columns are ignored; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -23,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from trajspark.llm.common import id_and_text
+from trajspark.llm.common import id_and_text, text_hashes
 from trajspark.llm.sampling import fold, histograms, lowest_of_each, text_rows
 from trajspark.shipping import ship
 
@@ -85,9 +87,10 @@ class Model:
         vectors = self.latent(counts[at])
         for i in range(0, len(at), BLOCK):
             near = vectors[i : i + BLOCK] @ self.known.T
-            best = np.argpartition(near, -k, axis=1)[:, -k:]
-            weight = np.maximum(np.take_along_axis(near, best, axis=1), 1e-6).astype(np.float64) ** SHARPNESS * self.vote[best]
-            out[at[i : i + BLOCK]] = (weight * self.label[best]).sum(axis=1) / weight.sum(axis=1)
+            row, best = np.nonzero(near >= np.partition(near, -k, axis=1)[:, -k, None])
+            weight = np.maximum(near[row, best], 1e-6).astype(np.float64) ** SHARPNESS * self.vote[best]
+            n = len(near)
+            out[at[i : i + n]] = np.bincount(row, weight * self.label[best], n) / np.bincount(row, weight, n)
         return np.clip(out, 0.0, 1.0)
 
 
@@ -95,14 +98,15 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model:
     known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("quality").cast("int").alias("quality"))
     known = known.filter(F.col("quality").isin(0, 1) & F.col("doc_id").isNotNull() & (fold(F.col("doc_id"), FOLDS) != HELD_OUT)).groupBy("doc_id").agg(F.max("quality").alias("quality"))
     share = known.agg(F.avg("quality")).first()[0]
-    sample = docs.join(F.broadcast(lowest_of_each(known, "quality", LABELLED)), "doc_id").select("quality", "doc_id", "text")
+    sample = docs.join(F.broadcast(lowest_of_each(known, "quality", LABELLED)), "doc_id").select("quality", "doc_id", "text", text_hashes(F.col("text"))[0].alias("tie"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in text_rows(batches, 2):
             counts = features(part.column(2))
-            yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array([x.tobytes() for x in counts], pa.binary())], ["quality", "doc_id", "counts"])
+            yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), part.column(3), pa.array([x.tobytes() for x in counts], pa.binary())], ["quality", "doc_id", "tie", "counts"])
 
-    rows = sorted(sample.mapInArrow(run, "quality int, doc_id long, counts binary").dropDuplicates(["doc_id"]).collect(), key=lambda r: r["doc_id"])
+    counted = sample.mapInArrow(run, "quality int, doc_id long, tie long, counts binary")
+    rows = sorted(counted.groupBy("doc_id").agg(F.max("quality").alias("quality"), F.min_by("counts", "tie").alias("counts")).collect(), key=lambda r: r["doc_id"])
     counts = np.frombuffer(b"".join(r["counts"] for r in rows), np.float32).reshape(-1, BUCKETS + 1)
     return Model(counts, np.array([r["quality"] for r in rows]), 0.5 if share is None else share)
 
