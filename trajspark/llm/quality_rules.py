@@ -7,7 +7,9 @@ of a few copies are no evidence.
 
 Edge cases: a null text has no words, as an empty one; both fail the base rule and score 0. Without trusted
 documents every score is 0, so only the base rule decides. Repeated rows are scored one by one and all count
-in the raw multinomial. Null ids are kept. Extra columns are ignored. An empty table gives no rows.
+in the raw multinomial; all rows of a trusted id count in the target one. Null ids are kept and never trusted. Very
+long texts are counted whole, in the memory of one row. Extra columns are ignored, ``keep_good`` keeps them. An empty
+table gives no rows.
 """
 
 from __future__ import annotations
@@ -86,23 +88,22 @@ def ngram_buckets(text: Column, buckets: int = BUCKETS) -> Column:
     )
 
 
-def bucket_counts(docs: DataFrame, buckets: int = BUCKETS) -> DataFrame:
-    return docs.select(F.explode(ngram_buckets(F.col("text"), buckets)).alias("bucket")).groupBy("bucket").count()
-
-
 def trusted_ids(labels: DataFrame) -> DataFrame:
     return labels.filter(F.col("quality") == 1).select(F.col("doc_id").cast("long").alias("doc_id")).dropna().distinct()
 
 
+def bucket_counts(docs: DataFrame, labels: DataFrame, buckets: int = BUCKETS) -> DataFrame:
+    """(bucket, raw, target): n-grams of all documents, and of the trusted ones, in one pass over the texts."""
+    marked = docs.join(trusted_ids(labels).withColumn("trusted", F.lit(1)), "doc_id", "left")
+    grams = marked.select("trusted", F.explode(ngram_buckets(F.col("text"), buckets)).alias("bucket"))
+    return grams.groupBy("bucket").agg(F.count("*").alias("raw"), F.count("trusted").alias("target"))
+
+
 def ratio_weights(docs: DataFrame, labels: DataFrame, buckets: int = BUCKETS) -> list[float]:
     """Log ratio of each bucket: a list of the fixed length ``buckets``."""
-    raw = [0] * buckets
-    for r in bucket_counts(docs, buckets).collect():
-        raw[r["bucket"]] = r["count"]
-    trusted = docs.join(trusted_ids(labels), "doc_id", "left_semi")
-    target = [0] * buckets
-    for r in bucket_counts(trusted, buckets).collect():
-        target[r["bucket"]] = r["count"]
+    raw, target = [0] * buckets, [0] * buckets
+    for r in bucket_counts(docs, labels, buckets).collect():
+        raw[r["bucket"]], target[r["bucket"]] = r["raw"], r["target"]
     if not sum(target):
         return [0.0] * buckets
     n_t, n_r = sum(target) + SMOOTHING * buckets, sum(raw) + SMOOTHING * buckets
