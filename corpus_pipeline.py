@@ -2,6 +2,12 @@
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame, which is stored and read again as the next
 one's docs. All but the last return the columns of documents.
+
+Edge cases: a null or empty text fails the quality rules. Rows of one id, or of none, with different texts are
+different documents in each stage; rows equal in id and text pass or go together, and near dedup keeps one of them.
+Ties go as each operator says. Very long texts are read whole. Extra columns, whatever their names, pass through all
+stages but the last. Empty tables give no rows; without labels only the base rule decides, without a benchmark
+nothing leaks.
 """
 
 from __future__ import annotations
@@ -11,7 +17,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from trajspark.llm.common import shared_folder, table
+from trajspark.llm.common import delete_folder, shared_folder, table
 from trajspark.llm.decontamination import drop_contaminated
 from trajspark.llm.line_dedup import drop_repeated_lines
 from trajspark.llm.packing import best_fit_packing
@@ -56,9 +62,16 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Packed pieces of what the stages keep. A stage's table is deleted once the next one is written."""
     docs = table(spark, sf_dir, "documents")
     folder = f"{shared_folder(spark)}/pipeline-{uuid.uuid4().hex}"
+    before = None
     for name, stage in STAGES[:-1]:
         stage(spark, docs, sf_dir).write.parquet(f"{folder}/{name}")
-        docs = spark.read.parquet(f"{folder}/{name}")
-    return STAGES[-1][1](spark, docs, sf_dir)
+        if before:
+            delete_folder(spark, before)
+        before = f"{folder}/{name}"
+        docs = spark.read.parquet(before)
+    packed = STAGES[-1][1](spark, docs, sf_dir)  # reads docs once and stores the pieces
+    delete_folder(spark, folder)
+    return packed
