@@ -12,6 +12,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+MARK_BITS = 26
 WORD_GAP = r"[\x20\x09-\x0D]+"
 
 
@@ -86,6 +87,23 @@ def delete_folder(spark: SparkSession, folder: str) -> None:
     path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def with_mark(df: DataFrame, key: Column, known: DataFrame, known_key: Column, name: str) -> DataFrame:
+    """``df`` with a boolean: false only if key is none of known's keys. Rows that it rules out need no shuffle.
+
+    The keys are bits of a table of MARK_BITS bits whatever their number, made as bitmaps by the cluster and broadcast:
+    8 MB at most. With very many keys it rules out less; a join must decide the rest.
+    """
+    place = lambda k: F.shiftrightunsigned(F.xxhash64(k), 64 - MARK_BITS) + 1  # noqa: E731  bitmaps count from 1
+    bucket, bits = fresh(df, "bucket", "bits")
+    own = place(known_key)
+    maps = known.groupBy(F.bitmap_bucket_number(own).alias(bucket)).agg(F.bitmap_construct_agg(F.bitmap_bit_position(own)).alias(bits))
+    at = F.bitmap_bit_position(place(key))
+    byte = F.conv(F.hex(F.substring(F.col(bits), (F.shiftright(at, 3) + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
+    marked = df.withColumn(f"{bucket}_", F.bitmap_bucket_number(place(key))).join(F.broadcast(maps), F.col(bucket) == F.col(f"{bucket}_"), "left")
+    here = F.coalesce(F.getbit(byte, (at % 8).cast("int")) == 1, F.lit(False)) & key.isNotNull()
+    return marked.withColumn(name, here).drop(bucket, bits, f"{bucket}_")
+
+
 def release_memory() -> None:
     """Gives a worker's free memory back to the machine at the end of a task; workers outlive their tasks."""
     pa.default_memory_pool().release_unused()

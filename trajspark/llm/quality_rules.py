@@ -19,7 +19,7 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from trajspark.llm.common import id_and_text, let, words
+from trajspark.llm.common import id_and_text, let, with_mark, words
 
 BUCKETS = 1 << 14
 SMOOTHING = 8
@@ -93,9 +93,13 @@ def trusted_ids(labels: DataFrame) -> DataFrame:
 
 
 def bucket_counts(docs: DataFrame, labels: DataFrame, buckets: int = BUCKETS) -> DataFrame:
-    """(bucket, raw, target): n-grams of all documents, and of the trusted ones, in one pass over the texts."""
-    marked = docs.join(trusted_ids(labels).withColumn("trusted", F.lit(1)), "doc_id", "left")
-    grams = marked.select("trusted", F.explode(ngram_buckets(F.col("text"), buckets)).alias("bucket"))
+    """(bucket, raw, target): n-grams of all documents, and of the trusted ones. Each text is cut once, and only texts
+    that may be trusted are shuffled to meet their label."""
+    trusted = trusted_ids(labels)
+    marked = with_mark(docs, F.col("doc_id"), trusted, F.col("doc_id"), "maybe")
+    met = marked.filter("maybe").join(trusted.withColumn("trusted", F.lit(1)).hint("merge"), "doc_id", "left").select("trusted", "text")
+    others = marked.filter("NOT maybe").select(F.lit(None).cast("int").alias("trusted"), "text")
+    grams = met.union(others).select("trusted", F.explode(ngram_buckets(F.col("text"), buckets)).alias("bucket"))
     return grams.groupBy("bucket").agg(F.count("*").alias("raw"), F.count("trusted").alias("target"))
 
 
