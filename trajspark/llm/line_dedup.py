@@ -34,7 +34,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from trajspark.llm.common import WORD_GAP, checkpointed, fresh, id_and_text, let, stored, text_hashes
+from trajspark.llm.common import WORD_GAP, checkpointed, fresh, id_and_text, let, stored, text_hashes, with_mark
 
 MIN_WORDS = 50
 #: More than the lines of any window, which has at most one line a word.
@@ -121,6 +121,10 @@ def repeated_runs(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     return gone.select(*ROW, F.array_distinct(F.flatten(F.transform("spans", lines))).alias("gone"))
 
 
+def _whole(text: Column) -> Column:
+    return F.struct(F.when(text.isNull(), 0).otherwise(F.size(_lines(text))).alias("n_lines"), F.lit(0).alias("n_deleted"), text.alias("text"))
+
+
 def _cleaned(text: Column, gone: Column) -> Column:
     """Struct of n_lines, n_deleted and the text without the lines at the places ``gone``."""
 
@@ -131,20 +135,23 @@ def _cleaned(text: Column, gone: Column) -> Column:
         left = F.transform(F.array_except(at, drop), lambda i: F.get(lines, i))
         return F.struct(F.size(lines).alias("n_lines"), F.size(gone).alias("n_deleted"), F.array_join(left, "\n").alias("text"))
 
-    whole = F.struct(F.when(text.isNull(), 0).otherwise(F.size(_lines(text))).alias("n_lines"), F.lit(0).alias("n_deleted"), text.alias("text"))
-    return F.when(gone.isNull() | text.isNull(), whole).otherwise(let(_lines(text), cut))
+    return F.when(gone.isNull() | text.isNull(), _whole(text)).otherwise(let(_lines(text), cut))
 
 
 def _with_counts(docs: DataFrame, min_words: int) -> tuple[DataFrame, str]:
     """docs with the new text, and a struct of n_lines and n_deleted under a name of its own."""
-    new, gone, *row = fresh(docs, "new", "gone", *ROW)
-    found = repeated_runs(docs, min_words).toDF(*row, gone)
+    new, gone, maybe, *row = fresh(docs, "new", "gone", "maybe", *ROW)
+    found = checkpointed(repeated_runs(docs, min_words)).toDF(*row, gone)
     text = F.col("text").cast("string")
     h1, h2 = text_hashes(text)
     own = docs.select("*", F.col("doc_id").cast("long").alias(row[0] + "_"), h1.alias(row[1] + "_"), h2.alias(row[2] + "_"))
     here = F.col(row[1]) == F.col(row[1] + "_")
     here = here & (F.col(row[2]) == F.col(row[2] + "_")) & F.col(row[0]).eqNullSafe(F.col(row[0] + "_"))
-    cleaned = own.join(found, here, "left").withColumn(new, _cleaned(text, F.col(gone)))
+    # only texts that may lose lines are shuffled to meet their deletions
+    own = with_mark(own, F.col(row[1] + "_"), found, F.col(row[1]), maybe)
+    met = own.filter(F.col(maybe)).join(found.hint("merge"), here, "left").withColumn(new, _cleaned(text, F.col(gone))).drop(gone, *row)
+    others = own.filter(~F.col(maybe)).withColumn(new, _whole(text))
+    cleaned = met.unionByName(others)
     columns = [F.col(f"{new}.text").alias(c) if c.lower() == "text" else F.col(f"`{c}`") for c in docs.columns]
     return cleaned.select(*columns, F.col(new)), new
 
