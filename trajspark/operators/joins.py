@@ -46,17 +46,27 @@ def _struct(df: DataFrame, columns: list[str]):
 def asof_nearest(left: DataFrame, right: DataFrame, by: list[str], time: str, key: list[str], values: list[str], tolerance: float, tie: str) -> DataFrame:
     """Each left row with its nearest right row less than ``tolerance`` away, the first by ``tie`` of equal ones [D5].
 
-    Right rows are copied into the bucket of their time and both neighbours; buckets are as wide as the tolerance.
-    key: unique columns of left. Left rows without a match keep nulls.
+    One union, sorted by time: the last right row at or before a left row, and the first one at or after it. No pairs
+    are made, however dense the streams are. Of right rows at one time only the first by ``tie`` can match. Left rows
+    without a match, or without a time, keep nulls. key: not needed, kept for callers that name it.
     """
-    bucket = lambda c: F.floor(c / tolerance).cast("long")
-    r = right.select(*by, F.col(time).alias("__t"), F.col(tie).alias("__tie"), F.struct(*values).alias("__v"))
-    r = r.withColumn("__b", F.explode(F.transform(F.array(F.lit(-1), F.lit(0), F.lit(1)), lambda d: bucket(F.col("__t")) + d)))
-    l = left.withColumn("__b", bucket(F.col(time)))  # noqa: E741
-    away = F.abs(F.col("__t") - F.col(time))
-    near = l.join(r, [*by, "__b"]).filter(away < tolerance)
-    best = near.groupBy(*key).agg(F.min_by("__v", F.struct(away, F.col("__tie"))).alias("__v"))
-    return left.join(best, key, "left").withColumns({c: F.col(f"__v.{c}") for c in values}).drop("__v")
+    names = [f.name for f in left.schema.fields]
+    value = F.struct(F.col(time).alias("t"), F.col(tie).alias("tie"), F.struct(*values).alias("v"))
+    r = right.filter(F.col(time).isNotNull()).groupBy(*by, time).agg(F.min_by(value, tie).alias("__v"))
+    r = r.withColumn("__left", F.lit(False))
+    l = left.withColumn("__left", F.lit(True))  # noqa: E741
+    both = l.unionByName(r, allowMissingColumns=True)
+    w = Window.partitionBy(*by).orderBy(time)
+    # peers of one time are in both frames, so a right row of the same time is seen from either side
+    before = F.last("__v", ignorenulls=True).over(w.rangeBetween(UNBOUNDED, 0))
+    after = F.last("__v", ignorenulls=True).over(Window.partitionBy(*by).orderBy(F.col(time).desc()).rangeBetween(UNBOUNDED, 0))
+    found = both.withColumns({"__a": before, "__z": after}).filter("__left")
+    away = lambda c: F.abs(F.col(f"{c}.t") - F.col(time))
+    rank = lambda c: F.when(away(c) < tolerance, F.struct(away(c).alias("away"), F.col(f"{c}.tie").alias("tie"), F.col(f"{c}.v").alias("v")))
+    first = F.when(rank("__z").isNull(), rank("__a")).when(rank("__a").isNull(), rank("__z"))
+    nearer = F.when(F.struct(away("__z"), F.col("__z.tie")) < F.struct(away("__a"), F.col("__a.tie")), rank("__z")).otherwise(rank("__a"))
+    best = found.withColumn("__best", F.coalesce(first, nearer))
+    return best.select(*names, *[F.col(f"__best.v.{c}").alias(c) for c in values])
 
 
 def cell(column: Column, size: float) -> Column:

@@ -126,3 +126,10 @@ def reject_reason(q: Column, ns: Column, sdn: Column, sde: Column, *, max_q: int
 def pass_ratio(ok: Column) -> Column:
     """Share in percent [E18]."""
     return 100.0 * F.count_if(ok) / F.greatest(F.lit(1), F.count(F.lit(1)))
+
+
+def classify_now(rows: DataFrame, by: list[str], order: list[str], flag: Column, *, least_speed: float = 5.0) -> DataFrame:
+    """Rows at which a road is classified: the flag is set, the speed is over ``least_speed`` and the position is new [C16]."""
+    w = Window.partitionBy(*by).orderBy(*order)
+    same = F.lag("lat").over(w).eqNullSafe(F.col("lat")) & F.lag("lon").over(w).eqNullSafe(F.col("lon"))
+    return rows.withColumn("__new", ~same).filter(F.col("__new") & flag & (F.col("speed") > least_speed)).drop("__new")

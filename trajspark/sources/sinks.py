@@ -26,10 +26,11 @@ def ui_rows(points: DataFrame, surface: str, condition: str, file: str = "") ->
     return points.select(*constants, "lat", "lon", clock_label(F.col("ts_ms")).alias("time"), F.col("ts_ms").alias("milli"), F.lit(file).alias("file"), F.lit(surface).alias("Surface"), F.lit(condition).alias("Condition"))
 
 
-def json_array(rows: DataFrame, order: list[str]) -> DataFrame:
-    """One row, a JSON array; for recordings of one session. Large tables go to write.json instead."""
-    kept = F.transform(F.array_sort(F.collect_list(F.struct(F.struct(*order).alias("k"), F.to_json(F.struct(*rows.columns)).alias("j")))), lambda x: x["j"])
-    return rows.agg(F.concat(F.lit("["), F.array_join(kept, ","), F.lit("]")).alias("json"))
+def json_array(rows: DataFrame, order: list[str], by: tuple[str, ...] = ()) -> DataFrame:
+    """One row, a JSON array, for each session (``by``); a session's points are one row. Larger tables go to write.json."""
+    columns = [c for c in rows.columns if c not in by]
+    kept = F.transform(F.array_sort(F.collect_list(F.struct(F.struct(*order).alias("k"), F.to_json(F.struct(*columns)).alias("j")))), lambda x: x["j"])
+    return rows.groupBy(*by).agg(F.concat(F.lit("["), F.array_join(kept, ","), F.lit("]")).alias("json"))
 
 
 def legacy_lines(points: DataFrame, column: str) -> DataFrame:

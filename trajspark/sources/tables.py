@@ -24,8 +24,9 @@ def positional_points(lines: DataFrame) -> DataFrame:
     return rows.filter("line_no > 0 AND lat IS NOT NULL AND lon IS NOT NULL")
 
 
-def ui_points(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.schema(schemas.UI_POINT).option("multiLine", True).json(path)
+def ui_points(spark: SparkSession, path: str, one_array_a_file: bool = True) -> DataFrame:
+    """[A21] Files of one array each, or of an array a line, which Spark can split."""
+    return spark.read.schema(schemas.UI_POINT).option("multiLine", one_array_a_file).json(path)
 
 
 def merged_sensor_rows(spark: SparkSession, path: str) -> DataFrame:
@@ -36,10 +37,15 @@ def channels(spark: SparkSession, path: str) -> DataFrame:
     """(channel, session, seq, key0, time, value) of files named by channel, such as ``ANDACCX<session>.csv``."""
     from trajspark.sources.textlog import numbered_lines
 
+    return channel_rows(numbered_lines(spark, path))
+
+
+def channel_rows(lines: DataFrame) -> DataFrame:
+    """[A26] of lines(file, line_no, line)."""
     p = F.split("line", ",")
     name = F.regexp_extract("file", r"AND(ACC[XYZ]|ORI(?:AZ|PI|RO)|GPS(?:LA|LO|SP))([^/]*)\.[^/.]*$", 1)
     session = F.regexp_extract("file", r"AND(ACC[XYZ]|ORI(?:AZ|PI|RO)|GPS(?:LA|LO|SP))([^/]*)\.[^/.]*$", 2)
-    rows = numbered_lines(spark, path).select(name.alias("channel"), session.alias("session"), F.col("line_no").alias("seq"), F.get(p, 0).alias("key0"), F.get(p, 1).alias("time"), F.get(p, 2).try_cast("double").alias("value"))
+    rows = lines.select(name.alias("channel"), session.alias("session"), F.col("line_no").alias("seq"), F.get(p, 0).alias("key0"), F.get(p, 1).alias("time"), F.get(p, 2).try_cast("double").alias("value"))
     return rows.filter("channel <> '' AND value IS NOT NULL")
 
 
@@ -49,11 +55,17 @@ def training_rows(spark: SparkSession, path: str) -> DataFrame:
 
 def yaml_matrices(spark: SparkSession, path: str) -> DataFrame:
     """(key, rows, cols, data) of each matrix in OpenCV YAML text [A28]."""
+    return matrices(spark.read.text(path, wholetext=True))
+
+
+def matrices(files: DataFrame) -> DataFrame:
+    """[A28] of whole texts, ``value``, with the other columns of files."""
     pattern = r"(?s)(\w+): !!opencv-matrix\s+rows: (\d+)\s+cols: (\d+)\s+dt: \S+\s+data: \[(.*?)\]"
-    found = spark.read.text(path, wholetext=True).select(F.explode(F.regexp_extract_all("value", F.lit(pattern), F.lit(0))).alias("m"))
+    others = [c for c in files.columns if c != "value"]
+    found = files.select(*others, F.explode(F.regexp_extract_all("value", F.lit(pattern), F.lit(0))).alias("m"))
     part = lambda i: F.regexp_extract("m", pattern, i)
     data = F.filter(F.transform(F.split(part(4), ","), lambda x: F.trim(x).try_cast("double")), lambda x: x.isNotNull())
-    return found.select(part(1).alias("key"), part(2).cast("int").alias("rows"), part(3).cast("int").alias("cols"), data.alias("data"))
+    return found.select(*others, part(1).alias("key"), part(2).cast("int").alias("rows"), part(3).cast("int").alias("cols"), data.alias("data"))
 
 
 def sensor_table(spark: SparkSession, path: str) -> DataFrame:
