@@ -263,6 +263,25 @@ def test_gate_compares_with_the_last_accepted():
     assert recursive.low_pass([2, 4]) == [2, 3] and recursive.high_pass([2, 4, 4]) == pytest.approx([0, 1.7, 1.445])
 
 
+def test_state_crosses_batches_but_not_tracks(spark):
+    r = random.Random(2)
+    rows = [(k, t, r.uniform(0, 9)) for k in ["a", None, "c", "d"] for t in range(37)] + [("e", 0, 1.0)]
+    df = spark.createDataFrame(r.sample(rows, len(rows)), "k string, t long, v double")
+    want = {}
+    for k in ["a", None, "c", "d", "e"]:
+        own = sorted((t, v) for g, t, v in rows if g == k)
+        want |= {(k, t): y for (t, _), y in zip(own, recursive.low_pass([v for _, v in own]))}
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    try:
+        for size in (1, 10, 10_000):
+            spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", size)
+            out = recursive.low_pass_filter(df, BY, ORDER, "v", "low")
+            assert out.columns == ["k", "t", "v", "low"] and {(x.k, x.t): x.low for x in out.collect()} == want
+            assert recursive.low_pass_filter(df.limit(0), BY, ORDER, "v", "low").count() == 0
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+
+
 def kalman_matrices(z, sd):
     f = np.eye(6)
     f[:3, 3:] = np.eye(3)
@@ -284,13 +303,19 @@ def test_kalman_is_the_matrix_filter():
     r = np.random.default_rng(0)
     z = np.cumsum(r.normal(0, [1e-4, 1e-4, 2.0], (60, 3)), axis=0) + [17, 78, 500]
     sd = r.uniform(0.3, 2, (60, 3))
-    assert models.kalman_track(z, sd) == pytest.approx(kalman_matrices(z, sd), rel=1e-9, abs=1e-9)
+    whole, _ = models.kalman_steps(z.tolist(), sd.tolist())
+    assert np.array(whole) == pytest.approx(kalman_matrices(z, sd), rel=1e-9, abs=1e-9)
+    first, state = models.kalman_steps(z[:23].tolist(), sd[:23].tolist())
+    assert first + models.kalman_steps(z[23:].tolist(), sd[23:].tolist(), state)[0] == whole
 
 
 def test_particles_follow_the_fixes():
     fixes = np.column_stack([17 + np.arange(40) * 1e-5, np.full(40, 78.0)])
-    a, ca = models.particle_track(fixes, np.full(40, 0.75), 7)
-    b, cb = models.particle_track(fixes, np.full(40, 0.75), 7)
+    sigma = np.full(40, 0.75)
+    a, ca, _ = models.particle_steps(fixes, sigma, 7)
+    b, cb, state = models.particle_steps(fixes[:11], sigma[:11], 7)
+    rest, more, _ = models.particle_steps(fixes[11:], sigma[11:], 7, state=state)
+    b, cb = np.concatenate([b, rest]), np.concatenate([cb, more])
     assert (a == b).all() and (ca == cb).all() and np.abs(a - fixes).max() * 111_000 < 6 and (ca > 0).all()
 
 
@@ -325,7 +350,7 @@ def test_lane_match_prefers_the_heading(spark):
 
 def test_roads_are_sampled_by_distance():
     step = 1 / 111_194.93
-    assert models.sampled([(i * 3 * step, 0.0) for i in range(6)], 5.0) == [False, False, True, False, True, False]
+    assert models.sampled([(i * 3 * step, 0.0) for i in range(6)], 5.0)[0] == [False, False, True, False, True, False]
 
 
 # ---- reports

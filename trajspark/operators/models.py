@@ -1,9 +1,13 @@
-"""Track models: robust Kalman, particle filter, HMM lane matcher, road sampling [K1-K4]. One group a track."""
+"""Track models: robust Kalman, particle filter, HMM lane matcher, road sampling [K1-K4].
+
+All but the lane matcher, whose path is traced back from the last epoch, carry their state from batch to batch.
+"""
 
 from __future__ import annotations
 
 import math
 import zlib
+from typing import Any
 
 import numpy as np
 import pandas as pd
@@ -12,7 +16,7 @@ from pyspark.sql import functions as F
 
 from trajspark.functions.geo import EARTH_RADIUS, angle_between, bearing, gaussian_emission, heading_factor, segment_distance
 from trajspark.operators.joins import grid_join_with_fallback
-from trajspark.operators.recursive import metres
+from trajspark.operators.recursive import metres, over_tracks
 from trajspark.shipping import ship
 
 # Kalman noises and Huber limit; particle count, deviation, speed and degrees to metres; transition of disjoint edges.
@@ -22,43 +26,41 @@ DISJOINT = 0.01
 ROAD_STEP = 5.0
 
 
-def kalman_track(z: np.ndarray, deviations: np.ndarray) -> np.ndarray:
+def kalman_steps(z: list[list[float]], deviations: list[list[float]], state: list | None = None) -> tuple[list[list[float]], list]:
     """States (position, velocity for three axes) of a constant-velocity filter whose gain shrinks for large innovations.
 
     Units are mixed as published: degrees for latitude and longitude, metres for height and deviations. The
     covariance of an axis never mixes with another's; only the innovation's norm couples them, so each axis has
-    a 2 x 2 covariance.
+    a 2 x 2 covariance. state: of each axis its position, velocity and covariance after the row before.
     """
-    position, velocity = z[0].astype(float), np.zeros(3)
-    pp, pv, vv = np.full(3, START_NOISE), np.zeros(3), np.full(3, START_NOISE)
-    out = np.empty((len(z), 6))
-    for i in range(len(z)):
-        if i:
-            position = position + velocity
-            pp, pv, vv = pp + 2 * pv + vv + PROCESS_NOISE, pv + vv, vv + PROCESS_NOISE
-        y = z[i] - position
-        s = pp + deviations[i] ** 2
-        norm = math.sqrt(float((y * y).sum()))
+    out = []
+    for fix, deviation in zip(z, deviations, strict=True):
+        if state is None:
+            state = [(x, 0.0, START_NOISE, 0.0, START_NOISE) for x in fix]
+        else:
+            state = [(x + v, v, pp + 2 * pv + vv + PROCESS_NOISE, pv + vv, vv + PROCESS_NOISE) for x, v, pp, pv, vv in state]
+        y = [m - axis[0] for m, axis in zip(fix, state, strict=True)]
+        norm = math.sqrt(sum(d * d for d in y))
         scale = HUBER / norm if norm > HUBER else 1.0
-        kp, kv = scale * pp / s, scale * pv / s
-        position, velocity = position + kp * y, velocity + kv * y
-        pp, pv, vv = (1 - kp) * pp, (1 - kp) * pv, vv - kv * pv
-        out[i] = (*position, *velocity)
-    return out
+        after = []
+        for d, sd, (x, v, pp, pv, vv) in zip(y, deviation, state, strict=True):
+            s = pp + sd * sd
+            kp, kv = scale * pp / s, scale * pv / s
+            after.append((x + kp * d, v + kv * d, (1 - kp) * pp, (1 - kp) * pv, vv - kv * pv))
+        state = after
+        out.append([*(axis[0] for axis in state), *(axis[1] for axis in state)])
+    return out, state
 
 
 def robust_kalman(df: DataFrame, by: list[str], order: list[str]) -> DataFrame:
     """Adds f_lat, f_lon, f_height, v_lat, v_lon, v_height to rows with lat, lon, height, sdn, sde, sdu [K1]."""
-    ship(df.sparkSession)
     new = ["f_lat", "f_lon", "f_height", "v_lat", "v_lon", "v_height"]
 
-    def run(track: pd.DataFrame) -> pd.DataFrame:
-        track = track.sort_values(order, kind="stable")
-        states = kalman_track(track[["lat", "lon", "height"]].to_numpy(), track[["sdn", "sde", "sdu"]].to_numpy())
-        return track.assign(**{c: states[:, i] for i, c in enumerate(new)})
+    def step(rows: pd.DataFrame, state: Any) -> tuple[dict, Any]:
+        out, state = kalman_steps(rows[["lat", "lon", "height"]].to_numpy().tolist(), rows[["sdn", "sde", "sdu"]].to_numpy().tolist(), state)
+        return dict(zip(new, zip(*out, strict=True), strict=True)), state
 
-    fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields] + [f"{c} double" for c in new]
-    return df.groupBy(*by).applyInPandas(run, ", ".join(fields))
+    return over_tracks(df, by, order, dict.fromkeys(new, "double"), step)
 
 
 def filter_residuals(df: DataFrame, by: list[str]) -> DataFrame:
@@ -73,16 +75,19 @@ def distances(lat: np.ndarray, lon: np.ndarray, lat0: float, lon0: float) -> np.
     return 2 * EARTH_RADIUS * np.arcsin(np.minimum(1.0, np.sqrt(a)))
 
 
-def particle_track(fixes: np.ndarray, sigma: np.ndarray, seed: int, particles: int = PARTICLES, max_speed: float = PARTICLE_SPEED) -> tuple[np.ndarray, np.ndarray]:
-    """(positions, confidences) of a particle filter with steps of one second."""
-    rng = np.random.default_rng(seed)
-    cloud = fixes[0] + rng.standard_normal((particles, 2)) * sigma[0] / DEGREE
+def particle_steps(fixes: np.ndarray, sigma: np.ndarray, seed: int, particles: int = PARTICLES, max_speed: float = PARTICLE_SPEED, state: tuple | None = None) -> tuple[np.ndarray, np.ndarray, tuple]:
+    """(positions, confidences, state) of a particle filter with steps of one second. state: generator, cloud, last position."""
     out, confidence = np.empty_like(fixes, dtype=float), np.empty(len(fixes))
+    if state is None:
+        rng = np.random.default_rng(seed)
+        cloud, last = fixes[0] + rng.standard_normal((particles, 2)) * sigma[0] / DEGREE, None
+    else:
+        rng, cloud, last = state
     for t, fix in enumerate(fixes):
         cloud = cloud + rng.standard_normal((particles, 2)) * (max_speed / DEGREE * 0.5)
         weight = np.exp(-(distances(cloud[:, 0], cloud[:, 1], *fix) ** 2) / (2 * sigma[t] ** 2))
-        if t:
-            speed = distances(cloud[:, 0], cloud[:, 1], *out[t - 1])
+        if last is not None:
+            speed = distances(cloud[:, 0], cloud[:, 1], *last)
             weight = weight * np.exp(-(np.maximum(0.0, speed - max_speed) ** 2))
         total = weight.sum()
         weight = weight / total if total > 0 else np.full(particles, 1 / particles)
@@ -91,43 +96,39 @@ def particle_track(fixes: np.ndarray, sigma: np.ndarray, seed: int, particles: i
             cloud = cloud[rng.choice(particles, particles, p=weight / weight.sum())]
         else:
             cloud = fix + rng.standard_normal((particles, 2)) * sigma[t] / DEGREE
-        out[t] = cloud.mean(axis=0)
-    return out, confidence
+        out[t] = last = cloud.mean(axis=0)
+    return out, confidence, (rng, cloud, last)
 
 
 def particle_filter(df: DataFrame, by: list[str], order: list[str], sigma: float = PARTICLE_SIGMA, particles: int = PARTICLES) -> DataFrame:
     """Adds p_lat, p_lon, confidence [K2]. The seed is a checksum of the track's key, so results are repeatable."""
-    ship(df.sparkSession)
 
-    def run(track: pd.DataFrame) -> pd.DataFrame:
-        track = track.sort_values(order, kind="stable")
-        seed = zlib.crc32("/".join(str(track[c].iloc[0]) for c in by).encode())
-        found, confidence = particle_track(track[["lat", "lon"]].to_numpy(), np.full(len(track), sigma), seed, particles)
-        return track.assign(p_lat=found[:, 0], p_lon=found[:, 1], confidence=confidence)
+    def step(rows: pd.DataFrame, state: Any) -> tuple[dict, Any]:
+        seed = zlib.crc32("/".join(str(rows[c].iloc[0]) for c in by).encode())
+        found, confidence, state = particle_steps(rows[["lat", "lon"]].to_numpy(), np.full(len(rows), sigma), seed, particles, state=state)
+        return {"p_lat": found[:, 0], "p_lon": found[:, 1], "confidence": confidence}, state
 
-    fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields]
-    return df.groupBy(*by).applyInPandas(run, ", ".join([*fields, "p_lat double", "p_lon double", "confidence double"]))
+    return over_tracks(df, by, order, {"p_lat": "double", "p_lon": "double", "confidence": "double"}, step)
 
 
-def sampled(points: list[tuple[float, float]], step: float = ROAD_STEP) -> list[bool]:
-    """Whether a vertex is emitted: more than ``step`` metres of road since the last one that was."""
-    out, total = [False] * len(points), 0.0
-    for i in range(1, len(points)):
-        total += metres(*points[i - 1], *points[i])
-        if total > step:
-            out[i], total = True, 0.0
-    return out
+def sampled(points: list[tuple[float, float]], step: float = ROAD_STEP, state: tuple | None = None) -> tuple[list[bool], tuple | None]:
+    """Whether a vertex is emitted: more than ``step`` metres of road since the last one that was. state: last point, metres."""
+    out = []
+    for point in points:
+        total = 0.0 if state is None else state[1] + metres(*state[0], *point)
+        out.append(total > step)
+        state = (point, 0.0 if total > step else total)
+    return out, state
 
 
 def discretize_roads(roads: DataFrame, by: list[str], order: list[str], step: float = ROAD_STEP) -> DataFrame:
     """[K3]"""
-    ship(roads.sparkSession)
 
-    def run(road: pd.DataFrame) -> pd.DataFrame:
-        road = road.sort_values(order, kind="stable")
-        return road[sampled(list(zip(road["lat"], road["lon"], strict=True)), step)]
+    def one(rows: pd.DataFrame, state: Any) -> tuple[dict, Any]:
+        emitted, state = sampled(list(zip(rows["lat"].tolist(), rows["lon"].tolist(), strict=True)), step, state)
+        return {"__emitted": emitted}, state
 
-    return roads.groupBy(*by).applyInPandas(run, roads.schema)
+    return over_tracks(roads, by, order, {"__emitted": "boolean"}, one).filter("__emitted").drop("__emitted")
 
 
 def decode(candidates: dict[int, list[tuple[tuple, float]]], epochs: int) -> list[tuple | None]:

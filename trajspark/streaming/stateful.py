@@ -8,7 +8,7 @@ timeout is evicted.
 from __future__ import annotations
 
 import json
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 from typing import Any
 
 import pandas as pd
@@ -16,11 +16,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from pyspark.sql.types import StructType
 
-from trajspark.operators import recursive as R
+from trajspark.operators.recursive import Step, gate_step, high_pass_step, low_pass_step, throttle_step  # noqa: F401
+from trajspark.operators.recursive import metres as distance
 from trajspark.shipping import ship
 
-Step = Callable[[pd.DataFrame, Any], tuple[dict, Any]]
-
 # Trailing seconds, trailing metres and the most rows that are held for them.
 WINDOW_SECONDS, WINDOW_METRES, WINDOW_ROWS = 2.0, 100.0, 1000
 
@@ -54,50 +53,6 @@ def track_stream(stream: DataFrame, by: list[str], order: list[str], event_time:
     return marked.groupBy(*by).applyInPandasWithState(run, output, "state string", "append", GroupStateTimeout.EventTimeTimeout)
 
 
-def gate_step(most: float = R.MAX_STEP, out: str = "kept") -> Step:
-    """[J5]"""
-
-    def step(rows: pd.DataFrame, state: Any) -> tuple[dict, Any]:
-        points = list(zip(rows["lat"].tolist(), rows["lon"].tolist(), strict=True))
-        kept = R.accepted(points, most, tuple(state) if state else None)
-        last = next((p for p, ok in zip(reversed(points), reversed(kept), strict=True) if ok), state)
-        return {out: kept}, last
-
-    return step
-
-
-def throttle_step(time: str, delay: float, out: str = "kept") -> Step:
-    """[J6]"""
-
-    def step(rows: pd.DataFrame, state: Any) -> tuple[dict, Any]:
-        times = rows[time].tolist()
-        kept = R.throttled(times, delay, state)
-        return {out: kept}, next((t for t, ok in zip(reversed(times), reversed(kept), strict=True) if ok), state)
-
-    return step
-
-
-def low_pass_step(column: str, out: str, factor: float = R.LOW_PASS) -> Step:
-    """[J1]"""
-
-    def step(rows: pd.DataFrame, state: Any) -> tuple[dict, Any]:
-        values = R.low_pass(rows[column].tolist(), factor, state)
-        return {out: values}, values[-1]
-
-    return step
-
-
-def high_pass_step(column: str, out: str, factor: float = R.HIGH_PASS) -> Step:
-    """[J2]"""
-
-    def step(rows: pd.DataFrame, state: Any) -> tuple[dict, Any]:
-        x = rows[column].tolist()
-        values = R.high_pass(x, factor, tuple(state) if state else None)
-        return {out: values}, (x[-1], values[-1])
-
-    return step
-
-
 def change_step(columns: list[str], out: str = "changed") -> Step:
     """[J7]"""
 
@@ -131,7 +86,7 @@ def distance_window_step(column: str, out: str = "trailing", metres: float = WIN
     def step(rows: pd.DataFrame, state: Any) -> tuple[dict, Any]:
         held, found = list(state or []), []  # (metres so far, lat, lon, value)
         for lat, lon, x in zip(rows["lat"].tolist(), rows["lon"].tolist(), rows[column].tolist(), strict=True):
-            at = held[-1][0] + R.metres(held[-1][1], held[-1][2], lat, lon) if held else 0.0
+            at = held[-1][0] + distance(held[-1][1], held[-1][2], lat, lon) if held else 0.0
             held = [p for p in held if p[0] >= at - metres][-(most_rows - 1) :] + [[at, lat, lon, x]]
             found.append((sum(p[3] ** 2 for p in held) / len(held)) ** 0.5)
         return {out: found}, held
