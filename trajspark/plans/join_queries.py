@@ -11,8 +11,9 @@ from trajspark.operators import models as M
 from trajspark.operators import robust as R
 from trajspark.operators import smooth as S
 from trajspark.operators.windows import carry_forward, heading
-from trajspark.plans.driver_views import BY, ORDER, SPACE_SQL, TRACK_SQL, WALK_SQL, features, planar, segments, table, track, walk
+from trajspark.plans.driver_views import BY, ORDER, SPACE_SQL, TRACK_SQL, WALK_SQL, features, hav_sql, planar, segments, steps_sql, table, track, walk
 from trajspark.plans.registry import query, r6
+from trajspark.plans.track_queries import filled_sql, gaussian_value_sql
 from trajspark.sources.roads import road_grid
 
 
@@ -68,9 +69,15 @@ def apply_bias(spark, sf_dir):
     return moved.select("event_id", F.round("lat", 8).alias("lat"), F.round("lon", 8).alias("lon"))
 
 
-@query()
+CORRECT_SQL = f"""{BIAS_SQL}, moved AS (SELECT user_id, us, event_id, lat + coalesce(bias_lat, 0) AS lat, lon + coalesce(bias_lon, 0) AS lon FROM track LEFT JOIN bias USING (user_id)), {steps_sql('moved')},
+q AS (SELECT user_id, quantile_cont(step, 0.25) AS q1, quantile_cont(step, 0.75) AS q3, count(*) + 1 AS rows FROM steps WHERE i > 1 GROUP BY 1),
+sp AS (SELECT steps.*, coalesce(i > 1 AND rows >= 4 AND step > q3 + 2.5e0 * (q3 - q1), false) AS spike FROM steps LEFT JOIN q USING (user_id)), {filled_sql('NOT spike', 'sp', 'lat,lon', False)},
+run AS (SELECT user_id, list(f_lat ORDER BY us, event_id) AS lats, list(f_lon ORDER BY us, event_id) AS lons, count(*) AS n FROM filled GROUP BY 1)"""
+
+
+@query(f"WITH {CORRECT_SQL} SELECT event_id, round({gaussian_value_sql(3, 'reflect', 'lats', 'f_lat')}, 6) AS lat, round({gaussian_value_sql(3, 'reflect', 'lons', 'f_lon')}, 6) AS lon FROM filled JOIN run USING (user_id)")
 def correct_track(spark, sf_dir):
-    """Bias, spikes, Gaussian smoothing in one chain; its parts have SQL of their own."""
+    """Bias, spikes, Gaussian smoothing in one chain."""
     pairs = _nearest(spark, sf_dir).filter("ref_event IS NOT NULL").select("user_id", (F.col("ref_lat") - F.col("lat")).alias("dlat"), (F.col("ref_lon") - F.col("lon")).alias("dlon"))
     return S.correct_track(track(spark, sf_dir).select("user_id", "us", "event_id", "lat", "lon"), BY, ORDER, pairs).select("event_id", r6("lat"), r6("lon"))
 
@@ -198,7 +205,15 @@ def road_grid_points(spark, sf_dir):
     return road_grid(spark, 17.4, 78.3).select("road_id", "seq", F.round("lat", 9).alias("lat"), F.round("lon", 9).alias("lon"))
 
 
-@query()
+NODES_SQL = f"""WITH RECURSIVE c AS (SELECT road, seq FROM range(10) t(road), range(40) u(seq)), g AS (
+  SELECT road AS road_id, seq::INT AS seq, 17.4e0 + (seq * 0.0005e0 - 0.01e0) AS lat, 78.3e0 + (road * 0.002e0 - 0.01e0) AS lon FROM c
+  UNION ALL SELECT road + 10, seq::INT, 17.4e0 + (road * 0.002e0 - 0.01e0), 78.3e0 + (seq * 0.0005e0 - 0.01e0) FROM c),
+r AS (SELECT *, 0.0e0 AS total, false AS emitted FROM g WHERE seq = 0
+  UNION ALL SELECT road_id, seq, lat, lon, CASE WHEN run > 60 THEN 0 ELSE run END, run > 60 FROM (
+    SELECT g.*, r.total + {hav_sql('r.lat', 'r.lon', 'g.lat', 'g.lon')} AS run FROM r JOIN g ON g.road_id = r.road_id AND g.seq = r.seq + 1))"""
+
+
+@query(f"{NODES_SQL} SELECT road_id, seq FROM r WHERE emitted")
 def road_nodes(spark, sf_dir):
     """K3."""
     return M.discretize_roads(road_grid(spark, 17.4, 78.3), ["road_id"], ["seq"], 60.0).select("road_id", "seq")

@@ -161,7 +161,7 @@ def iqr_spikes(spark, sf_dir):
     return R.iqr_spikes(steps(spark, sf_dir, walk), BY, ORDER, multiple=0.5).groupBy("user_id").agg(F.count_if("spike").alias("spikes"))
 
 
-def _filled(keep: str, source: str, columns: str, edges: bool) -> str:
+def filled_sql(keep: str, source: str, columns: str, edges: bool) -> str:
     """CTEs pk and nk: the kept rows before and after, by place."""
     w = "PARTITION BY user_id ORDER BY us, event_id"
     cols = columns.split(",")
@@ -171,14 +171,14 @@ def _filled(keep: str, source: str, columns: str, edges: bool) -> str:
     return f"numbered AS (SELECT *, row_number() OVER ({w}) AS seq FROM {source}), around AS (SELECT *, {picks} FROM numbered), filled AS (SELECT *, {value} FROM around)"
 
 
-@query(f"WITH {SPIKE_SQL}, {_filled('NOT spike', 'sp', 'lat,lon', False)} SELECT event_id, round(f_lat, 12) AS lat, round(f_lon, 12) AS lon FROM filled")
+@query(f"WITH {SPIKE_SQL}, {filled_sql('NOT spike', 'sp', 'lat,lon', False)} SELECT event_id, round(f_lat, 12) AS lat, round(f_lon, 12) AS lon FROM filled")
 def spike_interpolate(spark, sf_dir):
     """K16, F9, C23."""
     s = S.spike_interpolate(steps(spark, sf_dir, walk), BY, ORDER, 0.5)
     return s.select("event_id", F.round("lat", 12).alias("lat"), F.round("lon", 12).alias("lon"))
 
 
-@query(f"WITH {TRACK_SQL}, {_filled('event_id % 3 <> 0', 'track', 'height', True)} SELECT event_id, round(f_height, 8) AS height, event_id % 3 = 0 AS interpolated FROM filled")
+@query(f"WITH {TRACK_SQL}, {filled_sql('event_id % 3 <> 0', 'track', 'height', True)} SELECT event_id, round(f_height, 8) AS height, event_id % 3 = 0 AS interpolated FROM filled")
 def gap_interpolate(spark, sf_dir):
     """F8, I30."""
     t = track(spark, sf_dir).withColumn("keep", F.col("event_id") % 3 != 0)
@@ -207,16 +207,21 @@ def moving_average(spark, sf_dir):
     return W.moving_average(track(spark, sf_dir), BY, ORDER, "value", 3, "mean").select("event_id", F.round("mean", 5).alias("mean"))
 
 
-def _gaussian_sql(half: int, edge: str) -> str:
+def gaussian_value_sql(half: int, edge: str, values: str = "a", alone: str = "value") -> str:
+    """The smoothed value at place seq of n, from the list of a track's values."""
     terms = []
     for j, w in zip(range(-half, half + 1), W.gaussian_weights(half), strict=True):
         at = f"(seq + {j})"
         if edge == "reflect":
             at = f"CASE WHEN seq + {j} < 1 THEN 1 - (seq + {j}) WHEN seq + {j} > n THEN 2 * n + 1 - (seq + {j}) ELSE seq + {j} END"
-        terms.append(f"{w!r} * a[greatest(1, least(n, {at}))]")
+        terms.append(f"{w!r} * {values}[greatest(1, least(n, {at}))]")
     least = 3 if edge == "reflect" else 2 * half + 1
+    return f"CASE WHEN n < {least} THEN {alone} ELSE {' + '.join(terms)} END"
+
+
+def _gaussian_sql(half: int, edge: str) -> str:
     return f"""WITH {TRACK_SQL}, l AS (SELECT user_id, list(value ORDER BY us, event_id) AS a, count(*) AS n FROM track GROUP BY 1), s AS (SELECT user_id, event_id, value, row_number() {W_SQL} AS seq FROM track)
-SELECT event_id, round(CASE WHEN n < {least} THEN value ELSE {' + '.join(terms)} END, 6) AS smooth FROM s JOIN l USING (user_id)"""
+SELECT event_id, round({gaussian_value_sql(half, edge)}, 6) AS smooth FROM s JOIN l USING (user_id)"""
 
 
 @query(_gaussian_sql(3, "reflect"))
@@ -233,7 +238,7 @@ def gaussian_smooth_clamp(spark, sf_dir):
 
 CLEAN_SQL = f"""{WALK_SQL}, first AS (SELECT *, first_value(lat) {W_SQL} AS lat0, first_value(lon) {W_SQL} AS lon0 FROM walk),
 xy AS (SELECT *, radians(lon - lon0) * 6378137.0e0 * cos(radians(lat0)) AS x, radians(lat - lat0) * 6378137.0e0 AS y FROM first),
-flag AS (SELECT *, coalesce(sqrt(pow(x - lag(x) {W_SQL}, 2) + pow(y - lag(y) {W_SQL}, 2)) <= 9.0e0, true) AS keep FROM xy), {_filled('keep', 'flag', 'x,y', True)},
+flag AS (SELECT *, coalesce(sqrt(pow(x - lag(x) {W_SQL}, 2) + pow(y - lag(y) {W_SQL}, 2)) <= 9.0e0, true) AS keep FROM xy), {filled_sql('keep', 'flag', 'x,y', True)},
 med AS (SELECT user_id, event_id, us, keep, lat0, lon0, list_sort(list(f_x) OVER w)[len(list(f_x) OVER w) // 2 + 1] AS mx, list_sort(list(f_y) OVER w)[len(list(f_y) OVER w) // 2 + 1] AS my FROM filled WINDOW w AS (PARTITION BY user_id ORDER BY us, event_id ROWS BETWEEN 2 PRECEDING AND 2 FOLLOWING)),
 smooth AS (SELECT event_id, keep, lat0, lon0, avg(mx) OVER v AS sx, avg(my) OVER v AS sy FROM med WINDOW v AS (PARTITION BY user_id ORDER BY us, event_id ROWS BETWEEN 3 PRECEDING AND 3 FOLLOWING))"""
 
@@ -370,11 +375,30 @@ def audit_checks(spark, sf_dir):
     return P.audit(ui_rows(track(spark, sf_dir).withColumn("ts_ms", F.expr("us div 1000")), "lane", "snapped"))
 
 
-@query()
+def _kalman_sql() -> str:
+    """CTE r: the filter's states x, v and covariances p, q, w of the axes a, b, c after each row."""
+    axes = {"a": ("lat", "sdn"), "b": ("lon", "sde"), "c": ("height", "sdu")}
+    each = lambda text: ", ".join(text.format(k=k, z=z, sd=sd) for k, (z, sd) in axes.items())
+    first = each("{z} AS x_{k}, 0.0e0 AS v_{k}, (1 - 0.1e0 / (0.1e0 + {sd} * {sd})) * 0.1e0 AS p_{k}, 0.0e0 AS q_{k}, 0.1e0 AS w_{k}")
+    ahead = each("r.x_{k} + r.v_{k} AS x_{k}, r.v_{k} AS v_{k}, r.p_{k} + 2 * r.q_{k} + r.w_{k} + 0.01e0 AS p_{k}, r.q_{k} + r.w_{k} AS q_{k}, r.w_{k} + 0.01e0 AS w_{k}")
+    gain = each("g * p_{k} / s_{k} AS f_{k}, g * q_{k} / s_{k} AS h_{k}")
+    after = each("x_{k} + f_{k} * y_{k}, v_{k} + h_{k} * y_{k}, (1 - f_{k}) * p_{k}, (1 - f_{k}) * q_{k}, w_{k} - h_{k} * q_{k}")
+    return f"""WITH RECURSIVE {TRACK_SQL}, n AS (SELECT *, row_number() {W_SQL} AS i FROM track), r AS (
+  SELECT user_id, event_id, i, lat, lon, height, {first} FROM n WHERE i = 1
+  UNION ALL SELECT user_id, event_id, i, lat, lon, height, {after} FROM (
+    SELECT *, {gain} FROM (SELECT *, CASE WHEN norm > 1 THEN 1 / norm ELSE 1 END AS g FROM (SELECT *, sqrt(y_a * y_a + y_b * y_b + y_c * y_c) AS norm FROM (
+      SELECT *, {each("{z} - x_{k} AS y_{k}, p_{k} + {sd} * {sd} AS s_{k}")} FROM (SELECT n.*, {ahead} FROM r JOIN n ON n.user_id = r.user_id AND n.i = r.i + 1))))))"""
+
+
+def _filtered(spark, sf_dir):
+    t = track(spark, sf_dir).select(*BY, *ORDER, "lat", "lon", "height", "sdn", "sde", "sdu")
+    return M.robust_kalman(t, BY, ORDER)
+
+
+@query(_kalman_sql() + " SELECT event_id, round(x_a, 6) AS f_lat, round(x_b, 6) AS f_lon, round(x_c, 6) AS f_height, round(v_a, 6) AS v_lat, round(v_b, 6) AS v_lon, round(v_c, 6) AS v_height FROM r")
 def kalman_robust(spark, sf_dir):
     """K1, E23."""
-    t = track(spark, sf_dir).select(*BY, *ORDER, "lat", "lon", "height", "sdn", "sde", "sdu")
-    return M.robust_kalman(t, BY, ORDER).select("event_id", "f_lat", "f_lon", "f_height", "v_lat", "v_lon", "v_height")
+    return _filtered(spark, sf_dir).select("event_id", *[r6(c) for c in ("f_lat", "f_lon", "f_height", "v_lat", "v_lon", "v_height")])
 
 
 @query()
@@ -384,11 +408,27 @@ def particle_filter(spark, sf_dir):
     return M.particle_filter(w, BY, ORDER).select("event_id", "p_lat", "p_lon", "confidence")
 
 
-@query()
+def _adaptive_sql() -> str:
+    """CTE f: outliers, last first, become the mean of their neighbours (b), then, first first, the median of five."""
+    axes = ("lat", "lon", "height")
+    each = lambda text: ", ".join(text.format(k=k) for k in axes)
+    w = "OVER (PARTITION BY user_id ORDER BY i)"
+    return f"""WITH RECURSIVE {WALK_SQL}, {steps_sql('walk')}, m AS (SELECT user_id, quantile_cont(step, 0.5) AS med FROM steps GROUP BY 1),
+d AS (SELECT s.user_id, med + 3.0e0 * 1.4826e0 * quantile_cont(abs(step - med), 0.5) AS most FROM steps s JOIN m USING (user_id) GROUP BY s.user_id, med),
+n AS (SELECT user_id, event_id, i, lat, lon, height, step > most AS off, count(*) OVER (PARTITION BY user_id) AS n, {each(f"lag({{k}}) {w} AS before_{{k}}")} FROM steps JOIN d USING (user_id)),
+b AS (SELECT user_id, event_id, i, off, n, {each("{k}")} FROM n WHERE i = n
+  UNION ALL SELECT n.user_id, n.event_id, n.i, n.off, n.n, {each("CASE WHEN n.off AND n.i > 1 THEN (before_{k} + b.{k}) / 2 ELSE n.{k} END")} FROM b JOIN n ON n.user_id = b.user_id AND n.i = b.i - 1),
+v AS (SELECT *, {each(f"lead({{k}}, 1) {w} AS one_{{k}}, lead({{k}}, 2) {w} AS two_{{k}}")} FROM b),
+f AS (SELECT user_id, event_id, i, off, {each("{k}, NULL::DOUBLE AS last_{k}")} FROM v WHERE i = 1
+  UNION ALL SELECT v.user_id, v.event_id, v.i, v.off, {each("CASE WHEN v.off AND v.i < v.n THEN list_median([f.last_{k}, f.{k}, v.{k}, one_{k}, two_{k}]) ELSE v.{k} END, f.{k}")} FROM f JOIN v ON v.user_id = f.user_id AND v.i = f.i + 1)"""
+
+
+@query(_adaptive_sql() + " SELECT event_id, round(lat, 12) AS lat, round(lon, 12) AS lon, round(height, 9) AS height, off AS is_outlier FROM f")
 def adaptive_median(spark, sf_dir):
     """K13, F10."""
     s = steps(spark, sf_dir, walk).select(*BY, *ORDER, "lat", "lon", "height", "step")
-    return S.adaptive_median(s, BY, ORDER).select("event_id", "lat", "lon", "height", "is_outlier")
+    found = S.adaptive_median(s, BY, ORDER)
+    return found.select("event_id", F.round("lat", 12).alias("lat"), F.round("lon", 12).alias("lon"), F.round("height", 9).alias("height"), "is_outlier")
 
 
 @query(f"WITH {WALK_SQL}, {steps_sql('walk')} SELECT user_id, '[' || string_agg(printf('[%.8f,%.8f]', lat, lon), ',' ORDER BY us, event_id) || ']' AS coords, round(min(lat), 8) AS south, round(max(lon), 8) AS east, count(*) AS points, round(sum(step), 3) AS length FROM steps GROUP BY user_id")
@@ -411,14 +451,24 @@ def solution_gates(spark, sf_dir):
     return kept.groupBy("user_id").agg(F.count("*").alias("passed"), F.count_if("kept").alias("kept"))
 
 
-@query()
+RESIDUAL_SQL = "greatest(abs(x_a - lat), abs(x_b - lon), abs(x_c - height))"
+
+
+@query(_kalman_sql() + f" SELECT user_id, round(avg({RESIDUAL_SQL}), 6) AS mean_residual, round(quantile_cont({RESIDUAL_SQL}, 0.95), 6) AS p95_residual, round(max({RESIDUAL_SQL}), 6) AS max_residual FROM r GROUP BY user_id")
 def kalman_residuals(spark, sf_dir):
     """E23."""
-    t = track(spark, sf_dir).select(*BY, *ORDER, "lat", "lon", "height", "sdn", "sde", "sdu")
-    return M.filter_residuals(M.robust_kalman(t, BY, ORDER), BY)
+    found = M.filter_residuals(_filtered(spark, sf_dir), BY)
+    return found.select("user_id", *[r6(c) for c in ("mean_residual", "p95_residual", "max_residual")])
 
 
-@query()
+UTM_SQL = f"""WITH {TRACK_SQL}, f AS (SELECT event_id, lat, lon, radians(lat) AS p, (floor((lon + 180) / 6) * 6 - 177) AS lon0, 1 / 298.257223563e0 * (2 - 1 / 298.257223563e0) AS e2 FROM track),
+g AS (SELECT *, e2 / (1 - e2) AS ep2, 6378137.0e0 / sqrt(1 - e2 * pow(sin(p), 2)) AS n, pow(tan(p), 2) AS t, radians(lon - lon0) * cos(p) AS a,
+  6378137.0e0 * ((1 - e2 / 4 - 3 * pow(e2, 2) / 64 - 5 * pow(e2, 3) / 256) * p - (3 * e2 / 8 + 3 * pow(e2, 2) / 32 + 45 * pow(e2, 3) / 1024) * sin(2 * p) + (15 * pow(e2, 2) / 256 + 45 * pow(e2, 3) / 1024) * sin(4 * p) - 35 * pow(e2, 3) / 3072 * sin(6 * p)) AS m FROM f),
+h AS (SELECT *, ep2 * pow(cos(p), 2) AS c FROM g)"""
+
+
+@query(UTM_SQL + """ SELECT event_id, round(0.9996e0 * n * (a + (1 - t + c) * pow(a, 3) / 6 + (5 - 18 * t + t * t + 72 * c - 58 * ep2) * pow(a, 5) / 120) + 500000, 3) AS easting,
+round(0.9996e0 * (m + n * tan(p) * (a * a / 2 + (5 - t + 9 * c + 4 * c * c) * pow(a, 4) / 24 + (61 - 58 * t + t * t + 600 * c - 330 * ep2) * pow(a, 6) / 720)) + CASE WHEN lat < 0 THEN 10000000 ELSE 0 END, 3) AS northing FROM h""")
 def utm_projection(spark, sf_dir):
     """I12."""
     from trajspark.functions.geo import utm_xy
