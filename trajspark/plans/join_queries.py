@@ -13,7 +13,7 @@ from trajspark.operators import smooth as S
 from trajspark.operators.windows import carry_forward, heading
 from trajspark.plans.driver_views import BY, ORDER, SPACE_SQL, TRACK_SQL, WALK_SQL, features, hav_sql, planar, segments, steps_sql, table, track, walk
 from trajspark.plans.registry import query, r6
-from trajspark.plans.track_queries import filled_sql, gaussian_value_sql
+from trajspark.plans.track_queries import HEADING_SQL, filled_sql, gaussian_value_sql
 from trajspark.sources.roads import road_grid
 
 
@@ -219,7 +219,31 @@ def road_nodes(spark, sf_dir):
     return M.discretize_roads(road_grid(spark, 17.4, 78.3), ["road_id"], ["seq"], 60.0).select("road_id", "seq")
 
 
-@query()
+def _box_sql(reach: int) -> str:
+    return f"x BETWEEN least(x1, x2) - {reach} AND greatest(x1, x2) + {reach} AND y BETWEEN least(y1, y2) - {reach} AND greatest(y1, y2) + {reach}"
+
+
+# A segment u runs from node u to node u + 1, so u names the state and the one after it is u itself or u + 1.
+VITERBI_SQL = f"""WITH RECURSIVE {HEADING_SQL}, {SPACE_SQL}, pts AS (SELECT p.user_id, epoch, heading, x, y FROM headed JOIN planar p USING (event_id)),
+narrow AS (SELECT * FROM pts, segments WHERE {_box_sql(50)}),
+near AS (SELECT * FROM narrow UNION ALL SELECT * FROM pts p, segments WHERE NOT EXISTS (SELECT 1 FROM narrow n WHERE n.user_id = p.user_id AND n.epoch = p.epoch) AND {_box_sql(200)}),
+foot AS (SELECT *, greatest(0, least(1, coalesce(((x - x1) * (x2 - x1) + (y - y1) * (y2 - y1)) / nullif((x2 - x1) * (x2 - x1) + (y2 - y1) * (y2 - y1), 0), 0))) AS t,
+  fmod(heading - fmod(degrees(atan2(x2 - x1, y2 - y1)) + 360, 360) + 360, 360) AS turn FROM near),
+fit AS (SELECT *, coalesce(least(turn, 360 - turn), 0) AS diff, sqrt(pow(x - (x1 + t * (x2 - x1)), 2) + pow(y - (y1 + t * (y2 - y1)), 2)) AS distance FROM foot),
+c AS (SELECT user_id, epoch, seg_id AS u,
+  ln(greatest(1e-300, exp(-0.5e0 * pow(distance / 15, 2)) / (sqrt(2 * pi()) * 15) * CASE WHEN diff > 100 THEN 1e-4 WHEN diff > 45 THEN 0.1e0 ELSE cos(radians(diff)) END)) AS emission FROM fit),
+ends AS (SELECT user_id, max(epoch) AS final, (SELECT min(epoch) FROM c WHERE c.user_id = pts.user_id) AS start FROM pts GROUP BY user_id),
+r AS MATERIALIZED (SELECT user_id, epoch, u, emission AS score, NULL::BIGINT AS prev FROM c JOIN ends USING (user_id) WHERE epoch = start
+  UNION ALL SELECT user_id, epoch, u, score + emission, prev FROM (SELECT *, row_number() OVER (PARTITION BY user_id, u ORDER BY score DESC, prev) AS k FROM (
+    SELECT r.user_id, r.epoch + 1 AS epoch, coalesce(c.u, r.u) AS u, r.u AS prev, coalesce(emission, 0) AS emission, r.score + CASE WHEN c.u IS NULL OR c.u IN (r.u, r.u + 1) THEN 0 ELSE ln(0.01e0) END AS score
+    FROM r JOIN ends e ON e.user_id = r.user_id AND r.epoch < final LEFT JOIN c ON c.user_id = r.user_id AND c.epoch = r.epoch + 1)) WHERE k = 1),
+path AS (SELECT user_id, epoch, u, prev FROM (SELECT r.*, row_number() OVER (PARTITION BY r.user_id ORDER BY score DESC, u) AS k FROM r JOIN ends e ON e.user_id = r.user_id AND epoch = final) WHERE k = 1
+  UNION ALL SELECT r.user_id, r.epoch, r.u, r.prev FROM path JOIN r ON r.user_id = path.user_id AND r.epoch = path.epoch - 1 AND r.u = path.prev),
+snap AS (SELECT p.user_id, p.epoch, u, x, y, x1, y1, x2, y2, greatest(0, least(1, coalesce(((x - x1) * (x2 - x1) + (y - y1) * (y2 - y1)) / nullif((x2 - x1) * (x2 - x1) + (y2 - y1) * (y2 - y1), 0), 0))) AS t
+  FROM path p JOIN pts USING (user_id, epoch) JOIN segments ON seg_id = u)"""
+
+
+@query(f"{VITERBI_SQL} SELECT user_id, epoch, u, u + 1 AS v, round(x1 + t * (x2 - x1), 6) AS snap_x, round(y1 + t * (y2 - y1), 6) AS snap_y FROM snap")
 def viterbi_match(spark, sf_dir):
     """K4, D8, D12, I17, I18, I35, G9."""
     from trajspark.operators.windows import epoch_index

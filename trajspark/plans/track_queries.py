@@ -49,8 +49,11 @@ def kinematic_filter(spark, sf_dir):
     return k.groupBy(F.coalesce(reason, F.lit("kept")).alias("reason")).agg(F.count("*").alias("n"))
 
 
-@query(f"""WITH {TRACK_SQL}, h AS (SELECT *, radians(lead(lon) {W_SQL} - lon) * 6378137.0e0 * cos(radians(lat)) AS dx, radians(lead(lat) {W_SQL} - lat) * 6378137.0e0 AS dy FROM track),
-g AS (SELECT *, fmod(degrees(atan2(dx, dy)) + 360, 360) AS heading FROM h) SELECT event_id, round(coalesce(heading, lag(heading) {W_SQL}, -1), 5) AS heading FROM g""")
+HEADING_SQL = f"""{TRACK_SQL}, h AS (SELECT *, radians(lead(lon) {W_SQL} - lon) * 6378137.0e0 * cos(radians(lat)) AS dx, radians(lead(lat) {W_SQL} - lat) * 6378137.0e0 AS dy FROM track),
+g AS (SELECT *, fmod(degrees(atan2(dx, dy)) + 360, 360) AS ahead FROM h), headed AS (SELECT *, coalesce(ahead, lag(ahead) {W_SQL}) AS heading, row_number() {W_SQL} - 1 AS epoch FROM g)"""
+
+
+@query(f"WITH {HEADING_SQL} SELECT event_id, round(coalesce(heading, -1), 5) AS heading FROM headed")
 def heading(spark, sf_dir):
     """F11, I13."""
     return W.heading(track(spark, sf_dir), BY, ORDER).select("event_id", F.round(F.coalesce("heading", F.lit(-1.0)), 5).alias("heading"))
