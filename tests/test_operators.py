@@ -243,10 +243,28 @@ def test_blocks_do_not_change_neighbours(spark, monkeypatch):
     train = spark.createDataFrame([(i, [float(r.randint(0, 9)), float(r.randint(0, 9))], r.randint(0, 3)) for i in range(50)], "train_id long, train_features array<double>, class int")
     q = spark.createDataFrame([(i, [float(r.randint(0, 9)), float(r.randint(0, 9))]) for i in range(20)], "query_id long, features array<double>")
     one = sorted(joins.knn_condition(q, train).collect())
-    monkeypatch.setattr(joins, "TRAIN_BLOCK", 7)
+    monkeypatch.setattr(joins, "TRAIN_VALUES", 2 * 7)
     assert sorted(joins.knn_condition(q, train).collect()) == one
 
 
+def test_neighbours_are_brute_force(spark):
+    r = random.Random(6)
+    vector = lambda: [float(r.randint(0, 3)) for _ in range(3)]
+    known = [(i, vector()) for i in r.sample(range(90), 40)] + [(90, None), (91, [0.0, 0.0]), (92, [0.0, None, 0.0])]
+    asked = [(i, vector()) for i in range(30)] + [(30, None), (31, [1.0, 1.0]), (32, [5.0] * 4), (33, [1.0, None, 1.0]), (None, [0.0] * 3)]
+    q, t = spark.createDataFrame(asked, "query_id long, v array<double>"), spark.createDataFrame(known, "train_id long, w array<double>")
+    histogram = lambda a, b: 0.0 if not sum(a) * sum(b) else math.sqrt(max(0.0, 1 - sum(math.sqrt(x * y) for x, y in zip(a, b)) / math.sqrt(sum(a) * sum(b))))
+    for matrix, plain in ((joins.euclidean_matrix, math.dist), (joins.bhattacharyya_matrix, histogram)):
+        found = joins.nearest_neighbours(q, t, matrix, "v", "w", ["query_id"], ["train_id"], 5)
+        want = {}
+        for i, v in asked:
+            if v is not None and None not in v:
+                near = sorted((plain(v, w), j) for j, w in known if w is not None and None not in w and len(w) == len(v))[:5]
+                want |= {(i, rank + 1): (j, pytest.approx(d, abs=1e-12)) for rank, (d, j) in enumerate(near)}
+        assert {(x.query_id, x["rank"]): (x.train_id, x.distance) for x in found.collect()} == want
+        assert joins.nearest_neighbours(q, t.limit(0), matrix, "v", "w", ["query_id"], ["train_id"]).count() == 0
+
+
 def test_zip_keeps_the_first_channel(spark):
     a, b = series(spark, [1, 2, 3], "value"), series(spark, [7], "value")
     rows = joins.zip_join({"x": a, "y": b}, BY, ORDER).orderBy("pos").collect()
@@ -266,7 +284,7 @@ def test_gate_compares_with_the_last_accepted():
 def test_state_crosses_batches_but_not_tracks(spark):
     r = random.Random(2)
     rows = [(k, t, r.uniform(0, 9)) for k in ["a", None, "c", "d"] for t in range(37)] + [("e", 0, 1.0)]
-    df = spark.createDataFrame(r.sample(rows, len(rows)), "k string, t long, v double")
+    df = spark.createDataFrame([(*x, None if x[1] % 3 else 2**62 + 1) for x in r.sample(rows, len(rows))], "k string, t long, v double, big long")
     want = {}
     for k in ["a", None, "c", "d", "e"]:
         own = sorted((t, v) for g, t, v in rows if g == k)
@@ -276,7 +294,8 @@ def test_state_crosses_batches_but_not_tracks(spark):
         for size in (1, 10, 10_000):
             spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", size)
             out = recursive.low_pass_filter(df, BY, ORDER, "v", "low")
-            assert out.columns == ["k", "t", "v", "low"] and {(x.k, x.t): x.low for x in out.collect()} == want
+            assert out.columns == ["k", "t", "v", "big", "low"] and {(x.k, x.t): x.low for x in out.collect()} == want
+            assert {x.big for x in out.collect()} == {None, 2**62 + 1}
             assert recursive.low_pass_filter(df.limit(0), BY, ORDER, "v", "low").count() == 0
     finally:
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)

@@ -6,16 +6,20 @@ loops over both sides.
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from trajspark.functions.geo import bhattacharyya, euclidean, foot_of_perpendicular
+from trajspark.functions.geo import foot_of_perpendicular
 from trajspark.operators.base import UNBOUNDED
+from trajspark.shipping import ship
 
-#: Training rows that a query is compared with at a time.
-TRAIN_BLOCK = 4096
+#: Numbers of the training vectors that one broadcast holds (32 MB), and of the distances that a worker holds at a time.
+TRAIN_VALUES, PAIR_VALUES = 1 << 22, 1 << 20
 #: Largest estimated size, in bytes, of a side that is broadcast.
 BROADCAST_BYTES = 8 << 20
 
@@ -145,22 +149,93 @@ def locf_merge(streams: dict[str, DataFrame], by: list[str], order: list[str], v
     return carry_forward(merged, by, [*order, "__rank"], columns, initial).drop("__rank")
 
 
-def nearest_neighbours(queries: DataFrame, train: DataFrame, distance: Callable[[Column], Column], query_key: list[str], train_key: list[str], k: int = 5) -> DataFrame:
+def euclidean_matrix(q: np.ndarray, t: np.ndarray) -> np.ndarray:
+    """Distances of the rows of two matrices [I16], summed dimension by dimension as the column function does."""
+    total = np.zeros((len(q), len(t)))
+    for a, b in zip(q.T, t.T, strict=True):
+        d = a[:, None] - b[None, :]
+        total += d * d
+    return np.sqrt(total)
+
+
+def bhattacharyya_matrix(q: np.ndarray, t: np.ndarray) -> np.ndarray:
+    """Distances of histograms, 0 if either is empty [I32]."""
+    shared, sum_q, sum_t = np.zeros((len(q), len(t))), np.zeros(len(q)), np.zeros(len(t))
+    for a, b in zip(q.T, t.T, strict=True):
+        shared += np.sqrt(a[:, None] * b[None, :])
+        sum_q, sum_t = sum_q + a, sum_t + b
+    norm = np.sqrt(sum_q[:, None] * sum_t[None, :])
+    with np.errstate(divide="ignore", invalid="ignore"):
+        return np.where(norm == 0, 0.0, np.sqrt(np.maximum(0.0, 1 - shared / norm)))
+
+
+def k_least(distances: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row, column, rank from 1) of the k least of each row, those of equal distance by column. NaN is never one."""
+    distances = np.where(np.isnan(distances), np.inf, distances)
+    k = min(k, distances.shape[1])
+    limit = np.partition(distances, k - 1, axis=1)[:, k - 1 : k]
+    row, column = np.nonzero((distances <= limit) & (distances < np.inf))
+    order = np.lexsort((column, distances[row, column], row))
+    row, column = row[order], column[order]
+    rank = np.arange(len(row)) - np.searchsorted(row, row) + 1
+    return row[rank <= k], column[rank <= k], rank[rank <= k]
+
+
+def by_length(rows: pa.RecordBatch | pa.Table, vector: str) -> Iterator[tuple[pa.RecordBatch, np.ndarray]]:
+    """The rows with vectors of each length, as one batch, and their vectors as a matrix."""
+    lengths = np.asarray(pc.list_value_length(rows.column(vector)))
+    for d in np.unique(lengths):
+        same = rows.take(pa.array(np.flatnonzero(lengths == d)))
+        if isinstance(same, pa.Table):
+            same = same.combine_chunks().to_batches()[0]
+        yield same, same.column(vector).flatten().to_numpy().reshape(len(same), d)
+
+
+def nearest_neighbours(queries: DataFrame, train: DataFrame, distance: Callable[[np.ndarray, np.ndarray], np.ndarray], query_vector: str, train_vector: str, query_key: list[str], train_key: list[str], k: int = 5) -> DataFrame:
     """The k nearest training rows of each query, ranked; ties by training key [D10, D11, G4].
 
-    distance: of a query's columns to a training row, given as a struct. Training rows are gathered in blocks of
-    about ``TRAIN_BLOCK`` rows, and a query takes its k best of each block as one expression, so pairs are never
-    rows. With one block, which is what a model's training set comes to, nothing is shuffled; with more, only k
-    candidates a block are.
+    Training rows are broadcast in blocks of at most about ``TRAIN_VALUES`` numbers, in turn: queries pass over each
+    in Arrow batches as matrices, so pairs are never rows and queries aren't shuffled. A model's training set is
+    one block; with more, the k candidates of each block are merged by query. Vectors of another length, or null,
+    or with a null in them have no neighbours and are none.
     """
-    n = max(1, -(-train.count() // TRAIN_BLOCK))
-    rows = F.collect_list(F.struct(*train.columns)).alias("__t")
-    blocks = train.groupBy(F.pmod(F.xxhash64(train_key[0]), F.lit(n)).alias("__block")).agg(rows).drop("__block")
-    ranked = F.slice(F.array_sort(F.transform("__t", lambda t: F.struct(distance(t).alias("distance"), *[t[c].alias(c) for c in train_key]))), 1, k)
-    best = queries.join(small(blocks) if n > 1 else F.broadcast(blocks), F.lit(True)).select(*query_key, ranked.alias("__b"))
-    if n > 1:
-        best = best.groupBy(*query_key).agg(F.slice(F.array_sort(F.flatten(F.collect_list("__b"))), 1, k).alias("__b"))
-    return best.select(*query_key, F.posexplode("__b").alias("__i", "__n")).select(*query_key, (F.col("__i") + 1).alias("rank"), "__n.*")
+    spark = queries.sparkSession
+    ship(spark)
+    size = train.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.max(F.size(train_vector)), F.lit(1)).alias("d")).first()
+    blocks = max(1, -(-size["n"] * max(1, size["d"]) // TRAIN_VALUES))
+    types = {**{c: queries.schema[c].dataType for c in query_key}, **{c: train.schema[c].dataType for c in train_key}}
+    schema = ", ".join([*[f"`{c}` {types[c].simpleString()}" for c in query_key], "rank int", "distance double", *[f"`{c}` {types[c].simpleString()}" for c in train_key]])
+    whole = lambda v: F.col(v).isNotNull() & ~F.exists(v, lambda x: x.isNull())
+    asked = queries.filter(whole(query_vector)).select(*query_key, F.col(query_vector).cast("array<double>").alias("__q"))
+    known = train.filter(whole(train_vector)).select(*train_key, F.col(train_vector).cast("array<double>").alias("__t"))
+
+    def against(block: int) -> DataFrame:
+        own = known.filter(F.pmod(F.xxhash64(*train_key), F.lit(blocks)) == block) if blocks > 1 else known
+        sent = spark.sparkContext.broadcast(list(by_length(own.orderBy(*train_key).toArrow(), "__t")))
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            known = {vectors.shape[1]: (rows, vectors) for rows, vectors in sent.value}
+            for batch in batches:
+                for rows, asked in by_length(batch, "__q"):
+                    trained, vectors = known.get(asked.shape[1], (None, None))
+                    step = max(1, PAIR_VALUES // len(vectors)) if trained else len(asked)
+                    for i in range(0, len(asked) if trained else 0, step):
+                        found = distance(asked[i : i + step], vectors)
+                        row, column, rank = k_least(found, k)
+                        left, right = rows.take(pa.array(row + i)), trained.take(pa.array(column))
+                        arrays = [*(left.column(c) for c in query_key), pa.array(rank, pa.int32()), pa.array(found[row, column]), *(right.column(c) for c in train_key)]
+                        yield pa.RecordBatch.from_arrays(arrays, names=[*query_key, "rank", "distance", *train_key])
+
+        return asked.mapInArrow(run, schema)
+
+    best = against(0)
+    if blocks == 1:
+        return best
+    for block in range(1, blocks):
+        best = best.unionByName(against(block))
+    near = F.struct("distance", *train_key)
+    merged = best.groupBy(*query_key).agg(F.slice(F.array_sort(F.collect_list(near)), 1, k).alias("__b"))
+    return merged.select(*query_key, F.posexplode("__b").alias("__i", "__n")).select(*query_key, (F.col("__i") + 1).alias("rank"), "__n.*")
 
 
 def vote(neighbours: DataFrame, query_key: list[str], label: str) -> DataFrame:
@@ -171,7 +246,7 @@ def vote(neighbours: DataFrame, query_key: list[str], label: str) -> DataFrame:
 
 def knn_condition(queries: DataFrame, train: DataFrame, features: str = "features", query_key: tuple[str, ...] = ("query_id",), k: int = 5) -> DataFrame:
     """Road condition by votes of the nearest feature vectors [K6]. train(train_id, train_features, class)."""
-    found = nearest_neighbours(queries, train, lambda t: euclidean(F.col(features), t["train_features"]), list(query_key), ["train_id", "class"], k)
+    found = nearest_neighbours(queries, train, euclidean_matrix, features, "train_features", list(query_key), ["train_id", "class"], k)
     return vote(found, list(query_key), "class")
 
 
@@ -185,7 +260,7 @@ def knn_surface(queries: DataFrame, train: DataFrame, query_key: tuple[str, ...]
 
     def level(rows: DataFrame, hist: str, classes: tuple[str, str]) -> DataFrame:
         own = train.filter(F.col("class").isin(*classes))
-        return vote(nearest_neighbours(rows, own, lambda t: bhattacharyya(F.col(hist), t["train_hist"]), key, ["train_id", "class"], k), key, "class")
+        return vote(nearest_neighbours(rows, own, bhattacharyya_matrix, hist, "train_hist", key, ["train_id", "class"], k), key, "class")
 
     first = level(queries, "value_hist", ("tar", "mudcon"))
     mixed = queries.join(first.filter("class = 'mudcon'").select(*key), key, "left_semi")

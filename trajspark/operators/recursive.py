@@ -13,6 +13,7 @@ from typing import Any
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -77,15 +78,17 @@ def over_tracks(df: DataFrame, by: list[str], order: list[str], new: dict[str, s
     """Adds the columns that ``step`` makes of each track; new: their types.
 
     A row number brings each track to one task, sorted (without a shuffle where it is partitioned by ``by``), and
-    marks where tracks begin. It must go on without a gap from batch to batch, which is checked.
+    marks where tracks begin. It must go on without a gap from batch to batch, which is checked. The input's columns
+    pass as they are; a NaN among the new values is a null.
     """
     ship(df.sparkSession)
     columns = df.columns
+    types = {c: {"double": pa.float64(), "boolean": pa.bool_()}[t] for c, t in new.items()}
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         state, last = None, 0
-        for rows in batches:
-            place = rows["__place"].to_numpy()
+        for batch in batches:
+            rows, place = batch.to_pandas(), batch.column("__place").to_numpy()
             starts = np.flatnonzero(place == 1)
             if len(place) and (np.diff(place, prepend=last)[place != 1] != 1).any():
                 raise RuntimeError("rows of a track are not in order")
@@ -96,11 +99,12 @@ def over_tracks(df: DataFrame, by: list[str], order: list[str], new: dict[str, s
                 for c in new:
                     found[c].extend(made[c])
             last = place[-1] if len(place) else last
-            yield rows[columns].assign(**found)
+            made = [pa.array(found[c], t, from_pandas=True) for c, t in types.items()]
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in columns), *made], names=[*columns, *new])
 
     placed = df.withColumn("__place", F.row_number().over(ordered(by, order)))
     fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields] + [f"`{c}` {t}" for c, t in new.items()]
-    return placed.mapInPandas(run, ", ".join(fields))
+    return placed.mapInArrow(run, ", ".join(fields))
 
 
 def gate_step(most: float = MAX_STEP, out: str = "kept") -> Step:

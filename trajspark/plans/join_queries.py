@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from trajspark.functions.geo import bhattacharyya, euclidean, segment_distance
+from trajspark.functions.geo import segment_distance
 from trajspark.functions.text import CONDITION_LABELS, label_of
 from trajspark.operators import joins as J
 from trajspark.operators import models as M
@@ -161,7 +161,7 @@ def _knn_sides(spark, sf_dir):
 def knn_topk(spark, sf_dir):
     """D10, G4, I16."""
     queries, train = _knn_sides(spark, sf_dir)
-    found = J.nearest_neighbours(queries, train, lambda t: euclidean(F.col("features"), t["train_features"]), ["query_id"], ["train_id", "class"])
+    found = J.nearest_neighbours(queries, train, J.euclidean_matrix, "features", "train_features", ["query_id"], ["train_id", "class"])
     return found.select("query_id", F.col("rank").cast("int").alias("rank"), "train_id", "class", r6("distance"))
 
 
@@ -179,7 +179,7 @@ BHATT_SQL = "sqrt(greatest(0, 1 - list_sum(list_transform(range(1, 31), lambda i
 def bhattacharyya_knn(spark, sf_dir):
     """K7, D11, I32."""
     queries, train = _knn_sides(spark, sf_dir)
-    found = J.nearest_neighbours(queries, train, lambda t: bhattacharyya(F.col("hist"), t["train_hist"]), ["query_id"], ["train_id", "class"])
+    found = J.nearest_neighbours(queries, train, J.bhattacharyya_matrix, "hist", "train_hist", ["query_id"], ["train_id", "class"])
     return J.vote(found, ["query_id"], "class").select("query_id", "class", "votes")
 
 
