@@ -144,12 +144,22 @@ def decode(candidates: dict[int, list[tuple[tuple, float]]], epochs: int) -> lis
             continue
         before = scores[-1] if scores else {}
         row = {}
+        if before:
+            # the best state of all, and the best of those that end at each node: a state has no other candidates
+            far = min((-score, state) for state, (score, _) in before.items())
+            into: dict = {}
+            for state, (score, _) in before.items():
+                into[state[1]] = min(into.get(state[1], (math.inf, None)), (-score, state))
         for state, emission in own:
-            best, prev = (0.0, None) if not before else (-math.inf, None)
-            for other, (score, _) in sorted(before.items()):
-                value = score + (0.0 if other == state or other[1] == state[0] else math.log(DISJOINT))
-                if value > best:
-                    best, prev = value, other
+            best, prev = 0.0, None
+            if before:
+                ways = [(far[0] - math.log(DISJOINT), far[1])]
+                if state[0] in into:
+                    ways.append(into[state[0]])
+                if state in before:
+                    ways.append((-before[state][0], state))
+                best, prev = min(ways)
+                best = -best
             row[state] = (best + emission, prev)
         scores.append(row)
     path: list[tuple | None] = [None] * epochs
