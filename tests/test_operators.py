@@ -338,6 +338,31 @@ def test_particles_follow_the_fixes():
     assert (a == b).all() and (ca == cb).all() and np.abs(a - fixes).max() * 111_000 < 6 and (ca > 0).all()
 
 
+def test_particles_are_weighed_as_plain_python():
+    """The same draws, weighed and moved one particle at a time."""
+    n, sigma = 30, 0.75
+    fixes = [(17 + i * 1e-5, 78 + (i % 3) * 2e-5) for i in range(12)] + [(17.5, 78.0)]
+    draws = np.random.default_rng(5)
+    cloud = [(fixes[0][0] + a * sigma / 111_000, fixes[0][1] + b * sigma / 111_000) for a, b in draws.standard_normal((n, 2))]
+    want, last = [], None
+    for fix in fixes:
+        cloud = [(a + x * 1.5 / 111_000 * 0.5, b + y * 1.5 / 111_000 * 0.5) for (a, b), (x, y) in zip(cloud, draws.standard_normal((n, 2)))]
+        weight = [math.exp(-(recursive.metres(*c, *fix) ** 2) / (2 * sigma**2)) for c in cloud]
+        if last:
+            weight = [w * math.exp(-(max(0.0, recursive.metres(*c, *last) - 1.5) ** 2)) for w, c in zip(weight, cloud)]
+        weight = [w / sum(weight) for w in weight] if sum(weight) > 0 else [1 / n] * n
+        confidence = max(weight)
+        if confidence > 0.01:
+            edges = np.cumsum(np.array(weight) / sum(weight))
+            cloud = [cloud[min(n - 1, int(np.searchsorted(edges / edges[-1], u, side="right")))] for u in draws.random(n)]
+        else:
+            cloud = [(fix[0] + a * sigma / 111_000, fix[1] + b * sigma / 111_000) for a, b in draws.standard_normal((n, 2))]
+        last = tuple(np.mean(cloud, axis=0))
+        want.append((*last, confidence))
+    found, confidence, _ = models.particle_steps(np.array(fixes), np.full(len(fixes), sigma), 5, n)
+    assert np.column_stack([found, confidence]) == pytest.approx(np.array(want), rel=1e-9, abs=1e-12)
+
+
 def best_path(candidates, epochs):
     score = lambda path: sum(e for _, e in path) + sum(0.0 if a[0] == b[0] or a[0][1] == b[0][0] else math.log(0.01) for a, b in zip(path, path[1:]))
     return max(score(p) for p in itertools.product(*[candidates[t] for t in range(epochs)]))
