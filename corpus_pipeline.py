@@ -30,8 +30,9 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """n_chars follows the text. A document that loses all its lines stays, as an empty text."""
-    out = drop_repeated_lines(docs).select(*[F.col(f"`{c}`") for c in docs.columns])
+    """By lines and sentences, as passages also repeat inside lines. n_chars follows the text. A document that loses all
+    its lines stays, as an empty text."""
+    out = drop_repeated_lines(docs, sentences=True).select(*[F.col(f"`{c}`") for c in docs.columns])
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
     return out

@@ -111,6 +111,43 @@ def test_line_dedup_is_brute_force(spark):
     assert got == brute_line_dedup(docs, 12)
 
 
+def brute_sentences(docs, least):
+    """brute_line_dedup over pieces that a sentence end with a blank, or a line end, closes."""
+    pieces = {d: re.findall(r"(?:[^.!?\n]|[.!?](?![ \t]))*(?:[.!?][ \t]|\n|$)", t) for d, t in docs.items() if t is not None}
+    blanks = " \t\n\x0b\x0c\r"
+    seqs = {d: [(i, x.strip(blanks), len(WORD.findall(x))) for i, x in enumerate(p) if WORD.search(x)] for d, p in pieces.items()}
+    first, gone = {}, {d: set() for d in pieces}
+    for d, s in sorted(seqs.items()):
+        for a in range(len(s)):
+            for z in range(a + 1, len(s) + 1):
+                if sum(n for _, _, n in s[a:z]) >= least:
+                    key = tuple(x for _, x, _ in s[a:z])
+                    if key in first:
+                        gone[d].update(i for i, _, _ in s[a:z])
+                    first.setdefault(key, (d, a))
+    return {d: None if t is None else "".join(x for i, x in enumerate(pieces[d]) if i not in gone[d]) for d, t in docs.items()}
+
+
+def test_line_dedup_by_sentences_is_brute_force(spark):
+    rng = random.Random(7)
+    bank = [" ".join(rng.choice("abcdefg") * rng.randint(1, 3) for _ in range(rng.randint(1, 6))) + rng.choice(".!?") for _ in range(5)]
+    docs = {i: "".join(rng.choice(bank) + rng.choice([" ", " ", "\n", "\t", "  ", "\n\n", ""]) for _ in range(rng.randint(1, 14))) for i in range(50)}
+    docs |= {60: "", 61: None, 62: " \n . ", 63: docs[1], 64: "v1.2 is out. " + docs[2]}
+    got = {x.doc_id: x.text for x in line_dedup.drop_repeated_lines(frame(spark, docs, extra=True), 12, sentences=True).collect()}
+    want = brute_sentences(docs, 12)
+    assert got == want and sum(got[d] != docs[d] for d in docs) > 10
+
+
+def test_passage_inside_a_line_goes(spark):
+    filler = lambda tag, n: " ".join(f"{tag}{i}" for i in range(n))
+    passage = ". ".join(filler(f"p{k}_", 9) for k in range(8)) + "."
+    docs = {1: f"{filler('a', 30)}. {passage} {filler('b', 30)}.", 2: f"{filler('c', 30)} and {passage} {filler('d', 30)}.\nend", 3: filler("e", 90)}
+    lines = {x.doc_id: x.text for x in line_dedup.drop_repeated_lines(frame(spark, docs)).collect()}
+    got = {x.doc_id: x.text for x in line_dedup.drop_repeated_lines(frame(spark, docs), sentences=True).collect()}
+    assert lines == docs and got[1] == docs[1] and got[3] == docs[3]
+    assert got[2] == f"{filler('c', 30)} and {filler('p0_', 9)}. {filler('d', 30)}.\nend"
+
+
 def test_line_dedup_long_line_and_columns(spark):
     passage = " ".join(f"p{i}" for i in range(60))
     docs = frame(spark, {1: "a\n" + passage + "\nb", 2: "c\n" + passage, 3: passage[:-30]}, extra=True)

@@ -22,6 +22,10 @@ positions over tasks (adaptive skew join), since all but its first position is o
 Positions and deletions belong to a row: its id and two hashes of its text. Order is by id (null ids last), then
 by those hashes.
 
+With ``sentences`` the lines are cut further, after each sentence end that white space follows (or that is full width),
+and pieces are compared without the white space around them. So a passage that begins or ends inside a line, or lies
+inside one, is found if its whole sentences hold MIN_WORDS words. Line ends go with the piece before them.
+
 Edge cases: a null text stays null and has no lines; an empty text stays empty; a document may lose all its
 lines and then is an empty text. Lines without a word are kept and lie in no window. Rows with one id, or none,
 and different texts are different documents. Rows equal in id and text are one document: all of them stay, or
@@ -44,8 +48,13 @@ SPAN = 1 << SPAN_BITS
 ROW = ["doc_id", "h1", "h2"]
 
 
-def _lines(text: Column) -> Column:
-    return F.split(F.coalesce(text, F.lit("")), "\n", -1)
+#: Places behind a line end or a sentence end; pieces keep what ends them, so they join to the text as it was.
+SENTENCE_ENDS = r"(?<=\n)|(?<=[.!?][ \t])|(?<=[\u3002\uFF01\uFF1F])"
+BLANKS = " \t\n\x0b\x0c\r"
+
+
+def _lines(text: Column, sentences: bool) -> Column:
+    return F.split(F.coalesce(text, F.lit("")), SENTENCE_ENDS if sentences else "\n", -1)
 
 
 def _has_word(line: Column) -> Column:
@@ -56,10 +65,11 @@ def _n_words(line: Column) -> Column:
     return F.size(F.array_remove(F.split(line, WORD_GAP), ""))
 
 
-def windows(text: Column, min_words: int = MIN_WORDS) -> Column:
+def windows(text: Column, min_words: int = MIN_WORDS, sentences: bool = False) -> Column:
     """Array of (span, fp, key, at): first line * SPAN + number of lines of each window, its fingerprint, a hash of its lines,
     the fingerprint's line. Windows are equal if fingerprint and key are: 128 bits."""
-    lines = F.transform(F.filter(_lines(text), _has_word), lambda x: F.struct(F.xxhash64(x).alias("h"), _n_words(x).alias("w")))
+    same = lambda x: F.btrim(x, F.lit(BLANKS)) if sentences else x
+    lines = F.transform(F.filter(_lines(text, sentences), _has_word), lambda x: F.struct(F.xxhash64(same(x)).alias("h"), _n_words(x).alias("w")))
 
     def reach(counts: Column) -> Column:
         """Lines until min_words words are met, 0 if they are not."""
@@ -106,9 +116,9 @@ def rows_of(docs: DataFrame) -> DataFrame:
     return id_and_text(docs).select("doc_id", h1.alias("h1"), h2.alias("h2"), "text")
 
 
-def repeated_runs(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
+def repeated_runs(docs: DataFrame, min_words: int = MIN_WORDS, sentences: bool = False) -> DataFrame:
     """(doc_id, h1, h2, gone): the places, among the lines with a word and from 1, of the lines to delete."""
-    found = stored(rows_of(docs).select(*ROW, F.explode(windows(F.col("text"), min_words)).alias("x")).select(*ROW, "x.*"))
+    found = stored(rows_of(docs).select(*ROW, F.explode(windows(F.col("text"), min_words, sentences)).alias("x")).select(*ROW, "x.*"))
     # the positions of a fingerprint, each as one number: more than one means that it repeats
     position = F.xxhash64(*ROW, "at")
     again = found.groupBy("fp").agg(F.min(position).alias("a"), F.max(position).alias("z")).filter("a <> z").select("fp")
@@ -121,11 +131,11 @@ def repeated_runs(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     return gone.select(*ROW, F.array_distinct(F.flatten(F.transform("spans", lines))).alias("gone"))
 
 
-def _whole(text: Column) -> Column:
-    return F.struct(F.when(text.isNull(), 0).otherwise(F.size(_lines(text))).alias("n_lines"), F.lit(0).alias("n_deleted"), text.alias("text"))
+def _whole(text: Column, sentences: bool) -> Column:
+    return F.struct(F.when(text.isNull(), 0).otherwise(F.size(_lines(text, sentences))).alias("n_lines"), F.lit(0).alias("n_deleted"), text.alias("text"))
 
 
-def _cleaned(text: Column, gone: Column) -> Column:
+def _cleaned(text: Column, gone: Column, sentences: bool) -> Column:
     """Struct of n_lines, n_deleted and the text without the lines at the places ``gone``."""
 
     def cut(lines: Column) -> Column:
@@ -133,15 +143,15 @@ def _cleaned(text: Column, gone: Column) -> Column:
         worded = F.filter(at, lambda i: _has_word(F.get(lines, i)))
         drop = let(worded, lambda w: F.transform(gone, lambda p: F.get(w, p - 1)))
         left = F.transform(F.array_except(at, drop), lambda i: F.get(lines, i))
-        return F.struct(F.size(lines).alias("n_lines"), F.size(gone).alias("n_deleted"), F.array_join(left, "\n").alias("text"))
+        return F.struct(F.size(lines).alias("n_lines"), F.size(gone).alias("n_deleted"), F.array_join(left, "" if sentences else "\n").alias("text"))
 
-    return F.when(gone.isNull() | text.isNull(), _whole(text)).otherwise(let(_lines(text), cut))
+    return F.when(gone.isNull() | text.isNull(), _whole(text, sentences)).otherwise(let(_lines(text, sentences), cut))
 
 
-def _with_counts(docs: DataFrame, min_words: int) -> tuple[DataFrame, str]:
+def _with_counts(docs: DataFrame, min_words: int, sentences: bool) -> tuple[DataFrame, str]:
     """docs with the new text, and a struct of n_lines and n_deleted under a name of its own."""
     new, gone, maybe, *row = fresh(docs, "new", "gone", "maybe", *ROW)
-    found = checkpointed(repeated_runs(docs, min_words)).toDF(*row, gone)
+    found = checkpointed(repeated_runs(docs, min_words, sentences)).toDF(*row, gone)
     text = F.col("text").cast("string")
     h1, h2 = text_hashes(text)
     own = docs.select("*", F.col("doc_id").cast("long").alias(row[0] + "_"), h1.alias(row[1] + "_"), h2.alias(row[2] + "_"))
@@ -149,24 +159,24 @@ def _with_counts(docs: DataFrame, min_words: int) -> tuple[DataFrame, str]:
     here = here & (F.col(row[2]) == F.col(row[2] + "_")) & F.col(row[0]).eqNullSafe(F.col(row[0] + "_"))
     # only texts that may lose lines are shuffled to meet their deletions
     own = with_mark(own, F.col(row[1] + "_"), found, F.col(row[1]), maybe)
-    met = own.filter(F.col(maybe)).join(found.hint("merge"), here, "left").withColumn(new, _cleaned(text, F.col(gone))).drop(gone, *row)
-    others = own.filter(~F.col(maybe)).withColumn(new, _whole(text))
+    met = own.filter(F.col(maybe)).join(found.hint("merge"), here, "left").withColumn(new, _cleaned(text, F.col(gone), sentences)).drop(gone, *row)
+    others = own.filter(~F.col(maybe)).withColumn(new, _whole(text, sentences))
     cleaned = met.unionByName(others)
     columns = [F.col(f"{new}.text").alias(c) if c.lower() == "text" else F.col(f"`{c}`") for c in docs.columns]
     return cleaned.select(*columns, F.col(new)), new
 
 
-def drop_repeated_lines(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
+def drop_repeated_lines(docs: DataFrame, min_words: int = MIN_WORDS, sentences: bool = False) -> DataFrame:
     """docs with the same columns, and __n_lines and __n_deleted (with more underscores if docs has such columns);
     the text has lost its later repeated runs."""
-    out, new = _with_counts(docs, min_words)
+    out, new = _with_counts(docs, min_words, sentences)
     counts = zip(("n_lines", "n_deleted"), fresh(docs, "n_lines", "n_deleted"), strict=True)
     return out.select("*", *[F.col(f"{new}.{c}").alias(name) for c, name in counts]).drop(new)
 
 
 def line_dedup(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     """(doc_id, n_lines, n_deleted, text)"""
-    out, new = _with_counts(docs.select("doc_id", "text"), min_words)
+    out, new = _with_counts(docs.select("doc_id", "text"), min_words, sentences=False)
     return out.select("doc_id", F.col(f"{new}.n_lines").alias("n_lines"), F.col(f"{new}.n_deleted").alias("n_deleted"), "text")
 
 
