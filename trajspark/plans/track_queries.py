@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from trajspark.functions.geo import local_xy, rms3
@@ -481,3 +482,20 @@ def utm_projection(spark, sf_dir):
 
     x, y = utm_xy(F.col("lat"), F.col("lon"))
     return track(spark, sf_dir).select("event_id", F.round(x, 3).alias("easting"), F.round(y, 3).alias("northing"))
+
+
+@query(f"""WITH {TRACK_SQL} SELECT event_id, rank() OVER w AS place, dense_rank() OVER w AS dense_place, round(percent_rank() OVER w, 8) AS share,
+ntile(4) OVER (PARTITION BY user_id ORDER BY height DESC, event_id) AS quarter FROM track WINDOW w AS (PARTITION BY user_id ORDER BY height DESC)""")
+def height_ranks(spark, sf_dir):
+    """each fix by height within its track; equal heights share a place, quarters go by event."""
+    highest = Window.partitionBy(BY).orderBy(F.col("height").desc_nulls_last())
+    return track(spark, sf_dir).select(
+        "event_id", F.rank().over(highest).alias("place"), F.dense_rank().over(highest).alias("dense_place"),
+        F.round(F.percent_rank().over(highest), 8).alias("share"), F.ntile(4).over(highest.orderBy(F.col("height").desc_nulls_last(), "event_id")).alias("quarter"),
+    )
+
+
+@query(f"WITH {TRACK_SQL} SELECT event_id, us, round(lat, 6) AS lat, round(lon, 6) AS lon, height FROM track ORDER BY us, event_id LIMIT 5")
+def first_rows(spark, sf_dir):
+    """A preview of the first 5 fixes by time; the limit is the feature, and a task sends 5 rows at most."""
+    return track(spark, sf_dir).orderBy("us", "event_id").limit(5).select("event_id", "us", r6("lat"), r6("lon"), "height")
