@@ -148,6 +148,19 @@ def test_passage_inside_a_line_goes(spark):
     assert got[2] == f"{filler('c', 30)} and {filler('p0_', 9)}. {filler('d', 30)}.\nend"
 
 
+def test_sentences_of_edge_cases(spark):
+    """Null and repeated ids, an empty table, a very long line, clashing columns; full-width ends need no blank after them."""
+    assert line_dedup.drop_repeated_lines(frame(spark, []), sentences=True).count() == 0
+    long = " ".join(f"w{i % 911} w{i}." for i in range(20000))
+    wide = "\u4f60 \u597d\u3002\u518d \u89c1\uff01"
+    rows = [(1, long, 1), (2, "x y. " + long, 1), (7, long + " tail", 1), (7, "one two.", 1), (None, long, 1), (None, "one two. " + wide, 1), (9, wide, 1)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, __gone int")
+    got = {(x.doc_id, x.text) for x in line_dedup.drop_repeated_lines(docs, sentences=True).select("doc_id", "text").collect()}
+    assert got == {(1, long), (2, "x y. "), (7, "tail"), (7, "one two."), (None, ""), (None, "one two. " + wide), (9, wide)}
+    few = {(x.doc_id, x.text) for x in line_dedup.drop_repeated_lines(docs.filter("length(text) < 99"), 4, sentences=True).select("doc_id", "text").collect()}
+    assert few == {(7, "one two."), (None, "one two. "), (9, wide)}
+
+
 def test_line_dedup_long_line_and_columns(spark):
     passage = " ".join(f"p{i}" for i in range(60))
     docs = frame(spark, {1: "a\n" + passage + "\nb", 2: "c\n" + passage, 3: passage[:-30]}, extra=True)
