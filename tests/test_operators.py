@@ -143,6 +143,14 @@ def test_trailing_windows(spark):
     assert column(windows.trailing_distance(df, BY, ORDER, F.count("*"), 100.0), "trailing") == [1, 2, 2, 2]
 
 
+def test_trailing_distance_compares_runs_in_doubles(spark):
+    rng = random.Random(0)
+    steps = [rng.choice((12.505, 24.995, 25.005, 37.495, 50.005)) for _ in range(400)]
+    runs = [round(x, 3) for x in itertools.accumulate(steps)]
+    expected = [sum(a - 100.0 <= b <= a for b in runs) for a in runs]
+    assert column(windows.trailing_distance(series(spark, steps, "step"), BY, ORDER, F.count("*"), 100.0, decimals=3), "trailing") == expected
+
+
 # ---- robust statistics
 
 
