@@ -265,6 +265,15 @@ def test_links_are_brute_force(spark):
     assert set(got) == want and len(got) == len(want) > 40
 
 
+def test_visits_are_never_broadcast(spark):
+    """Plans take the 153 visits of a fingerprint for as small as the fingerprint."""
+    distinct = spark.range(3000).select(F.xxhash64("id").alias("fp"))
+    found = simhash.links(distinct)
+    found.collect()
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "BroadcastHashJoin" not in plan
+
+
 def test_segments_do_not_change_fingerprints(monkeypatch):
     text = " ".join(f"Word{i % 97}" for i in range(500))
     monkeypatch.setattr(simhash, "SEGMENT_BYTES", 64)

@@ -192,7 +192,8 @@ def links(distinct: DataFrame) -> DataFrame:
     at_home = distinct.mapInArrow(homes, "anchor long, u long")
     visiting = dealt.mapInArrow(visits, "anchor long, v long")
     near = (F.col("u") < F.col("v")) & (F.bit_count(F.col("u").bitwiseXOR(F.col("v"))) <= MAX_BITS)
-    return visiting.join(at_home, "anchor").filter(near).select("u", "v")
+    # merged, never broadcast: plans take the visits for as small as the fingerprints that they are made of
+    return visiting.join(at_home.hint("merge"), "anchor").filter(near).select("u", "v")
 
 
 def grouped(docs: DataFrame) -> DataFrame:
