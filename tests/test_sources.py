@@ -144,3 +144,20 @@ def test_sinks_round_trip(spark, tmp_path):
     files = points.withColumn("file", F.when(F.col("sats") == 5, "a"))
     assert sinks.without_file(files, "a").count() == 1
     assert tables.renumbered(spark.createDataFrame([("b",), ("a",)], "file string")).orderBy("file").first().number == 1
+
+
+def test_json_arrays_of_long_sessions_are_cut(spark, tmp_path, monkeypatch):
+    import json
+
+    from trajspark.plans import source_queries
+
+    events = spark.range(300).select(F.col("id").alias("event_id"), F.when(F.col("id") < 250, 1).otherwise(F.col("id")).alias("user_id"), F.lit("view").alias("event_type"), F.lit(1.0).alias("value"))
+    events.write.parquet(str(tmp_path / "events.parquet"))
+    monkeypatch.setattr(source_queries, "POINTS_A_LINE", 100, raising=False)
+    monkeypatch.setattr(source_queries, "work_folder", lambda *a: str(tmp_path / "ui"))
+    got = source_queries.json_points(spark, str(tmp_path))
+    lines = [[p["milli"] // 1000 - 1773553223 for p in json.loads(r.value)] for r in spark.read.text(str(tmp_path / "ui")).collect()]
+    long = sorted(a for a in lines if a[0] < 250)
+    assert [len(a) for a in long] == [100, 100, 50] and sum(long, []) == list(range(250))
+    assert sorted(a for a in lines if a[0] >= 250) == [[i] for i in range(250, 300)]
+    assert sorted(r.milli // 1000 - 1773553223 for r in got.collect()) == list(range(300))

@@ -15,6 +15,8 @@ from trajspark.sources import gnsslog, pos, rinex, roads, sinks, tables
 
 DEGREES = "('{}.' || lpad((event_id * {} % 1000)::VARCHAR, 3, '0'))::DOUBLE"
 LAT, LON = DEGREES.format(17, 1), DEGREES.format(78, 7)
+#: Points of a JSON array, which is a line.
+POINTS_A_LINE = 1000
 DAY, CLOCK = 1_773_532_800, "%02d:%02d:%02d"  # 2026-03-15
 
 
@@ -222,11 +224,9 @@ def csv_by_place(spark, sf_dir):
 
 @query(f"SELECT {LAT} AS lat, {LON} AS lon, strftime(make_timestamp((1773553223 + event_id) * 1000000), '%H-%M-%S') AS time, (1773553223 + event_id) * 1000 AS milli, 0.0e0 AS x, 10.0e0 AS v, 'log' AS file, 'tar' AS \"Surface\", 'good' AS \"Condition\" FROM events")
 def json_points(spark, sf_dir):
-    """An array of point objects for each user, written and read back."""
+    """An array of point objects for each user, long ones in several, written and read back."""
     e = events(spark, sf_dir).select("user_id", degrees(17, 1).cast("double").alias("lat"), degrees(78, 7).cast("double").alias("lon"), ((F.lit(1773553223) + event()) * 1000).alias("ts_ms"))
-    points = e.select("user_id", F.struct("lat", "lon", "ts_ms").alias("p")).select("user_id", "p.*")
-    rows = sinks.ui_rows(points.withColumn("file", F.lit("log")), "tar", "good", "log")
-    arrays = sinks.json_array(rows.withColumn("user", F.floor("milli") % 50), ["milli", "lat", "lon"], ("user",))
+    arrays = sinks.json_array(sinks.ui_rows(e, "tar", "good", "log", ("user_id",)), ["milli", "lat", "lon"], ("user_id",), POINTS_A_LINE)
     folder = work_folder(spark, "ui")
     arrays.select(F.col("json").alias("value")).write.text(folder)
     return tables.ui_points(spark, folder, one_array_a_file=False).select("lat", "lon", "time", "milli", "x", "v", "file", "Surface", "Condition")

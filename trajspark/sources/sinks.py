@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from trajspark.functions.timeconv import clock_label
@@ -20,17 +20,24 @@ def gated_rows(points: DataFrame) -> DataFrame:
     return points.select("lat", "lon", F.col("ts_ms").alias("timestamp"), "hdop", "sats")
 
 
-def ui_rows(points: DataFrame, surface: str, condition: str, file: str = "") -> DataFrame:
-    """[B2]"""
+def ui_rows(points: DataFrame, surface: str, condition: str, file: str = "", by: tuple[str, ...] = ()) -> DataFrame:
+    """[B2] by: columns that name a session, for ``json_array``."""
     constants = [F.lit(v).alias(c) for c, v in (("x", 0.0), ("y", 0.0), ("z", 1.0), ("v", 10.0))]
-    return points.select(*constants, "lat", "lon", clock_label(F.col("ts_ms")).alias("time"), F.col("ts_ms").alias("milli"), F.lit(file).alias("file"), F.lit(surface).alias("Surface"), F.lit(condition).alias("Condition"))
+    return points.select(*by, *constants, "lat", "lon", clock_label(F.col("ts_ms")).alias("time"), F.col("ts_ms").alias("milli"), F.lit(file).alias("file"), F.lit(surface).alias("Surface"), F.lit(condition).alias("Condition"))
 
 
-def json_array(rows: DataFrame, order: list[str], by: tuple[str, ...] = ()) -> DataFrame:
-    """One row, a JSON array, for each session (``by``); a session's points are one row. Larger tables go to write.json."""
+def json_array(rows: DataFrame, order: list[str], by: tuple[str, ...] = (), most: int | None = None) -> DataFrame:
+    """One row, a JSON array, for each session (``by``); a session's points are one row.
+
+    most: a longer session has several arrays, each of at most so many points, one after the other in order.
+    """
     columns = [c for c in rows.columns if c not in by]
+    key = list(by)
+    if most is not None:
+        rows = rows.withColumn("__part", F.floor((F.row_number().over(Window.partitionBy(*by).orderBy(*order)) - 1) / most))
+        key.append("__part")
     kept = F.transform(F.array_sort(F.collect_list(F.struct(F.struct(*order).alias("k"), F.to_json(F.struct(*columns)).alias("j")))), lambda x: x["j"])
-    return rows.groupBy(*by).agg(F.concat(F.lit("["), F.array_join(kept, ","), F.lit("]")).alias("json"))
+    return rows.groupBy(*key).agg(F.concat(F.lit("["), F.array_join(kept, ","), F.lit("]")).alias("json")).drop("__part")
 
 
 def legacy_lines(points: DataFrame, column: str) -> DataFrame:
