@@ -239,6 +239,39 @@ def test_segments_past_their_ends_do_not_match(spark):
     assert got == {1: (1, 5.0), 2: (None, None), 3: (1, 0.0)}
 
 
+@pytest.mark.parametrize("held", [1 << 20, 5])
+def test_nearest_segment_is_brute_force_and_makes_no_pairs_of_copies(spark, monkeypatch, held):
+    monkeypatch.setattr(joins, "HELD_SEGMENTS", held, raising=False)
+    r = random.Random(8)
+    points = [(i, r.uniform(-50, 350), r.uniform(-50, 350)) for i in range(200)] + [(200, None, 1.0)]
+    ends = [(r.randint(0, 300), r.randint(0, 300)) for _ in range(30)]
+    ends = [(float(x), float(y), float(x + r.randint(-90, 90)), float(y + r.randint(-90, 90))) for x, y in ends] + [(7.0, 7.0, 7.0, 7.0)]
+    segments = [(i, *ends[i % len(ends)]) for i in range(20 * len(ends))] + [(-1, None, 0.0, 1.0, 1.0)]
+    p = spark.createDataFrame(points, "pid long, x double, y double")
+    found = joins.nearest_segment(p, spark.createDataFrame(segments, "sid long, x1 double, y1 double, x2 double, y2 double"), 40.0, ["pid"], ["sid"])
+    got = {a.pid: (a.sid, a.distance) for a in found.collect()}
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert held == 5 or "Join" not in plan
+
+    def nearest(x, y):
+        best = (math.inf, None)
+        for i, (x1, y1, x2, y2) in enumerate(ends):
+            dx, dy = x2 - x1, y2 - y1
+            length, along = dx * dx + dy * dy, (x - x1) * dx + (y - y1) * dy
+            near = min(x1, x2) - 40 <= x <= max(x1, x2) + 40 and min(y1, y2) - 40 <= y <= max(y1, y2) + 40
+            if near and length and 0 <= along <= length:
+                best = min(best, (abs((x - x1) * dy - (y - y1) * dx) / math.sqrt(length), i))
+        return best
+
+    assert len(got) == 201 and got[200] == (None, None)
+    for i, x, y in points[:200]:
+        distance, sid = nearest(x, y)
+        assert got[i] == ((None, None) if sid is None else (sid, pytest.approx(distance, abs=1e-12)))
+    assert sum(v[0] is None for v in got.values()) > 5
+    none = joins.nearest_segment(p, spark.createDataFrame([], "sid long, x1 double, y1 double, x2 double, y2 double"), 40.0, ["pid"], ["sid"])
+    assert {a.sid for a in none.collect()} == {None}
+
+
 def test_votes_tie_to_the_lowest_class(spark):
     train = spark.createDataFrame([(i, [float(i)], c) for i, c in enumerate([2, 1, 1, 2, 0])], "train_id long, train_features array<double>, class int")
     q = spark.createDataFrame([(1, [0.0])], "query_id long, features array<double>")

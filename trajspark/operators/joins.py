@@ -16,10 +16,13 @@ from pyspark.sql import functions as F
 
 from trajspark.functions.geo import foot_of_perpendicular
 from trajspark.operators.base import UNBOUNDED
+from trajspark.operators.segments import SegmentGrid
 from trajspark.shipping import ship
 
 #: Numbers of the training vectors that one broadcast holds (32 MB), and of the distances that a worker holds at a time.
 TRAIN_VALUES, PAIR_VALUES = 1 << 22, 1 << 20
+#: Segments of different ends that are broadcast, 32 MB; a worker's grid of them takes some 200 bytes for each.
+HELD_SEGMENTS = 1 << 20
 #: Largest estimated size, in bytes, of a side that is broadcast.
 BROADCAST_BYTES = 8 << 20
 
@@ -112,19 +115,52 @@ def nearest_segment(points: DataFrame, segments: DataFrame, reach: float, point_
 
     The direction from one end to the foot and the one from the foot to the other end agree exactly if the foot
     lies between the ends, so that is the test. Only segments whose box lies within ``reach`` are looked at, by
-    grid cells; the foot is worked out for the nearest one alone.
+    grid cells; the foot is worked out for the nearest one alone. Of segments with the same ends only the one of least key
+    can be it. Up to ``HELD_SEGMENTS`` are broadcast, and points pass over them as Arrow batches; more are joined.
     """
+    ends = ["x1", "y1", "x2", "y2"]
+    whole = segments.filter(" AND ".join(f"{c} IS NOT NULL" for c in ends))
+    distinct = whole.groupBy(*ends).agg(F.min(F.struct(*segment_key)).alias("__k")).select("__k.*", *ends)
+    held = distinct.limit(HELD_SEGMENTS + 1).count()
+    found = (_nearest_of_held if held <= HELD_SEGMENTS else _nearest_by_join)(points, distinct, reach, point_key, segment_key)
+    _, fx, fy = foot_of_perpendicular(F.col("x"), F.col("y"), *[F.col(f"__s.{c}") for c in ends])
+    return found.select(*points.columns, *[F.col(f"__s.{c}").alias(c) for c in [*segment_key, "distance"]], fx.alias("fx"), fy.alias("fy"))
+
+
+def _nearest_of_held(points: DataFrame, segments: DataFrame, reach: float, point_key: list[str], segment_key: list[str]) -> DataFrame:
+    """points with __s(segment_key, distance, x1, y1, x2, y2)."""
+    spark = points.sparkSession
+    ship(spark)
+    ends = ["x1", "y1", "x2", "y2"]
+    rows = segments.select(*segment_key, *[F.col(c).cast("double").alias(c) for c in ends]).orderBy(*segment_key, *ends).toArrow().combine_chunks()
+    sent = spark.sparkContext.broadcast((rows, SegmentGrid(np.stack([rows.column(c).to_numpy() for c in ends], axis=1))))
+    columns, names = points.columns, [*segment_key, "distance", *ends]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known, grid = sent.value
+        for batch in batches:
+            x, y = (pc.cast(batch.column(c), pa.float64()).to_numpy(zero_copy_only=False) for c in ("x", "y"))
+            best, distance = grid.nearest(x, y, reach)
+            near = known.take(pa.array(best, mask=best < 0))
+            arrays = [near.column(c).combine_chunks() for c in [*segment_key, *ends]]
+            arrays.insert(len(segment_key), pa.array(distance, mask=best < 0))
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.StructArray.from_arrays(arrays, names, mask=pa.array(best < 0))], names=[*columns, "__s"])
+
+    kinds = [f"`{c}` {segments.schema[c].dataType.simpleString()}" if c in segment_key else f"`{c}` double" for c in names]
+    fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in points.schema.fields]
+    return points.mapInArrow(run, ", ".join([*fields, f"`__s` struct<{', '.join(k.replace(' ', ': ', 1) for k in kinds)}>"]))
+
+
+def _nearest_by_join(points: DataFrame, segments: DataFrame, reach: float, point_key: list[str], segment_key: list[str]) -> DataFrame:
+    """The same with pairs as rows, whatever the number of segments."""
     near = grid_range_join(points, segments, reach)
     dx, dy = F.col("x2") - F.col("x1"), F.col("y2") - F.col("y1")
     along = (F.col("x") - F.col("x1")) * dx + (F.col("y") - F.col("y1")) * dy
     across = F.abs((F.col("x") - F.col("x1")) * dy - (F.col("y") - F.col("y1")) * dx)
     length = dx * dx + dy * dy
     found = near.filter((length > 0) & (along >= 0) & (along <= length)).withColumn("distance", across / F.sqrt(length))
-    ends = ["x1", "y1", "x2", "y2"]
-    best = found.groupBy(*point_key).agg(F.min_by(F.struct(*segment_key, "distance", *ends), F.struct("distance", *segment_key)).alias("__s"))
-    joined = points.join(best, point_key, "left")
-    _, fx, fy = foot_of_perpendicular(F.col("x"), F.col("y"), *[F.col(f"__s.{c}") for c in ends])
-    return joined.select(*points.columns, *[F.col(f"__s.{c}").alias(c) for c in [*segment_key, "distance"]], fx.alias("fx"), fy.alias("fy"))
+    best = found.groupBy(*point_key).agg(F.min_by(F.struct(*segment_key, "distance", "x1", "y1", "x2", "y2"), F.struct("distance", *segment_key)).alias("__s"))
+    return points.join(best, point_key, "left")
 
 
 def zip_join(channels: dict[str, DataFrame], by: list[str], order: list[str], value: str = "value") -> DataFrame:
