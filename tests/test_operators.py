@@ -433,6 +433,46 @@ def test_lane_match_prefers_the_heading(spark):
     assert [(r.u, r.v, r.snap_y) for r in got] == [(1, 2, 0.0)] * 5 and got[3].snap_x == pytest.approx(30.0)
 
 
+def test_viterbi_keeps_ties_and_gaps_as_the_plain_recursion():
+    def plain(candidates, epochs):
+        scores = []
+        for t in range(epochs):
+            before, row = scores[-1] if scores else {}, {}
+            for s, e in candidates.get(t, []):
+                ways = [(-(p + (0.0 if s == b or b[1] == s[0] else math.log(0.01))), b) for b, (p, _) in before.items()]
+                best, prev = min(ways, default=(0.0, None))
+                row[s] = (e - best, prev)
+            scores.append(row or {s: (p, s) for s, (p, _) in before.items()})
+        state, path = min(((-p, s) for s, (p, _) in (scores[-1] if scores else {}).items()), default=(0, None))[1], [None] * epochs
+        for t in range(epochs - 1, -1, -1):
+            if state is None:
+                break
+            path[t], state = state, scores[t][state][1]
+        return path
+
+    r = random.Random(1)
+    for _ in range(300):
+        states = sorted({(r.randrange(4), r.randrange(4), r.randrange(2)) for _ in range(12)})
+        candidates = {t: [(s, float(r.randint(-6, 0))) for s in r.sample(states, r.randint(1, len(states)))] for t in range(8) if r.random() < 0.8}
+        assert models.decode(candidates, 8) == plain(candidates, 8)
+
+
+def test_lane_match_by_held_edges_and_by_join(spark, monkeypatch):
+    r = random.Random(3)
+    points = [(f"k{i % 3}", i // 3, r.uniform(0, 900), r.uniform(0, 900), r.choice([None, r.uniform(0, 360)])) for i in range(90)]
+    points[4] = ("k1", 1, None, 5.0, 0.0)
+    ends = [(float(x), float(y), float(x + r.randint(-80, 80)), float(y + r.randint(-80, 80))) for x, y in ((r.randint(0, 900), r.randint(0, 900)) for _ in range(60))]
+    edges = [(u, u + 1, 0, *ends[u % 60]) for u in range(300)] + [(7, 9, 1, *ends[5]), (999, 1, 0, None, 1.0, 2.0, 3.0)]
+    p = spark.createDataFrame(points, "k string, epoch long, x double, y double, heading double")
+    e = spark.createDataFrame(edges, "u long, v long, key long, x1 double, y1 double, x2 double, y2 double")
+    flat = lambda df: sorted([tuple(x)[:5] + (round(x.snap_x, 9), round(x.snap_y, 9)) for x in df.collect()])
+    held = models.lane_match(p, e, BY)
+    got = flat(held)
+    assert "Join" not in held._jdf.queryExecution().executedPlan().toString()
+    monkeypatch.setattr(models, "HELD_EDGES", 10, raising=False)
+    assert got == flat(models.lane_match(p, e, BY)) and len(got) > 80
+
+
 def test_roads_are_sampled_by_distance():
     step = 1 / 111_194.93
     assert models.sampled([(i * 3 * step, 0.0) for i in range(6)], 5.0)[0] == [False, False, True, False, True, False]
