@@ -446,3 +446,15 @@ def test_pipeline(spark, tmp_path):
     assert set(range(1, 30)) <= set(kept["decontamination"])
     packed = corpus_pipeline.run(spark, str(tmp_path))
     assert {x.doc_id for x in packed.collect()} == set(kept["decontamination"])
+
+
+def test_places_of_pairs_do_not_overlap():
+    r = np.random.default_rng(6)
+    for _ in range(50):
+        at = np.flatnonzero(r.random(200) < 0.6)
+        taken: list[int] = []
+        for i in at.tolist():
+            if not taken or taken[-1] != i - 1:
+                taken.append(i)
+        assert at[repair._apart(at)].tolist() == taken
+    assert repair._apart(np.zeros(0, np.int64)).tolist() == []

@@ -59,12 +59,13 @@ def _pair_bins(s: np.ndarray) -> np.ndarray:
     return h.astype(np.intp)
 
 
-def _apart(marked: np.ndarray) -> np.ndarray:
-    """Of each run of neighbouring marks the first, third, fifth ...: pairs that don't overlap."""
-    at = np.flatnonzero(marked)
-    new = np.diff(at, prepend=-2) != 1
-    start = np.maximum.accumulate(np.where(new, np.arange(len(at)), 0))
-    return at[(np.arange(len(at)) - start) % 2 == 0]
+def _apart(at: np.ndarray) -> np.ndarray:
+    """Which of rising places are the first, third, fifth ... of their run of neighbours: pairs that don't overlap."""
+    place = np.arange(len(at), dtype=np.int32)
+    new = np.ones(len(at), bool)
+    np.not_equal(at[1:] - at[:-1], 1, out=new[1:])
+    start = np.maximum.accumulate(np.where(new, place, 0))
+    return ((place - start) & 1) == 0
 
 
 def _stand_ins(s: np.ndarray, bins: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -115,23 +116,20 @@ def compress(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
                 break
             exact = True
             continue
-        marked = np.zeros(len(s), bool)
-        marked[at] = True
-        rule = np.zeros(len(s), np.int64)
-        rule[at] = own
-        left = _apart(marked)
+        left = _apart(at)
         # neighbours take places from each other: pairs with few left get no rule now, and the most frequent one is sure of its places
-        used = np.bincount(rule[left], minlength=len(pairs)) >= MIN_COUNT // 2
+        used = np.bincount(own[left], minlength=len(pairs)) >= MIN_COUNT // 2
         if not used.any():
             used[np.bincount(own).argmax()] = True
-            marked[at[~used[own]]] = False
-            left = _apart(marked)
-        left = left[used[rule[left]]]
+            at, own = at[used[own]], own[used[own]]
+            left = _apart(at)
+        left = left & used[own]
+        left, own = at[left], own[left]
         exact = exact or len(left) < len(s) // 100
         number = (np.cumsum(used) - 1 + len(rules) + FIRST_RULE).astype(np.uint32)
         new = np.stack([pairs[used] >> np.uint64(32), pairs[used] & np.uint64(0xFFFFFFFF)], axis=1).astype(np.uint32)
         grown = (symbol_sizes(new[:, 0], expansions) + symbol_sizes(new[:, 1], expansions)).astype(np.uint32)
-        s[left] = number[rule[left]]
+        s[left] = number[own]
         keep = np.ones(len(s), bool)
         keep[left + 1] = False
         s = s[keep]

@@ -101,7 +101,10 @@ class Chunks:
         sizes = self.size[numbers]
         ends = np.cumsum(sizes)
         total = int(ends[-1]) if len(ends) else 0
-        return self.ids[np.repeat(self.start[numbers] - (ends - sizes), sizes) + np.arange(total)], sizes
+        kind = np.int32 if self.used + total < 1 << 31 else np.int64
+        at = np.repeat((self.start[numbers] - (ends - sizes)).astype(kind), sizes)
+        at += np.arange(total, dtype=kind)
+        return self.ids[at], sizes
 
 
 class Encoder:
