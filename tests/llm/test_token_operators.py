@@ -2,6 +2,7 @@
 
 import random
 import zlib
+from collections import Counter
 
 import numpy as np
 import pyarrow as pa
@@ -458,3 +459,40 @@ def test_places_of_pairs_do_not_overlap():
                 taken.append(i)
         assert at[repair._apart(at)].tolist() == taken
     assert repair._apart(np.zeros(0, np.int64)).tolist() == []
+
+
+def test_exact_rounds_count_only_changed_places(monkeypatch):
+    """The whole sequence is binned in the rounds of stand-ins and once more; then only places that can still be frequent count."""
+    monkeypatch.setattr(repair, "PAIRS_A_ROUND", 50)
+    monkeypatch.setattr(repair, "HASH_BITS", 12)
+    rng = np.random.default_rng(5)
+    ids = np.minimum(rng.geometric(0.02, 60000), 400).astype(np.int32)
+    calls = {"_pair_bins": 0, "_stand_ins": 0, "_all_counted": 0}
+    for name in calls:
+
+        def counted(*given, name=name, plain=getattr(repair, name)):
+            calls[name] += 1
+            return plain(*given)
+
+        monkeypatch.setattr(repair, name, counted)
+    symbols, rules, expansions = repair.compress(ids)
+    assert calls["_all_counted"] > 3 and calls["_pair_bins"] <= calls["_stand_ins"] + 1
+    assert (repair.expand(symbols, rules, expansions) == ids).all()
+    pairs = (symbols[:-1].astype(np.int64) << 32) | symbols[1:]
+    assert np.unique(pairs, return_counts=True)[1].max() < repair.MIN_COUNT
+
+
+def test_all_counted_is_brute_force(monkeypatch):
+    """Also of pairs that share a place of the table, of runs, and with more frequent pairs than a round takes."""
+    monkeypatch.setattr(repair, "INDEX_BITS", 3)
+    monkeypatch.setattr(repair, "PAIRS_A_ROUND", 20)
+    rng = np.random.default_rng(6)
+    for most in (1, 3, 12, 80):
+        s = np.repeat(rng.integers(0, most, 1500), rng.integers(1, 4, 1500)).astype(np.uint32)
+        n = Counter(zip(s[:-1].tolist(), s[1:].tolist(), strict=True))
+        frequent = sorted((p for p in n if n[p] >= repair.MIN_COUNT), key=lambda p: (-n[p], p))
+        pairs, at, own, places = repair._all_counted(s, np.arange(len(s) - 1))
+        got = [(int(p) >> 32, int(p) & 0xFFFFFFFF) for p in pairs]
+        assert got == sorted(frequent[:20])
+        assert {int(i): got[j] for i, j in zip(at, own, strict=True)} == {i: p for i, p in enumerate(zip(s[:-1].tolist(), s[1:].tolist(), strict=True)) if p in set(got)}
+        assert places.tolist() == [i for i, p in enumerate(zip(s[:-1].tolist(), s[1:].tolist(), strict=True)) if p in set(frequent)]

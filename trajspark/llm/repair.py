@@ -14,7 +14,8 @@ about ``SHARD_TOKENS`` ids. A shard is one row of a Parquet table:
 Ids are those of the library as it comes: a special token in a text, ``<|endoftext|>``, is its id.
 Symbols under ``FIRST_RULE`` are ids. Re-Pair replaces the most frequent pairs of neighbours by nonterminals,
 at most ``PAIRS_A_ROUND`` a round, until no pair of neighbours occurs ``MIN_COUNT`` times in the shard. Early rounds
-count one pair of each frequent hash bin; the last ones count all pairs of such bins, so that none waits for ever. The expansion lengths
+count one pair of each frequent hash bin; the last ones count all pairs of such bins, so that none waits for ever, and after the first
+of them only at places where a pair was frequent or has a new symbol: others only become rarer. The expansion lengths
 tell where an id of a given place is, so any range of ids is decoded without the rest (``decode_range``).
 
 Edge cases: a null or empty text has the end id alone. Null ids come first. Rows of one id are ordered by a
@@ -45,6 +46,8 @@ PAIRS_A_ROUND = 4096
 #: A pair that is rarer than this isn't replaced.
 MIN_COUNT = 8
 HASH_BITS = 19
+#: Of the table that finds a pair among the frequent ones.
+INDEX_BITS = 20
 #: Chunks that a worker's encoder remembers.
 CACHED_CHUNKS = 1_300_000
 
@@ -85,18 +88,41 @@ def _stand_ins(s: np.ndarray, bins: np.ndarray, counts: np.ndarray) -> tuple[np.
     return stands[good], at[chosen], (np.cumsum(good) - 1)[own[chosen]]
 
 
-def _all_counted(s: np.ndarray, bins: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """As ``_stand_ins``, but of all pairs of frequent bins: none is returned only if no pair reaches MIN_COUNT."""
-    at = np.flatnonzero((counts >= MIN_COUNT)[bins])
+def _index(found: np.ndarray, pair: np.ndarray) -> np.ndarray:
+    """Where each pair stands in ``found``, which rises; -1: not at all. A table of hashes has it but for found ones that share a place."""
+    place = lambda p: ((p * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - INDEX_BITS)).astype(np.intp)
+    table = np.zeros(1 << INDEX_BITS, np.int32)
+    taken = place(found)
+    table[taken] = np.arange(len(found), dtype=np.int32)
+    at = place(pair)
+    own = table[at]
+    other = found[own] != pair
+    shared = np.bincount(taken, minlength=1 << INDEX_BITS) > 1
+    own[other] = -1
+    other = np.flatnonzero(other)
+    other = other[shared[at[other]]]
+    if len(other):
+        near = np.searchsorted(found, pair[other]) % len(found)
+        own[other] = np.where(found[near] == pair[other], near, -1)
+    return own
+
+
+def _all_counted(s: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(pairs, places, pair of each place, places of all pairs that reach MIN_COUNT); pairs are none only if none reaches it.
+    ``at`` has rising places, all of a pair or none, and all of those that reach MIN_COUNT."""
     pair = (s[at].astype(np.uint64) << np.uint64(32)) | s[at + 1]
     found, n = np.unique(pair, return_counts=True)
-    most = np.argsort(-n, kind="stable")[:PAIRS_A_ROUND]
-    chosen = np.sort(found[most[n[most] >= MIN_COUNT]])
-    if not len(chosen):
-        return chosen, at[:0], at[:0]
-    own = np.searchsorted(chosen, pair) % len(chosen)
-    same = chosen[own] == pair
-    return chosen, at[same], own[same]
+    found, n = found[n >= MIN_COUNT], n[n >= MIN_COUNT]
+    if not len(found):
+        return found, at[:0], at[:0], at[:0]
+    own = _index(found, pair)
+    at, own = at[own >= 0], own[own >= 0]
+    most = np.sort(np.argsort(-n, kind="stable")[:PAIRS_A_ROUND])
+    rank = np.full(len(found), -1, np.intp)
+    rank[most] = np.arange(len(most))
+    chosen = rank[own]
+    now = chosen >= 0
+    return found[most], at[now], chosen[now], at
 
 
 def compress(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -105,12 +131,20 @@ def compress(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     rules = np.zeros((0, 2), np.uint32)
     expansions = np.zeros(0, np.uint32)
     exact = False
+    # of the exact rounds: pairs only become rarer, but for those with a new symbol, so other places need no further count
+    places: np.ndarray | None = None
     while len(s) > MIN_COUNT:
-        bins = _pair_bins(s)
-        counts = np.bincount(bins, minlength=1 << HASH_BITS)
-        if counts.max() < MIN_COUNT:
-            break
-        pairs, at, own = (_all_counted if exact else _stand_ins)(s, bins, counts)
+        if places is None:
+            bins = _pair_bins(s)
+            counts = np.bincount(bins, minlength=1 << HASH_BITS)
+            if counts.max() < MIN_COUNT:
+                break
+            if exact:
+                places = np.flatnonzero((counts >= MIN_COUNT)[bins])
+        if exact:
+            pairs, at, own, places = _all_counted(s, places)
+        else:
+            pairs, at, own = _stand_ins(s, bins, counts)
         if not len(pairs):
             if exact:
                 break
@@ -125,13 +159,19 @@ def compress(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
             left = _apart(at)
         left = left & used[own]
         left, own = at[left], own[left]
-        exact = exact or len(left) < len(s) // 100
         number = (np.cumsum(used) - 1 + len(rules) + FIRST_RULE).astype(np.uint32)
         new = np.stack([pairs[used] >> np.uint64(32), pairs[used] & np.uint64(0xFFFFFFFF)], axis=1).astype(np.uint32)
         grown = (symbol_sizes(new[:, 0], expansions) + symbol_sizes(new[:, 1], expansions)).astype(np.uint32)
         s[left] = number[own]
         keep = np.ones(len(s), bool)
         keep[left + 1] = False
+        if places is not None:
+            counted = np.zeros(len(s), bool)
+            counted[places] = True
+            counted[left] = True
+            counted[left[left > 0] - 1] = True
+            places = np.flatnonzero(counted[keep][:-1])
+        exact = exact or len(left) < len(s) // 100
         s = s[keep]
         rules, expansions = np.concatenate([rules, new]), np.concatenate([expansions, grown])
     return s, rules, expansions
@@ -159,18 +199,18 @@ def unfolded(s: np.ndarray, rules: np.ndarray) -> np.ndarray:
 
 
 def expand(symbols: np.ndarray, rules: np.ndarray, expansions: np.ndarray) -> np.ndarray:
-    """The ids of a whole shard: each nonterminal is unfolded once, into a table from which its ids are copied."""
-    size = symbol_sizes(symbols, expansions)
-    ends = np.cumsum(size)
-    rule = symbols >= FIRST_RULE
-    table = unfolded(np.arange(FIRST_RULE, FIRST_RULE + len(rules), dtype=np.uint32), rules)
-    out = np.empty(int(ends[-1]) if len(ends) else 0, np.uint32)
-    out[(ends - 1)[~rule]] = symbols[~rule]
-    n, first = size[rule], (ends - size)[rule]
-    source = (np.cumsum(expansions, dtype=np.int64) - expansions)[symbols[rule].astype(np.int64) - FIRST_RULE]
-    within = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
-    out[np.repeat(first, n) + within] = table[np.repeat(source, n) + within]
-    return out
+    """The ids of a whole shard: each nonterminal is unfolded once, into a table from which its ids are copied, after all ids."""
+    table = unfolded(np.arange(FIRST_RULE + len(rules), dtype=np.uint32), rules)
+    sizes = np.concatenate([np.ones(FIRST_RULE, np.int32), expansions.astype(np.int32)])
+    kind = np.int64 if len(table) + len(symbols) > 1 << 30 or expansions.sum(dtype=np.int64) > 1 << 30 else np.int32
+    sources = (np.cumsum(sizes, dtype=np.int64) - sizes).astype(kind)
+    n = sizes[symbols]
+    ends = np.cumsum(n, dtype=np.int64)
+    total = int(ends[-1]) if len(ends) else 0
+    kind = np.int32 if kind is np.int32 and total < 1 << 30 else np.int64
+    at = np.repeat(sources[symbols].astype(kind) - (ends - n).astype(kind), n)
+    at += np.arange(total, dtype=kind)
+    return table[at]
 
 
 def decode_range(symbols: np.ndarray, rules: np.ndarray, expansions: np.ndarray, start: int, stop: int) -> np.ndarray:
