@@ -274,6 +274,17 @@ def test_visits_are_never_broadcast(spark):
     assert "SortMergeJoin" in plan and "BroadcastHashJoin" not in plan
 
 
+def test_tables_that_grow_with_documents_are_never_broadcast(spark):
+    """Only joins with the few linked fingerprints may be broadcast, not those with a row for each fingerprint or document."""
+    docs = spark.range(300).select(F.col("id").alias("doc_id"), F.concat_ws(" ", F.lit("some words"), F.col("id")).alias("text"), F.lit("x").alias("lang"))
+    for found, joins in ((simhash.grouped(docs), 1), (simhash.keep_one_of_each(docs), 2)):
+        assert len(found.collect()) == 300
+        plan = found._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+        assert plan.count("SortMergeJoin") >= joins
+        for line in plan.split("\n"):
+            assert "BroadcastHashJoin" not in line or "[component#" in line or "LeftOuter" in line
+
+
 def test_segments_do_not_change_fingerprints(monkeypatch):
     text = " ".join(f"Word{i % 97}" for i in range(500))
     monkeypatch.setattr(simhash, "SEGMENT_BYTES", 64)

@@ -33,7 +33,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from trajspark.llm.common import checkpointed, fresh, id_and_text
+from trajspark.llm.common import checkpointed, fresh, id_and_text, release_memory
 from trajspark.llm.components import star_components
 from trajspark.shipping import ship
 
@@ -108,6 +108,7 @@ def fingerprints(docs: DataFrame) -> DataFrame:
         for b in batches:
             found = np.fromiter((fingerprint(x.as_py()) for x in b.column(2)), np.int64, b.num_rows)
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(found)], ["doc_id", "same", "fp"])
+        release_memory()
 
     ship(docs.sparkSession)
     slim = id_and_text(docs).select("doc_id", F.xxhash64("text").alias("same"), "text")
@@ -203,7 +204,8 @@ def grouped(docs: DataFrame) -> DataFrame:
     linked = star_components(links(classes.select("fp")))
     linked = classes.join(linked.withColumnRenamed("node", "fp"), "fp", "left").withColumn("component", F.coalesce("component", "fp"))
     least = linked.groupBy("component").agg(F.min("least").alias("component_id"))
-    return marked.join(linked.select("fp", "component").join(least, "component"), "fp")
+    # a row for each fingerprint, below for each document: merged, never broadcast, so that no process holds them all
+    return marked.join(linked.select("fp", "component").join(least, "component").hint("merge"), "fp")
 
 
 def simhash_groups(docs: DataFrame) -> DataFrame:
@@ -219,7 +221,7 @@ def keep_one_of_each(docs: DataFrame) -> DataFrame:
     kept = own.groupBy("component").agg(F.min(F.struct("doc_id", "same")).alias("k")).select("k.doc_id", "k.same").distinct().toDF(kept_id, kept_same)
     marked = docs.withColumn(same, F.xxhash64(F.col("text").cast("string")))
     here = F.col("doc_id").cast("long").eqNullSafe(F.col(kept_id)) & (F.col(same) == F.col(kept_same))
-    left = marked.join(kept, here, "left_semi")
+    left = marked.join(kept.hint("merge"), here, "left_semi")
     columns = [f"`{c}`" for c in docs.columns]
     others = [c for c in columns if c.lower() not in ("`doc_id`", "`text`")]
     order = F.xxhash64(F.to_json(F.struct(*others))) if others else F.lit(0)
