@@ -1,6 +1,7 @@
 """Packing, token files, token counts, both classifiers and the pipeline."""
 
 import random
+import unicodedata
 import zlib
 from collections import Counter
 
@@ -43,6 +44,66 @@ def test_encoder_is_the_tokenizer(tokenizer):
             assert ids.tolist() == [x for w in want for x in w] and n.tolist() == list(map(len, want))
 
 
+def test_chunks_are_joined_for_the_tokenizer(tokenizer):
+    """Of words that begin a text or line and of punctuation, too, none goes to the library by itself."""
+
+    class Counting:
+        sent = 0
+
+        def __getattr__(self, name):
+            return getattr(tokenizer, name)
+
+        def encode_batch_fast(self, texts, **more):
+            self.sent += len(texts)
+            return tokenizer.encode_batch_fast(texts, **more)
+
+    texts = [f"first{i} word{i},then{i}\nline{i} é{i} end{i}.\x01{i}" for i in range(300)]
+    encoder = tokens.Encoder(tokens.default_path(), 10**6)
+    encoder.chunks.tokenizer = counting = Counting()
+    ids, n = encoder.encode(pa.array(texts))
+    want = [ids_of(tokenizer, t) for t in texts]
+    assert ids.tolist() == [x for w in want for x in w] and n.tolist() == list(map(len, want))
+    assert 0 < counting.sent < 20
+    sent = counting.sent
+    assert encoder.encode(pa.array(texts))[0].tolist() == ids.tolist() and counting.sent == sent
+
+
+def test_cuts_are_brute_force():
+    marks = tokens.PUNCTUATION.decode()
+    r = random.Random(3)
+    texts = ["".join(r.choice([*"aZ5 \n-_'", *marks, *"é²ßя٣日क़ा€×𝒜😀\u0301"]) for _ in range(r.randint(0, 12))) for _ in range(3000)] + ["", ""]
+    want, starts, at = [], [], 0
+    for t in texts:
+        starts.append(at)
+        for before, c in zip([None, *t], t, strict=False):
+            letter = before is not None and ord(before) < 1 << 16 and unicodedata.category(before)[0] in "LN"
+            if before is None or c in " \n" or before == "\n" or (c in marks and letter):
+                want.append(at)
+            at += len(c.encode())
+    assert tokens.cuts(np.frombuffer("".join(texts).encode(), np.uint8), np.array(starts)).tolist() == want
+
+
+@pytest.mark.parametrize("kind", [pa.string(), pa.large_string()])
+def test_encoder_on_parts_of_arrays(tokenizer, kind):
+    texts = ["", "a, b", None, "日. x\ny ", "", "a  b", "\x01 c.", "é, z", "", None, ""]
+    encoder = tokens.Encoder(tokens.default_path(), 100)
+    for a in range(len(texts)):
+        for z in range(a, len(texts) + 1):
+            ids, n = encoder.encode(pa.array(texts, kind).slice(a, z - a))
+            want = [ids_of(tokenizer, t) for t in texts[a:z]]
+            assert ids.tolist() == [x for w in want for x in w] and n.tolist() == list(map(len, want))
+
+
+def test_shards_do_not_depend_on_what_is_encoded_at_a_time(spark, tmp_path, monkeypatch):
+    docs = frame(spark, odd_texts(5, 300))
+    found = []
+    for i, size in enumerate((100, 1 << 20)):
+        monkeypatch.setattr(repair, "ENCODED_BYTES", size)
+        repair.write_shards(docs, f"{tmp_path}/{i}", shard_tokens=500)
+        found.append(sorted(map(tuple, repair.read_documents(spark, f"{tmp_path}/{i}").collect())))
+    assert found[0] == found[1] and len(found[0]) == docs.count()
+
+
 def test_special_tokens_are_the_librarys(tokenizer):
     text = "x <|endoftext|> y"
     assert tokens.Encoder(tokens.default_path(), 100).encode(pa.array([text, "x y"]))[0].tolist() == ids_of(tokenizer, text) + ids_of(tokenizer, "x y")

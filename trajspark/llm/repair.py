@@ -48,6 +48,8 @@ MIN_COUNT = 8
 HASH_BITS = 19
 #: Of the table that finds a pair among the frequent ones.
 INDEX_BITS = 20
+#: Bytes of texts that are encoded at a time: each distinct chunk of them is looked up once.
+ENCODED_BYTES = 8 << 20
 #: Chunks that a worker's encoder remembers.
 CACHED_CHUNKS = 1_300_000
 
@@ -62,6 +64,14 @@ def _pair_bins(s: np.ndarray) -> np.ndarray:
     return h.astype(np.intp)
 
 
+def _pairs(s: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """The symbols at each place and after it, as one number."""
+    pair = s.take(at).astype(np.uint64)
+    pair <<= np.uint64(32)
+    pair |= s[1:].take(at)
+    return pair
+
+
 def _apart(at: np.ndarray) -> np.ndarray:
     """Which of rising places are the first, third, fifth ... of their run of neighbours: pairs that don't overlap."""
     place = np.arange(len(at), dtype=np.int32)
@@ -75,17 +85,22 @@ def _stand_ins(s: np.ndarray, bins: np.ndarray, counts: np.ndarray) -> tuple[np.
     """(pairs, places, pair of each place) of the most frequent bins. A bin stands for one of its pairs, the last one seen,
     which is counted exactly; others wait for a later round."""
     least = max(MIN_COUNT, int(np.partition(counts, -PAIRS_A_ROUND)[-PAIRS_A_ROUND]))
-    at = np.flatnonzero((counts >= least)[bins])
-    rank = np.cumsum(counts >= least) - 1
-    own = rank[bins[at]]
-    pair = (s[at].astype(np.uint64) << np.uint64(32)) | s[at + 1]
-    stands = np.zeros(int(rank[-1]) + 1, np.uint64)
+    frequent = counts >= least
+    at = np.flatnonzero(frequent[bins])
+    most = np.flatnonzero(frequent)
+    rank = np.zeros(len(counts), np.intp)
+    rank[most] = np.arange(len(most))
+    own = rank.take(bins.take(at))
+    pair = _pairs(s, at)
+    stands = np.zeros(len(most), np.uint64)
     stands[own] = pair
-    same = stands[own] == pair
-    at, own = at[same], own[same]
+    same = np.flatnonzero(stands.take(own) == pair)
+    at, own = at.take(same), own.take(same)
     good = np.bincount(own, minlength=len(stands)) >= MIN_COUNT
-    chosen = good[own]
-    return stands[good], at[chosen], (np.cumsum(good) - 1)[own[chosen]]
+    if good.all():
+        return stands, at, own
+    chosen = np.flatnonzero(good.take(own))
+    return stands[good], at.take(chosen), (np.cumsum(good) - 1).take(own.take(chosen))
 
 
 def _index(found: np.ndarray, pair: np.ndarray) -> np.ndarray:
@@ -94,10 +109,11 @@ def _index(found: np.ndarray, pair: np.ndarray) -> np.ndarray:
     table = np.zeros(1 << INDEX_BITS, np.int32)
     taken = place(found)
     table[taken] = np.arange(len(found), dtype=np.int32)
+    shared = np.zeros(1 << INDEX_BITS, bool)
+    shared[taken[table[taken] != np.arange(len(found))]] = True
     at = place(pair)
     own = table[at]
     other = found[own] != pair
-    shared = np.bincount(taken, minlength=1 << INDEX_BITS) > 1
     own[other] = -1
     other = np.flatnonzero(other)
     other = other[shared[at[other]]]
@@ -110,7 +126,7 @@ def _index(found: np.ndarray, pair: np.ndarray) -> np.ndarray:
 def _all_counted(s: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(pairs, places, pair of each place, places of all pairs that reach MIN_COUNT); pairs are none only if none reaches it.
     ``at`` has rising places, all of a pair or none, and all of those that reach MIN_COUNT."""
-    pair = (s[at].astype(np.uint64) << np.uint64(32)) | s[at + 1]
+    pair = _pairs(s, at)
     found, n = np.unique(pair, return_counts=True)
     found, n = found[n >= MIN_COUNT], n[n >= MIN_COUNT]
     if not len(found):
@@ -150,19 +166,22 @@ def compress(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
                 break
             exact = True
             continue
-        left = _apart(at)
+        left = np.flatnonzero(_apart(at))
         # neighbours take places from each other: pairs with few left get no rule now, and the most frequent one is sure of its places
-        used = np.bincount(own[left], minlength=len(pairs)) >= MIN_COUNT // 2
+        used = np.bincount(own.take(left), minlength=len(pairs)) >= MIN_COUNT // 2
         if not used.any():
             used[np.bincount(own).argmax()] = True
             at, own = at[used[own]], own[used[own]]
-            left = _apart(at)
-        left = left & used[own]
-        left, own = at[left], own[left]
+            left = np.flatnonzero(_apart(at))
+        own = own.take(left)
+        left = at.take(left)
+        if not used.all():
+            kept = np.flatnonzero(used.take(own))
+            left, own = left.take(kept), own.take(kept)
         number = (np.cumsum(used) - 1 + len(rules) + FIRST_RULE).astype(np.uint32)
         new = np.stack([pairs[used] >> np.uint64(32), pairs[used] & np.uint64(0xFFFFFFFF)], axis=1).astype(np.uint32)
         grown = (symbol_sizes(new[:, 0], expansions) + symbol_sizes(new[:, 1], expansions)).astype(np.uint32)
-        s[left] = number[own]
+        s[left] = number.take(own)
         keep = np.ones(len(s), bool)
         keep[left + 1] = False
         if places is not None:
@@ -259,14 +278,18 @@ def write_shards(docs: DataFrame, folder: str, *, tokenizer: str | None = None,
             return pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(row.values(), kinds, strict=True)], list(row))
 
         for batch in batches:
-            for piece in tokens.slices(batch):
-                ids, n = encoder.encode(piece.column(1))
+            for encoded in tokens.slices(batch, size=ENCODED_BYTES):
+                ids, n = encoder.encode(encoded.column(1))
                 ids = np.insert(ids, np.cumsum(n), end_id)
-                held.append((piece.column(0).to_pylist(), ids, n + 1))
-                held_tokens += len(ids)
-                if held_tokens >= shard_tokens:
-                    yield shard()
-                    held, held_tokens, block = [], 0, block + 1
+                n += 1
+                for piece in tokens.slices(encoded):
+                    sizes, n = n[: piece.num_rows], n[piece.num_rows :]
+                    own, ids = np.split(ids, [sizes.sum()])
+                    held.append((piece.column(0).to_pylist(), own, sizes))
+                    held_tokens += len(own)
+                    if held_tokens >= shard_tokens:
+                        yield shard()
+                        held, held_tokens, block = [], 0, block + 1
         if held:
             yield shard()
         held = []

@@ -3,10 +3,11 @@
 A byte-level BPE first cuts a text into pre-tokens, and no id reaches over a cut. If white space never stands
 next to white space, these places are cuts: before a space, before and after a newline, and between a letter or
 digit and the punctuation after it. So a text is a row of chunks: words with the space before them (none at
-the start of a text or line), punctuation with what follows it, and newlines. Arrow cuts a slice of texts and
-numbers its chunks; only those that the worker has not met go to the tokenizer, words joined to one text, in
-which each begins with an id that begins with a space. Texts with neighbouring white space, and texts with a special
-token, which the library finds before it cuts, are encoded whole.
+the start of a text or line), punctuation with what follows it, and newlines. The bytes of a slice of texts tell the
+places of all cuts, and its chunks are ranges of these bytes, which Arrow numbers without a copy of the texts;
+only chunks that the worker has not met go to the tokenizer, joined to one text: words by the spaces that begin
+them, others by newlines. Texts with neighbouring white space, and texts with a special token, which the library finds
+before it cuts, are encoded whole.
 """
 
 from __future__ import annotations
@@ -14,6 +15,7 @@ from __future__ import annotations
 import os
 import re
 from functools import cache
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -21,34 +23,77 @@ import pyarrow.compute as pc
 
 # Fixed value: characters that some regex engine takes as white space.
 WHITE = r"[\s\v\x1c-\x1f\x{85}\x{a0}\x{1680}\x{180e}\x{2000}-\x{200b}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}\x{feff}]"
-#: Stands before a chunk that has no space before it; texts that have it are encoded whole.
-GLUE = "\x01"
-UNSAFE = f"{WHITE}{WHITE}|{GLUE}"
-CUT = r"([\pL\pN])([.,;:!?)\]\"*#$%&|]+)"
+UNSAFE = f"{WHITE}{WHITE}"
+PUNCTUATION = b".,;:!?)]\"*#$%&|"
 #: Chunks that a worker remembers, about 200 bytes each; with more it starts anew.
 CACHED_CHUNKS = 700_000
 #: Bytes of texts that are encoded at a time.
 SLICE_BYTES = 4 << 20
-#: Words that are joined for the tokenizer at a time.
+#: Chunks that are joined for the tokenizer at a time.
 JOINED = 500
+#: Why a byte is the first of a chunk: it is a space or newline, the byte before it is a newline, it is punctuation after
+#: an ASCII letter or digit, or after another character, which must be looked at. BEFORE is of the byte, AFTER of the one before it.
+SPACE, NEWLINE, PLAIN, OTHER = 1, 2, 4, 8
+
+
+def _byte_table(kinds: dict[int, bytes], always: int) -> np.ndarray:
+    table = np.full(256, always, np.uint8)
+    for kind, those in kinds.items():
+        table[list(those)] |= kind
+    return table
+
+
+BEFORE = _byte_table({SPACE: b" \n", PLAIN | OTHER: PUNCTUATION}, NEWLINE)
+AFTER = _byte_table({NEWLINE: b"\n", PLAIN: bytes(i for i in range(128) if chr(i).isalnum()), OTHER: bytes(range(128, 256))}, SPACE)
+
+
+@cache
+def _letters() -> np.ndarray:
+    """Which characters under 2^16 are letters or digits."""
+    points = [i for i in range(1 << 16) if not 0xD800 <= i < 0xE000]
+    out = np.zeros(1 << 16, bool)
+    out[points] = pc.match_substring_regex(pa.array(map(chr, points), pa.string()), r"[\pL\pN]").to_numpy(zero_copy_only=False)
+    return out
+
+
+def _after_letter(b: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """Whether a letter or digit of two or three bytes stands before each place; longer ones are none."""
+    last, middle, first = (b[np.maximum(at - k, 0)].astype(np.int32) for k in (1, 2, 3))
+    two = (middle & 0xE0) == 0xC0
+    three = ~two & ((first & 0xF0) == 0xE0)
+    point = np.where(two, (middle & 31) << 6, (first & 15) << 12 | (middle & 63) << 6) | (last & 63)
+    return (two | three) & _letters()[point]
+
+
+def cuts(b: np.ndarray, starts: np.ndarray) -> np.ndarray:
+    """Places of the chunks' first bytes in the bytes of texts, which begin at ``starts``."""
+    why = BEFORE[b[1:]]
+    why &= AFTER[b[:-1]]
+    first = np.zeros(len(b) + 1, bool)
+    np.not_equal(why, 0, out=first[1:-1])
+    unsure = np.flatnonzero(why == OTHER) + 1
+    if len(unsure):
+        first[unsure] = _after_letter(b, unsure)
+    first[starts] = True  # of empty texts at the end: behind the last byte
+    return np.flatnonzero(first[:-1])
 
 
 class Chunks:
-    """Ids of the chunks met so far, in one growing array; the empty chunk is the first."""
+    """Ids of the chunks met so far, in one growing array."""
 
     def __init__(self, tokenizer) -> None:
         self.tokenizer = tokenizer
         n = tokenizer.get_vocab_size()
         self.spaced = np.fromiter(((tokenizer.id_to_token(i) or "").startswith("Ġ") for i in range(n)), bool, n)
+        self.newline = tokenizer.token_to_id("Ċ")
         self.clear()
 
     def clear(self) -> None:
-        self.known: dict[str, int] = {}  # with a space before, or GLUE
-        self.bare: dict[str, int] = {"": 0}
+        self.known: dict[str, int] = {}
         self.start = np.zeros(1 << 12, np.int64)
-        self.size = np.zeros(1 << 12, np.int64)
+        self.size = np.zeros(1 << 12, np.int32)
         self.ids = np.zeros(1 << 14, np.int32)
-        self.count, self.used = 1, 0
+        self.count, self.used = 0, 0
 
     def _add(self, sizes: np.ndarray, ids: np.ndarray) -> range:
         first = self.count
@@ -69,42 +114,52 @@ class Chunks:
         found = [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
         return self._add(np.array([len(x) for x in found], np.int64), np.array([i for x in found for i in x], np.int32))
 
+    def _joined(self, chunks: list[str], between: str) -> np.ndarray:
+        texts = [between.join(chunks[i : i + JOINED]) for i in range(0, len(chunks), JOINED)]
+        return np.concatenate([np.array(e.ids, np.int32) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)])
+
     def _encode_words(self, words: list[str]) -> range:
-        joined = [" " + " ".join(words[i : i + JOINED]) for i in range(0, len(words), JOINED)]
-        ids = np.concatenate([np.array(e.ids, np.int32) for e in self.tokenizer.encode_batch_fast(joined, add_special_tokens=False)])
+        """Of chunks that begin with a space and have more."""
+        ids = self._joined(words, "")
         starts = np.flatnonzero(self.spaced[ids])
         if len(starts) != len(words):  # not met yet: a word with an id within that begins with a space
-            return self._encode([" " + w for w in words])
+            return self._encode(words)
         return self._add(np.diff(starts, append=len(ids)), ids)
 
+    def _encode_bare(self, chunks: list[str]) -> range:
+        """Of ASCII chunks with no white space at either end."""
+        ids = self._joined([f"{c}\n" for c in chunks], "")
+        ends = np.flatnonzero(ids == self.newline)
+        if len(ends) != len(chunks):  # not met yet: a chunk with the id of a newline
+            return self._encode(chunks)
+        return self._add(np.diff(ends, prepend=-1) - 1, ids[ids != self.newline])
+
     def numbers(self, chunks: list[str]) -> np.ndarray:
-        found = list(map(self.known.get, chunks))
-        missing = [i for i, n in enumerate(found) if n is None]
-        if missing:
-            new = [chunks[i] for i in missing]
-            odd = [c for c in new if c in ("", "\n") or c[0] == GLUE]
-            self.known.update(zip(odd, self._encode([c[1:] if c[:1] == GLUE else c or " " for c in odd]), strict=True))
-            words = [c for c in new if c and c != "\n" and c[0] != GLUE]
-            if words:
-                self.known.update(zip(words, self._encode_words(words), strict=True))
-            for i, c in zip(missing, new, strict=True):
-                found[i] = self.known[c]
-        return np.array(found, np.int64)
-
-    def bare_numbers(self, chunks: list[str]) -> np.ndarray:
-        new = [c for c in dict.fromkeys(chunks) if c not in self.bare]
-        self.bare.update(zip(new, self._encode(new), strict=True))
-        return np.fromiter(map(self.bare.__getitem__, chunks), np.int64, len(chunks))
-
-    def gather(self, numbers: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(ids of the chunks one after the other, number of ids of each chunk)"""
-        sizes = self.size[numbers]
-        ends = np.cumsum(sizes)
+        found = np.fromiter(map(self.known.get, chunks, repeat(-1)), np.int64, len(chunks))
+        missing = np.flatnonzero(found < 0)
+        if len(missing):
+            new = [chunks[i] for i in missing.tolist()]
+            kind = np.array([0 if c[0] == " " and c != " " else 1 if c.isascii() and c[0] > " " and c[-1] > " " else 2 for c in new])
+            for k, encode in enumerate((self._encode_words, self._encode_bare, self._encode)):
+                at = np.flatnonzero(kind == k)
+                if len(at):
+                    own = [new[i] for i in at.tolist()]
+                    numbers = encode(own)
+                    self.known.update(zip(own, numbers, strict=True))
+                    found[missing[at]] = numbers
+        return found
+
+    def gather(self, numbers: np.ndarray, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of the chunks numbers[codes] one after the other, number of ids up to each chunk's end)"""
+        sizes = self.size.take(numbers).take(codes)
+        ends = np.cumsum(sizes, dtype=np.int64)
         total = int(ends[-1]) if len(ends) else 0
         kind = np.int32 if self.used + total < 1 << 31 else np.int64
-        at = np.repeat((self.start[numbers] - (ends - sizes)).astype(kind), sizes)
+        at = self.start.take(numbers).astype(kind).take(codes)
+        at -= (ends - sizes).astype(kind)
+        at = np.repeat(at, sizes)
         at += np.arange(total, dtype=kind)
-        return self.ids[at], sizes
+        return self.ids.take(at), ends
 
 
 class Encoder:
@@ -133,29 +188,19 @@ class Encoder:
         return np.concatenate(rows), np.fromiter(map(len, rows), np.int64, len(rows))
 
     def _encode_safe(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-        if not len(texts):
-            return np.zeros(0, np.int32), np.zeros(0, np.int64)
-        glued = pc.replace_substring_regex(texts, CUT, rf"\1 {GLUE}\2")
-        cut = pc.split_pattern(pc.replace_substring(glued, "\n", " \n "), " ")
-        bounds = cut.offsets.to_numpy().astype(np.int64)
-        bounds -= bounds[0]
-        flat = cut.flatten().dictionary_encode()
-        codes = flat.indices.to_numpy()
+        kind = np.int64 if pa.types.is_large_string(texts.type) else np.int32
+        bounds = np.frombuffer(texts.buffers()[1], kind)[texts.offset : texts.offset + len(texts) + 1] if len(texts) else np.zeros(1, kind)
+        begin, end = int(bounds[0]), int(bounds[-1])
+        if begin == end:
+            return np.zeros(0, np.int32), np.zeros(len(texts), np.int64)
+        first = cuts(np.frombuffer(texts.buffers()[2], np.uint8)[begin:end], bounds[:-1] - begin)
+        offsets = np.append(first + begin, end).astype(kind)
+        flat = pa.Array.from_buffers(texts.type, len(first), [None, pa.py_buffer(offsets), texts.buffers()[2]]).dictionary_encode()
         distinct = flat.dictionary.to_numpy(zero_copy_only=False).tolist()
         if self.chunks.count > self.cached_chunks:
             self.chunks.clear()
-        numbers = self.chunks.numbers(distinct)[codes]
-        # what begins a text or a line has no space before it
-        bare = np.zeros(len(codes), bool)
-        bare[bounds[:-1]] = True
-        line = self.chunks.known.get("\n")
-        if line is not None:
-            bare[1:] |= numbers[:-1] == line
-            bare &= numbers != line
-        bare = np.flatnonzero(bare)
-        numbers[bare] = self.chunks.bare_numbers([distinct[i] for i in codes[bare].tolist()])
-        ids, sizes = self.chunks.gather(numbers)
-        return ids, np.add.reduceat(sizes, bounds[:-1])
+        ids, ends = self.chunks.gather(self.chunks.numbers(distinct), flat.indices.to_numpy().astype(np.intp))
+        return ids, np.diff(np.append(0, ends)[np.searchsorted(offsets, bounds)])
 
 
 @cache
@@ -164,10 +209,10 @@ def encoder(path: str, cached_chunks: int = CACHED_CHUNKS, special_as_text: bool
     return Encoder(path, cached_chunks, special_as_text)
 
 
-def slices(batch: pa.RecordBatch, text_column: int = 1):
-    """Row ranges of a batch of about SLICE_BYTES of text."""
+def slices(batch: pa.RecordBatch, text_column: int = 1, size: int = SLICE_BYTES):
+    """Row ranges of a batch of about ``size`` bytes of text."""
     n = pc.fill_null(pc.binary_length(batch.column(text_column)), 0).to_numpy(zero_copy_only=False).astype(np.int64)
-    group = (np.cumsum(n) - n) // SLICE_BYTES
+    group = (np.cumsum(n) - n) // size
     starts = np.flatnonzero(np.diff(group, prepend=-1))
     for a, z in zip(starts, [*starts[1:], batch.num_rows], strict=True):
         yield batch.slice(int(a), int(z - a))
